@@ -81,16 +81,20 @@ def text_key(text: Column) -> Column:
 
 
 def ngrams(tokens_col: Column, n_min: int = 1, n_max: int = 4) -> Column:
-    """Array of word n-grams joined by a space, shorter ones first."""
+    """Array of word n-grams joined by a space, shorter ones first.
+
+    ``tokens_col`` should be a plain column: an expression would be evaluated once per gram.
+    """
 
     def of_size(n: int) -> Column:
-        if n == 1:
-            return tokens_col
-        starts = F.when(F.size(tokens_col) >= n, F.sequence(F.lit(1), F.size(tokens_col) - F.lit(n - 1)))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens_col, i, F.lit(n)), " "))
-        return F.coalesce(grams, F.array().cast("array<string>"))
+        def gram(word: Column, i: Column) -> Column:
+            words = [word] + [F.get(tokens_col, i + F.lit(k)) for k in range(1, n)]
+            return F.when(F.get(tokens_col, i + F.lit(n - 1)).isNotNull(), F.concat_ws(" ", *words))
 
-    return F.concat(*[of_size(n) for n in range(n_min, n_max + 1)])
+        return F.filter(F.transform(tokens_col, gram), lambda g: g.isNotNull())
+
+    sizes = [tokens_col if n == 1 else of_size(n) for n in range(n_min, n_max + 1)]
+    return F.concat(*sizes)
 
 
 def type_token_ratio(tokens_col: Column) -> Column:
@@ -122,13 +126,15 @@ def marker_columns(
     families: Mapping[str, Sequence[str]] = vocab.MARKERS_BASE,
     prefix: str = "mk_",
     strict_acronyms: bool = False,
+    flags: str = "(?iU)",
 ) -> list[Column]:
     """Occurrence count per family.
 
     All counts sit in one projection, so a text is read once. By default patterns match in
-    any case; ``strict_acronyms`` keeps capital words such as ``ART`` case sensitive.
+    any case; ``strict_acronyms`` keeps capital words such as ``ART`` case sensitive. On folded
+    text the plain ``(?i)`` flag is enough and cheaper.
     """
-    flag = "(?U)" if strict_acronyms else "(?iU)"
+    flag = "(?U)" if strict_acronyms else flags
     columns = []
     for name, patterns in families.items():
         counts = [F.regexp_count(text, F.lit(flag + p)) for p in patterns]
@@ -226,16 +232,9 @@ def evidence_excerpts(
 
 
 def json_from_text(text: Column, schema: str) -> Column:
-    """Parse the first brace block of free text; single quotes are repaired on failure."""
+    """Parse the first brace block of free text; single-quoted JSON is accepted too."""
     block = F.regexp_extract(text, vocab.JSON_BLOCK_PATTERN, 0)
-    fixed = F.translate(block, "'", '"')
-    strict = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
-    parsed = F.from_json(block, schema, strict)
-    empty = F.from_json(F.lit("{}"), schema)
-    is_null = F.get_json_object(block, "$").isNull()
-    return F.when(block == "", None).when(is_null, F.from_json(fixed, schema, strict)).otherwise(
-        F.coalesce(parsed, empty)
-    )
+    return F.when(block != "", F.from_json(block, schema, {"allowSingleQuotes": "true"}))
 
 
 def normalise_verdict(value: Column, domain: Sequence[str] = ("sim", "nao", "parcial")) -> Column:
