@@ -255,11 +255,11 @@ def a17(spark, d):
 
 
 # Detector A: strong code evidence; detector B: supplier name.
-CODE = FACT_NAMES + ", " + EVIDENCE + ", coded AS (SELECT f.*, coalesce(code_score, 0) >= 6 AS code_eng FROM factn f LEFT JOIN ev USING (supplier))"
+CODE = FACT_NAMES + ", " + EVIDENCE + ", coded AS (SELECT f.*, coalesce(code_score, 0) >= 3 AS code_eng FROM factn f LEFT JOIN ev USING (supplier))"
 
 
 def coded(spark, d):
-    e = evidence(spark, d).select("supplier", (F.col("code_score") >= 6).alias("code_eng"))
+    e = evidence(spark, d).select("supplier", (F.col("code_score") >= 3).alias("code_eng"))
     return fact_names(spark, d).join(e, "supplier", "left").withColumn("code_eng", F.coalesce("code_eng", F.lit(False))).withColumn("hint", name_hint())
 
 

@@ -82,12 +82,19 @@ def j5(spark, d):
 
 
 def registry(spark, d):
-    """Supplier registry: principal code and other codes, taken from the brands a supplier sells."""
+    """Supplier registry: the brand a supplier sells most is its principal code, brands above its mean are the others."""
     j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    codes = j.select(F.col("l_suppkey").alias("supplier"), F.regexp_extract("p_brand", r"(\d+)", 1).alias("code")).distinct()
-    return codes.groupBy("supplier").agg(
-        F.min("code").alias("principal"), F.sort_array(F.collect_set("code")).alias("codes")
-    ).withColumn("others", F.filter("codes", lambda c: c != F.col("principal")))
+    code = F.regexp_extract("p_brand", r"(\d+)", 1).alias("code")
+    sold = j.groupBy(F.col("l_suppkey").alias("supplier"), code).agg(F.sum("l_quantity").alias("q"))
+    # One row per supplier and brand code; the arrays are bounded by the code list.
+    per = sold.groupBy("supplier").agg(
+        F.max_by("code", F.struct("q", "code")).alias("principal"),
+        F.avg("q").alias("m"),
+        F.collect_list(F.struct("q", "code")).alias("all"),
+    )
+    codes = F.array_sort(F.transform(F.filter("all", lambda x: x["q"] >= F.col("m")), lambda x: x["code"]))
+    out = per.select("supplier", "principal", codes.alias("codes"))
+    return out.withColumn("others", F.filter("codes", lambda c: c != F.col("principal")))
 
 
 def reference_codes(spark, d):
@@ -99,8 +106,9 @@ def reference_codes(spark, d):
     )
 
 
-REGISTRY = """reg AS (SELECT DISTINCT l_suppkey AS supplier, regexp_extract(p_brand, '(\\d+)', 1) AS code FROM lineitem JOIN part ON l_partkey = p_partkey),
-  prin AS (SELECT supplier, min(code) AS principal FROM reg GROUP BY 1),
+REGISTRY = """sold AS (SELECT l_suppkey AS supplier, regexp_extract(p_brand, '(\\d+)', 1) AS code, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+  reg AS (SELECT supplier, code FROM sold QUALIFY q >= avg(q) OVER (PARTITION BY supplier)),
+  prin AS (SELECT supplier, code AS principal FROM sold QUALIFY row_number() OVER (PARTITION BY supplier ORDER BY q DESC, code DESC) = 1),
   refc AS (SELECT DISTINCT regexp_extract(p_brand, '(\\d+)', 1) AS code, p_brand AS description,
     CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) >= 15 AS strong FROM part WHERE CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) BETWEEN 11 AND 17)"""
 EVIDENCE = REGISTRY + """, ev AS (SELECT reg.supplier, sum(CASE WHEN reg.code = principal THEN CASE WHEN strong THEN 3.0 ELSE 2.0 END
