@@ -18,9 +18,16 @@ def l2_norm(a: Column) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    """Unit vector; a zero vector stays zero."""
-    norm = l2_norm(a)
-    return F.transform(a, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    """Unit vector; a zero vector stays zero.
+
+    The norm is bound once as the single element of an outer array; written directly inside
+    the lambda it would be recomputed for every dimension.
+    """
+    unit = F.transform(
+        F.array(l2_norm(a)),
+        lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))),
+    )
+    return F.get(unit, F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -27,3 +27,92 @@ def membership_entropy(probabilities: Column) -> Column:
     return F.aggregate(
         probabilities, F.lit(0.0), lambda acc, p: acc - F.when(p > 0, p * F.log(p)).otherwise(F.lit(0.0))
     )
+
+
+def kmeans_sweep(df: DataFrame, features: str, ks, seed: int = 42) -> DataFrame:
+    """Inertia and silhouette for every ``k``; the silhouette is linear in the rows."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    judge = ClusteringEvaluator(featuresCol=features, predictionCol="_c", distanceMeasure="cosine")
+    rows = []
+    for k in ks:
+        model = KMeans(k=k, featuresCol=features, predictionCol="_c", distanceMeasure="cosine", seed=seed, maxIter=20).fit(df)
+        rows.append((int(k), float(model.summary.trainingCost), float(judge.evaluate(model.transform(df)))))
+    out = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    return out.withColumn("best", F.col("silhouette") == out.agg(F.max("silhouette")).scalar())
+
+
+def gaussian_mixture(df: DataFrame, key: str, features: str, k: int = 3, dims: int = 8, seed: int = 42) -> DataFrame:
+    """Soft clusters after a principal-component reduction: (key, cluster, confidence, entropy)."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+
+    reduced = PCA(k=dims, inputCol=features, outputCol="_p").fit(df).transform(df)
+    model = GaussianMixture(k=k, featuresCol="_p", predictionCol="cluster", probabilityCol="_m", seed=seed, maxIter=30).fit(reduced)
+    out = model.transform(reduced).withColumn("_a", vector_to_array("_m"))
+    return out.select(key, "cluster", F.array_max("_a").alias("confidence"), membership_entropy(F.col("_a")).alias("entropy"))
+
+
+def reduce_dimensions(df: DataFrame, key: str, features: str, k: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(key, components) and the explained variance of each component."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+
+    model = PCA(k=k, inputCol=features, outputCol="_p").fit(df)
+    shares = [(i, float(x)) for i, x in enumerate(model.explainedVariance)]
+    return (
+        model.transform(df).select(key, vector_to_array("_p").alias("components")),
+        df.sparkSession.createDataFrame(shares, "component int, explained double"),
+    )
+
+
+def characterise(groups: DataFrame, words: DataFrame, key: str, cluster: str, positive: Column, top: int = 8) -> DataFrame:
+    """Rows, positives, percent and the most frequent terms of each cluster."""
+    from contrasieve.operators.terms import frequencies
+
+    sizes = groups.groupBy(cluster).agg(
+        F.count("*").alias("n"), F.count_if(positive).alias("n_pos"), (100 * F.avg(positive.cast("int"))).alias("pct_pos")
+    )
+    best = frequencies(words.join(groups.select(key, cluster), key), [cluster], top)
+    listed = best.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "term"))).alias("_l"))
+    return sizes.join(listed, cluster).withColumn("terms", F.array_join(F.transform("_l", lambda x: x["term"]), " ")).drop("_l")
+
+
+def item_rows(df: DataFrame, columns) -> DataFrame:
+    """Array of ``column=value`` items per row, one per non-null column."""
+    items = F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in columns])
+    return df.select(F.array_compact(items).alias("items"))
+
+
+def pair_rules(df: DataFrame, columns, consequent: str, min_support: float = 0.01, top: int = 100) -> DataFrame:
+    """Rules ``a -> consequent value`` with support, confidence and lift.
+
+    Items of a row are its few columns, so the pairs of a row are as many as the columns.
+    """
+    n = df.agg(F.count("*")).scalar()
+    right = F.concat(F.lit(f"{consequent}="), F.col(consequent).cast("string"))
+    left = F.explode(F.array(*[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in columns if c != consequent]))
+    pairs = df.select(left.alias("a"), right.alias("b")).groupBy("a", "b").agg(F.count("*").alias("n_ab"))
+    n_a = pairs.groupBy("a").agg(F.sum("n_ab").alias("n_a"))
+    n_b = df.groupBy(right.alias("b")).agg(F.count("*").alias("n_b"))
+    out = pairs.join(n_a, "a").join(n_b, "b").withColumn("_n", n)
+    out = out.select(
+        "a", "b",
+        (F.col("n_ab") / F.col("_n")).alias("support"),
+        (F.col("n_ab") / F.col("n_a")).alias("confidence"),
+        (F.col("n_ab") / F.col("n_a") / (F.col("n_b") / F.col("_n"))).alias("lift"),
+    )
+    return out.filter(F.col("support") >= min_support).orderBy(F.desc(F.round("lift", 9)), "a", "b").limit(top)
+
+
+def frequent_rules(df: DataFrame, columns, min_support: float = 0.05, min_confidence: float = 0.3, top: int = 100) -> DataFrame:
+    """Association rules over item sets of any size, by lift."""
+    from pyspark.ml.fpm import FPGrowth
+
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(item_rows(df, columns))
+    flat = model.associationRules.select(
+        F.array_join(F.array_sort("antecedent"), " & ").alias("antecedent"), F.get("consequent", F.lit(0)).alias("consequent"), "confidence", "lift", "support"
+    )
+    return flat.orderBy(F.desc("lift"), "antecedent", "consequent").limit(top)

@@ -107,12 +107,12 @@ def pu_centroid(df: DataFrame, vector: str, positive: Column, share: float = 0.3
 
 def pu_prototypes(df: DataFrame, vector: str, positive: Column, k: int = 8, share: float = 0.3, seed: int = 42) -> DataFrame:
     """As :func:`pu_centroid` with the closest of ``k`` prototypes of the positives."""
-    unit = df.withColumn("_pos", positive).withColumn("_u", vx.normalise(F.col(vector)))
+    unit = cut_lineage(df.withColumn("_pos", positive).withColumn("_u", vx.normalise(F.col(vector))))
     featured = to_vector(unit, "_u", "_f")
     model = KMeans(k=k, featuresCol="_f", predictionCol="_p", seed=seed).fit(featured.filter("_pos"))
-    centres = [list(map(float, c)) for c in model.clusterCenters()]  # k vectors
-    sims = F.array(*[F.struct(vx.cosine(F.col("_u"), vx.literal(c)).alias("sim"), F.lit(i).alias("prototype")) for i, c in enumerate(centres)])
-    best = featured.drop("_f").withColumn("_best", F.array_max(sims))
+    centres = [(c / max(float((c**2).sum()) ** 0.5, 1e-12)).tolist() for c in model.clusterCenters()]  # k vectors
+    sims = F.array(*[F.struct(vx.dot(F.col("_u"), vx.literal(c)).alias("sim"), F.lit(i).alias("prototype")) for i, c in enumerate(centres)])
+    best = unit.withColumn("_best", F.array_max(sims))
     out = best.withColumn("sim", F.round("_best.sim", 9)).withColumn("prototype", F.col("_best.prototype")).drop("_best", "_u")
     return mark_candidates(out, share)
 

@@ -95,6 +95,101 @@ def top_matches(corpus: DataFrame, seeds: DataFrame, key: str, vector: str, k: i
     return top_per_group(found.filter("src <> dst"), ["src"], [F.desc("sim"), F.col("dst")], k, "dst", slices=1)
 
 
+def similarity_groups(df: DataFrame, key: str, vector: str, threshold: float, broadcast_cells: int = BROADCAST_CELLS, n_pivots: int | None = None) -> DataFrame:
+    """(vertex, component): single-link groups of rows whose similarity reaches ``threshold``.
+
+    Comparing a block of rows with a block of stock yields at most a spanning forest of its
+    links, never all its pairs, and copies are linked to their first row.
+    """
+    from contrasieve.operators.graph import connected_components
+
+    rows = cut_lineage(unit_rows(df, key, vector))
+    first = rows.groupBy("h").agg(F.min("key").alias("first"), F.first("v").alias("v"))
+    points = cut_lineage(first.select(F.col("first").alias("key"), "h", "v"))
+    copies = rows.join(points.select("h", F.col("key").alias("dst")), "h").select(F.col("key").alias("src"), "dst")
+    kind = dict(points.dtypes)["key"]
+    size = points.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    if size.n * (size.dim or 1) <= broadcast_cells:
+        stock = points.select("key", "v").collect()
+        shared = df.sparkSession.sparkContext.broadcast(
+            ([r["key"] for r in stock], np.array([r["v"] for r in stock], dtype=np.float64))
+        )
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            keys, matrix = shared.value
+            for batch in batches:
+                if len(batch):
+                    yield _forest(list(batch["key"]), _matrix(batch["v"]), keys, matrix, threshold)
+
+        links = points.repartition("h").select("key", "v").mapInPandas(run, f"src {kind}, dst {kind}")
+    else:
+        links = _links_by_cell(points, threshold, kind, n_pivots or int(min(MAX_PIVOTS, max(2, round(size.n**0.5)))))
+    return connected_components(links.unionByName(copies))
+
+
+def _forest(a_keys: list, a: np.ndarray, b_keys: list, b: np.ndarray, threshold: float) -> pd.DataFrame:
+    """Spanning forest of the links between two blocks."""
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    step = max(1, 4_000_000 // max(1, len(b)))
+    for lo in range(0, len(a), step):
+        row, col = np.nonzero(np.round(a[lo : lo + step] @ b.T, DIGITS) >= threshold)
+        for i, j in zip(row + lo, col):
+            x, y = find(a_keys[i]), find(b_keys[j])
+            if x != y:
+                parent[x] = y
+                out.append((a_keys[i], b_keys[j]))
+    return pd.DataFrame(out, columns=["src", "dst"])
+
+
+def _links_by_cell(points: DataFrame, threshold: float, kind: str, n_pivots: int) -> DataFrame:
+    spark = points.sparkSession
+    pivots = np.array([row.v for row in points.orderBy("h").limit(n_pivots).select("v").collect()])
+    shared = spark.sparkContext.broadcast(pivots)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                far = np.sqrt(np.maximum(0.0, 2 - 2 * (_matrix(batch["v"]) @ shared.value.T)))
+                cell = far.argmin(axis=1)
+                yield batch.assign(cell=cell.astype("int32"), dist=far[np.arange(len(cell)), cell])
+
+    stock = cut_lineage(points.mapInPandas(assign, f"key {kind}, h string, v array<double>, cell int, dist double"))
+    radius = np.full(len(pivots), -1.0)
+    for row in stock.groupBy("cell").agg(F.max("dist").alias("r")).collect():
+        radius[row.cell] = row.r
+    bounds = spark.sparkContext.broadcast(radius)
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                far = np.sqrt(np.maximum(0.0, 2 - 2 * (_matrix(batch["v"]) @ shared.value.T)))
+                row, cell = np.nonzero((far - bounds.value[None, :] <= reach) & (bounds.value >= 0)[None, :])
+                yield pd.DataFrame({
+                    "key": batch["key"].to_numpy()[row], "h": batch["h"].to_numpy()[row],
+                    "v": batch["v"].to_numpy()[row], "target": cell.astype("int32"),
+                })
+
+    asked = cut_lineage(stock.mapInPandas(visits, f"key {kind}, h string, v array<double>, target int"))
+    left, right = _pair_blocks(asked, stock, ["key", "v"], ["key", "v"])
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"src": [], "dst": []})
+        return _forest(list(a["key"]), _matrix(a["v"]), list(b["key"]), _matrix(b["v"]), threshold)
+
+    by = ["target", "q", "s"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, f"src {kind}, dst {kind}")
+
+
 def top_similar(corpus: DataFrame, query: list[float], key: str, vector: str, k: int) -> DataFrame:
     """The ``k`` corpus rows most similar to one free vector."""
     sim = F.round(vx.cosine(F.col(vector), vx.literal(query)), DIGITS)
@@ -164,8 +259,8 @@ def _search_cells(asked: DataFrame, points: DataFrame, k: int, kind: str, n_pivo
     return top_per_group(first.unionByName(second), ["h"], [F.desc("sim"), F.col("dst")], k, "dst", slices=1)
 
 
-def _search_blocks(visits: DataFrame, stock: DataFrame, k: int, kind: str) -> DataFrame:
-    """Search each visit's target cell; hot cells are cut into blocks on both sides."""
+def _pair_blocks(visits: DataFrame, stock: DataFrame, left_columns: list, right_columns: list) -> tuple[DataFrame, DataFrame]:
+    """Both sides of every (cell, query block, stock block); hot cells are cut on both sides."""
 
     def blocks(df: DataFrame, cell: str, name: str) -> DataFrame:
         n = F.ceil(F.count("*") / F.lit(BLOCK)).cast("int")
@@ -176,11 +271,17 @@ def _search_blocks(visits: DataFrame, stock: DataFrame, k: int, kind: str) -> Da
     slot = F.pmod(F.xxhash64("h"), F.col("n_q")).cast("int")
     shelf = F.pmod(F.xxhash64("h"), F.col("n_s")).cast("int")
     left = visits.join(plan, "target").select(
-        "target", slot.alias("q"), F.explode(F.sequence(F.lit(0), F.col("n_s") - 1)).alias("s"), "h", "v"
+        "target", slot.alias("q"), F.explode(F.sequence(F.lit(0), F.col("n_s") - 1)).alias("s"), *left_columns
     )
     right = stock.withColumnRenamed("cell", "target").join(plan, "target").select(
-        "target", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("q"), shelf.alias("s"), "v", "keys"
+        "target", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("q"), shelf.alias("s"), *right_columns
     )
+    return left, right
+
+
+def _search_blocks(visits: DataFrame, stock: DataFrame, k: int, kind: str) -> DataFrame:
+    """Search each visit's target cell and keep the best ``k`` per query."""
+    left, right = _pair_blocks(visits, stock, ["h", "v"], ["v", "keys"])
 
     def run(asked: pd.DataFrame, shelf_rows: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or shelf_rows.empty:
