@@ -1,8 +1,9 @@
 """Ordered totals and exact quantiles that never sort a group inside one task.
 
 Rows are first reduced to distinct (key, value) pairs, so a value shared by a third of the
-table is one row. Pairs are cut into value ranges at sketched boundaries; running sums are
-taken inside a range and shifted by the sums of the ranges before it.
+table is one row. The pairs are written once, so the base table is scanned once. They are cut
+into value ranges at sketched boundaries; running sums are taken inside a range and shifted by
+the sums of the ranges before it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from contrasieve.session import cut_lineage
+
 RANGES = 64
 
 
@@ -21,12 +24,11 @@ def running_totals(
 ) -> DataFrame:
     """One row per distinct (keys, value): each sum, its running total ``cum_*`` and ``all_*``."""
     keys = list(keys)
-    pairs = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
+    pairs = cut_lineage(df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])).filter(F.col(value).isNotNull())
     cuts = [i / RANGES for i in range(1, RANGES)]
-    bounds = pairs.agg(F.percentile_approx(value, cuts, 2000)).scalar()
-    ranged = pairs.withColumn("_cuts", bounds).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda b: b < F.col(value)))
-    ).drop("_cuts")
+    bounds = pairs.agg(F.percentile_approx(value, cuts, 2000)).first()[0] or []  # RANGES numbers
+    steps = [(F.col(value) > F.lit(b)).cast("int") for b in sorted(set(bounds))]
+    ranged = pairs.withColumn("_range", F.coalesce(sum(steps, F.lit(0)), F.lit(0)))
     order = F.col(value).desc() if descending else F.col(value).asc()
     range_order = F.col("_range").desc() if descending else F.col("_range").asc()
     inside = W.partitionBy(*keys, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)

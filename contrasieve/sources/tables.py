@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CONTRACT_JSON = T.StructType.fromDDL(
+CONTRACT_DDL = (
     "categoriaProcesso STRUCT<id: INT, nome: STRING>,"
     "unidadeOrgao STRUCT<ufSigla: STRING, municipioNome: STRING, nomeUnidade: STRING>,"
     "orgaoEntidade STRUCT<cnpj: STRING, razaoSocial: STRING, esferaId: STRING, poderId: STRING>,"
