@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from contrasieve.functions import text as tx
 from contrasieve.operators.sampling import top_per_group
+from contrasieve.session import cut_lineage
 
 
 def term_table(df: DataFrame, key: str, tokens: Column, n_min: int = 1, n_max: int = 1, carry: Sequence[str] = ()) -> DataFrame:
@@ -65,7 +66,8 @@ def tfidf(
     ``max_terms``, which is what makes broadcasting it safe.
     """
     n_docs = df.agg(F.count("*")).scalar()
-    tf = term_table(df, key, tokens, 1, n_max).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    # Counted once: both the vocabulary and the weights read this table.
+    tf = cut_lineage(term_table(df, key, tokens, 1, n_max).groupBy(key, "term").agg(F.count("*").alias("tf")))
     vocabulary = (
         tf.groupBy("term")
         .agg(F.count("*").alias("df"), F.sum("tf").alias("total"))

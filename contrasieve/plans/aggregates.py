@@ -14,8 +14,12 @@ from contrasieve.plans.standin import (
 )
 from contrasieve.plans.text import CLEAN_SQL, FOLD_SQL, MARKERS_SQL, TOKENS_SQL, _term_sum, markers
 
-POS = F.col("label").isin("engenharia", "obras")
-GERAL = F.col("label") == "geral"
+def is_pos():
+    return F.col("label").isin("engenharia", "obras")
+
+def is_geral():
+    return F.col("label") == "geral"
+
 NAME_HINT = [r"7$", r"3$"]
 
 
@@ -68,7 +72,7 @@ def a3(spark, d):
 def a4(spark, d):
     f = fact(spark, d)
     cut = totals.exact_quantiles(f.filter("label = 'engenharia'"), [], "value", {"p75": 0.75}).scalar()
-    return f.filter(GERAL & (F.col("value") >= cut)).select("id", "value")
+    return f.filter(is_geral() & (F.col("value") >= cut)).select("id", "value")
 
 
 A5_SQL = f"""WITH {FACT}, c AS (SELECT month, label, count(*) AS n FROM fact GROUP BY 1, 2)
@@ -86,7 +90,7 @@ def a5(spark, d):
     SELECT month, n, {R('100 * share')} AS pct_geral, share > 0.36 AS severe FROM c WHERE share > 0.35""",
 )
 def a6(spark, d):
-    c = fact(spark, d).groupBy("month").agg(F.avg(GERAL.cast("int")).alias("share"), F.count("*").alias("n"))
+    c = fact(spark, d).groupBy("month").agg(F.avg(is_geral().cast("int")).alias("share"), F.count("*").alias("n"))
     return c.filter("share > 0.35").select("month", "n", r(100 * F.col("share")).alias("pct_geral"), (F.col("share") > 0.36).alias("severe"))
 
 
@@ -101,7 +105,7 @@ A7_SQL = f"""WITH {FACT}, c AS (SELECT year, label, count(*) AS n FROM fact GROU
 def a7(spark, d):
     from contrasieve.operators import drift
 
-    out = drift.year_jumps(fact(spark, d), "year", "label", POS, 0.5)
+    out = drift.year_jumps(fact(spark, d), "year", "label", is_pos(), 0.5)
     return out.select("label", "year", *[r(F.col(c)).alias(c) for c in ("pct_before", "pct", "change")], "cut_year")
 
 
@@ -183,7 +187,7 @@ def a12(spark, d):
     f"""WITH {TEXTS}, t AS (SELECT {CLEAN_SQL} AS c FROM texts WHERE label = 'geral') SELECT CAST(least({_term_sum('c')}, 10) AS INTEGER) AS hits, count(*) AS n FROM t GROUP BY 1""",
 )
 def a13(spark, d):
-    c = texts(spark, d).filter(GERAL).select(tx.clean(F.col("text")).alias("c"))
+    c = texts(spark, d).filter(is_geral()).select(tx.clean(F.col("text")).alias("c"))
     hits = F.least(tx.domain_term_count(F.col("c"), CORPUS_TERMS), F.lit(10))
     return c.groupBy(hits.alias("hits")).agg(F.count("*").alias("n"))
 
@@ -235,7 +239,7 @@ def a15(spark, d):
     {R("100.0 * count(*) FILTER (WHERE hint AND label = 'geral') / count(*)")} AS pct_flag FROM factn GROUP BY 1 HAVING count(*) >= 5""",
 )
 def a16(spark, d):
-    return pairs.flag_concentration(fact_names(spark, d), ["agency"], name_hint() & GERAL).withColumn("pct_flag", r(F.col("pct_flag")))
+    return pairs.flag_concentration(fact_names(spark, d), ["agency"], name_hint() & is_geral()).withColumn("pct_flag", r(F.col("pct_flag")))
 
 
 def evidence(spark, d):
@@ -249,7 +253,7 @@ def evidence(spark, d):
     SELECT g.supplier, {R('coalesce(code_score, 0)')} AS code_score, n_geral, {R('coalesce(code_score, 0) * n_geral')} AS ranking FROM g LEFT JOIN ev USING (supplier)""",
 )
 def a17(spark, d):
-    g = fact(spark, d).filter(GERAL).groupBy("supplier").agg(F.count("*").alias("n_geral"))
+    g = fact(spark, d).filter(is_geral()).groupBy("supplier").agg(F.count("*").alias("n_geral"))
     j = g.join(evidence(spark, d), "supplier")
     return j.select("supplier", r(F.col("code_score")).alias("code_score"), "n_geral", r(F.col("code_score") * F.col("n_geral")).alias("ranking"))
 
@@ -281,7 +285,7 @@ def a18(spark, d):
 )
 def a19(spark, d):
     c = coded(spark, d).groupBy("label", "code_eng").agg(F.count("*").alias("n"))
-    kind = F.when(GERAL & F.col("code_eng"), "subenquadramento").when(~GERAL & ~F.col("code_eng"), "anomalia").otherwise("consistente")
+    kind = F.when(is_geral() & F.col("code_eng"), "subenquadramento").when(~is_geral() & ~F.col("code_eng"), "anomalia").otherwise("consistente")
     total = c.agg(F.sum("n")).scalar()
     return c.select("label", "code_eng", "n", r(100 * F.col("n") / total).alias("pct"), kind.alias("kind"))
 
@@ -292,7 +296,7 @@ def a19(spark, d):
     {R("100.0 * count(*) FILTER (WHERE label = 'geral' AND code_eng) / count(*)")} AS pct_flag FROM coded GROUP BY 1 HAVING count(*) >= 10""",
 )
 def a20(spark, d):
-    out = pairs.flag_concentration(coded(spark, d), ["agency"], GERAL & F.col("code_eng"), 10)
+    out = pairs.flag_concentration(coded(spark, d), ["agency"], is_geral() & F.col("code_eng"), 10)
     return out.withColumn("pct_flag", r(F.col("pct_flag")))
 
 
@@ -302,7 +306,7 @@ def a20(spark, d):
     {R("100.0 * count(*) FILTER (WHERE label = 'geral' AND code_eng) / count(*)")} AS pct_flag FROM coded GROUP BY 1""",
 )
 def a21(spark, d):
-    out = pairs.flag_concentration(coded(spark, d), ["year"], GERAL & F.col("code_eng"), 1)
+    out = pairs.flag_concentration(coded(spark, d), ["year"], is_geral() & F.col("code_eng"), 1)
     return out.withColumn("pct_flag", r(F.col("pct_flag")))
 
 
@@ -315,7 +319,7 @@ def a21(spark, d):
 def a22(spark, d):
     clf, code = score(F.col("id")) > 0.5, F.col("code_eng")
     grp = (
-        F.when(GERAL & clf & code, "Q1").when(~GERAL & code, "Q2").when(GERAL & code, "Q3").when(~GERAL, "Q4").otherwise("resto")
+        F.when(is_geral() & clf & code, "Q1").when(~is_geral() & code, "Q2").when(is_geral() & code, "Q3").when(~is_geral(), "Q4").otherwise("resto")
     )
     return coded(spark, d).groupBy(grp.alias("grp")).agg(
         F.count("*").alias("n"), F.count_if("hint").alias("with_name_hint"), r(F.sum("value"), 2).alias("value")
@@ -329,7 +333,7 @@ def a22(spark, d):
     {R('sum(CASE WHEN suspect THEN value ELSE 0 END)', 2)} AS at_stake, {R('100 * sum(CASE WHEN suspect THEN value ELSE 0 END) / (SELECT sum(value) FROM fact)')} AS pct_at_stake FROM s GROUP BY 1""",
 )
 def a23(spark, d):
-    f = fact(spark, d).withColumn("stake", F.when(GERAL & (score(F.col("id")) >= 0.5), F.col("value")).otherwise(0.0))
+    f = fact(spark, d).withColumn("stake", F.when(is_geral() & (score(F.col("id")) >= 0.5), F.col("value")).otherwise(0.0))
     total = f.agg(F.sum("value")).scalar()
     med = totals.exact_quantiles(f, ["label"], "value", {"median": 0.5})
     out = f.groupBy("label").agg(
@@ -350,7 +354,7 @@ def a24(spark, d):
     top = s.groupBy("state").count().orderBy(F.desc("count"), "state").limit(1).select("state").scalar()
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     out = s.agg(
-        F.count("*").alias("n"), F.count_if(GERAL).alias("n_geral"), day(F.min("date")).alias("first_day"), day(F.max("date")).alias("last_day"),
+        F.count("*").alias("n"), F.count_if(is_geral()).alias("n_geral"), day(F.min("date")).alias("first_day"), day(F.max("date")).alias("last_day"),
         F.count_if(F.col("p") > 0.5).alias("n_clf"), F.count_if(F.col("discount") > 0.08).alias("n_discount"),
         F.countDistinct("agency").alias("n_agencies"), F.countDistinct("supplier").alias("n_suppliers"),
     )
@@ -410,10 +414,10 @@ def a27(spark, d):
     UNION ALL SELECT 7, 'analisados', count(*) FILTER (WHERE conf AND status = 'F') FROM s UNION ALL SELECT 8, 'aguardando', count(*) FILTER (WHERE conf AND status <> 'F') FROM s""",
 )
 def a28(spark, d):
-    sus = GERAL & (F.col("p") >= 0.6)
+    sus = is_geral() & (F.col("p") >= 0.6)
     conf = sus & (F.col("qty") >= 20)
     steps = {
-        "base": F.lit(True), "positivos": ~GERAL, "geral": GERAL, "suspeitos": sus, "nao_suspeitos": GERAL & ~sus, "confirmados": conf,
+        "base": F.lit(True), "positivos": ~is_geral(), "geral": is_geral(), "suspeitos": sus, "nao_suspeitos": is_geral() & ~sus, "confirmados": conf,
         "descartados": sus & ~conf, "analisados": conf & (F.col("status") == "F"), "aguardando": conf & (F.col("status") != "F"),
     }
     return rules.funnel(scored(spark, d), steps)
@@ -448,7 +452,7 @@ def a30(spark, d):
 )
 def a31(spark, d):
     k = rules.count_flags([F.col("p") > 0.5, F.col("discount") > 0.05, F.col("qty") > 25])
-    s = scored(spark, d).filter(GERAL).filter(k >= 2).groupBy("municipality").agg(F.count("*").alias("n"))
+    s = scored(spark, d).filter(is_geral()).filter(k >= 2).groupBy("municipality").agg(F.count("*").alias("n"))
     places = table(spark, d, "nation").select(F.col("n_name").alias("municipality"), F.col("n_regionkey").alias("lat"))
     return s.join(places, "municipality")
 

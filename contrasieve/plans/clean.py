@@ -12,7 +12,9 @@ from contrasieve.plans.standin import FACT, FACT_GEO, R, fact, fact_geo, r
 from contrasieve.plans.text import sql_list
 
 # The part size (1..50) stands for the category code and priority for the modality.
-CATEGORY = F.col("p_size") % 12
+def category():
+    return F.col("p_size") % 12
+
 
 
 @query(
@@ -24,7 +26,7 @@ CATEGORY = F.col("p_size") % 12
     FROM p WHERE c IN (7, 8, 9)""",
 )
 def f1(spark, d):
-    p = table(spark, d, "part").select("p_partkey", CATEGORY.alias("c")).filter(F.col("c").isin(*vocab.CATEGORIES_IN_SCOPE))
+    p = table(spark, d, "part").select("p_partkey", category().alias("c")).filter(F.col("c").isin(*vocab.CATEGORIES_IN_SCOPE))
     label = cl.label_from_category(F.col("c"))
     return p.select(
         "p_partkey",

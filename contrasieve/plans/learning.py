@@ -12,8 +12,12 @@ from contrasieve.plans.registry import query, table
 from contrasieve.plans.standin import FACT, FACT_GEO, R, SCORE, TEXTS, fact, fact_geo, r, score, texts
 from contrasieve.plans.text import COMPAT_SQL
 
-GERAL = F.col("label") == "geral"
-POS = F.col("label") != "geral"
+def is_geral():
+    return F.col("label") == "geral"
+
+def is_pos():
+    return F.col("label") != "geral"
+
 
 
 def vectors(spark, d):
@@ -124,7 +128,7 @@ PRF = f"""{R('CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END')} AS
     SELECT status, tp, fp, fn, tn, {PRF}, {R('(tp + tn) / (tp + fp + fn + tn)::DOUBLE')} AS accuracy FROM c""",
 )
 def m8c(spark, d):
-    out = metrics.confusion(predicted(spark, d), ["status"], POS, F.col("guess") != "geral")
+    out = metrics.confusion(predicted(spark, d), ["status"], is_pos(), F.col("guess") != "geral")
     for c in ("precision", "recall", "f1", "accuracy"):
         out = out.withColumn(c, r(F.col(c)))
     return out
@@ -135,8 +139,8 @@ TIED = FACT + f", tied AS (SELECT id, status, label <> 'geral' AS y, round(0.7 *
 
 
 def tied(spark, d):
-    s = F.round(0.7 * score(F.col("id")) + F.when(POS, 0.2).otherwise(0.0), 2)
-    return fact(spark, d).select("id", "status", POS.alias("y"), s.alias("s"))
+    s = F.round(0.7 * score(F.col("id")) + F.when(is_pos(), 0.2).otherwise(0.0), 2)
+    return fact(spark, d).select("id", "status", is_pos().alias("y"), s.alias("s"))
 
 
 @query(
@@ -176,7 +180,7 @@ def m10p(spark, d):
 
 @query("m11_bootstrap")
 def m11(spark, d):
-    cells = metrics.confusion(predicted(spark, d), [], POS, F.col("guess") != "geral")
+    cells = metrics.confusion(predicted(spark, d), [], is_pos(), F.col("guess") != "geral")
     return metrics.bootstrap(cells, 200)
 
 
@@ -186,7 +190,7 @@ def m11(spark, d):
     SELECT only_a, only_b, {R('CASE WHEN only_a + only_b > 0 THEN greatest(abs(only_a - only_b) - 1, 0) ** 2 / (only_a + only_b)::DOUBLE ELSE 0 END')} AS chi2 FROM c""",
 )
 def m12(spark, d):
-    out = metrics.mcnemar(predicted(spark, d), POS, F.col("guess") != "geral", F.col("discount") > 0.03)
+    out = metrics.mcnemar(predicted(spark, d), is_pos(), F.col("guess") != "geral", F.col("discount") > 0.03)
     return out.select("only_a", "only_b", r(F.col("chi2")).alias("chi2"))
 
 
@@ -216,7 +220,7 @@ def m14(spark, d):
 )
 def m15(spark, d):
     votes = rules.count_flags([F.col("p") >= 0.5, score(F.col("id"), "a") >= 0.5, score(F.col("id"), "b") >= 0.5])
-    return scored(spark, d).filter(GERAL).select("id", votes.alias("votes")).filter("votes >= 2")
+    return scored(spark, d).filter(is_geral()).select("id", votes.alias("votes")).filter("votes >= 2")
 
 
 PU = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, label IN (0, 1, 2) AS pos FROM embeddings),
@@ -263,7 +267,7 @@ def m19(spark, d):
     SELECT doc_id, {R('p')} AS p FROM (SELECT * FROM x WHERE p >= 0.4 QUALIFY row_number() OVER (PARTITION BY k, source ORDER BY p DESC, doc_id) = 1) ORDER BY p DESC, doc_id LIMIT 5000""",
 )
 def m20(spark, d):
-    x = texts(spark, d).filter(GERAL).select("doc_id", "source", F.substring(F.lower("text"), 1, 80).alias("k"), score(F.col("doc_id")).alias("p"))
+    x = texts(spark, d).filter(is_geral()).select("doc_id", "source", F.substring(F.lower("text"), 1, 80).alias("k"), score(F.col("doc_id")).alias("p"))
     best = pairs.keep_best(x.filter("p >= 0.4"), ["k", "source"], "p", "doc_id")
     return pairs.ranked(best, ["p"], "doc_id").limit(5000).select("doc_id", r(F.col("p")).alias("p"))
 
@@ -275,7 +279,7 @@ def m20(spark, d):
     SELECT strategy, id, {R('s')} AS s FROM u QUALIFY row_number() OVER (PARTITION BY strategy ORDER BY s DESC, id) <= 50""",
 )
 def m21(spark, d):
-    g = scored(spark, d).filter(GERAL).select("id", F.array("p", 1 - F.col("p")).alias("q"))
+    g = scored(spark, d).filter(is_geral()).select("id", F.array("p", 1 - F.col("p")).alias("q"))
     out = None
     for name in ("uncertainty", "margin", "entropy"):
         s = g.select(F.lit(name).alias("strategy"), "id", F.round(learn.uncertainty(F.col("q"), name), 9).alias("s"))
@@ -306,7 +310,7 @@ def m22(spark, d):
 )
 def m23(spark, d):
     quotas = {(True, True): 10, (True, False): 10, (False, True): 5, (False, False): 5}
-    out = learn.quadrant_sample(fact(spark, d).select("id", "label", "discount"), GERAL, F.col("discount") > 0.05, "id", quotas)
+    out = learn.quadrant_sample(fact(spark, d).select("id", "label", "discount"), is_geral(), F.col("discount") > 0.05, "id", quotas)
     return out.select("id", "q_label", "q_code")
 
 
@@ -334,7 +338,7 @@ def m24(spark, d):
 )
 def m25(spark, d):
     a, b = F.col("p") > 0.5, F.col("discount") > 0.05
-    out = metrics.signal_scores(scored(spark, d).filter("qty > 5"), POS, {"clf": a, "code": b, "clf_and_code": a & b}).drop("accuracy")
+    out = metrics.signal_scores(scored(spark, d).filter("qty > 5"), is_pos(), {"clf": a, "code": b, "clf_and_code": a & b}).drop("accuracy")
     for c in ("precision", "recall", "f1"):
         out = out.withColumn(c, r(F.col(c)))
     return out
@@ -365,7 +369,7 @@ def m26s(spark, d):
 
 @query("m27_representation_comparison")
 def m27(spark, d):
-    t = texts(spark, d).filter(POS).withColumn("y", (F.col("label") == "engenharia").cast("int"))
+    t = texts(spark, d).filter(is_pos()).withColumn("y", (F.col("label") == "engenharia").cast("int"))
     model = {"logistic": learn.estimators(2)["logistic"]}
     out = None
     for name, tokens in {
@@ -381,7 +385,7 @@ def m27(spark, d):
 
 @query("m28_term_coefficients")
 def m28(spark, d):
-    t = texts(spark, d).withColumn("y", POS.cast("int"))
+    t = texts(spark, d).withColumn("y", is_pos().cast("int"))
     return learn.term_coefficients(t, tx.tokens(F.col("text")))
 
 

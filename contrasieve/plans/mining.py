@@ -10,8 +10,12 @@ from contrasieve.plans.registry import query, table
 from contrasieve.plans.standin import CORPUS_KEYWORDS, R, TEXTS, r, texts
 from contrasieve.plans.text import COMPAT_SQL, TOKENS_SQL, _stem_sql, sql_list
 
-TOK = tx.tokens(F.col("text"))
-POS = F.col("label") != "geral"
+def doc_tokens():
+    return tx.tokens(F.col("text"))
+
+def is_pos():
+    return F.col("label") != "geral"
+
 
 WORDS = f"{TEXTS}, tk AS (SELECT doc_id, label, source, text, {TOKENS_SQL} AS k FROM texts)"
 BIGRAMS = "unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i+1]))"
@@ -25,8 +29,8 @@ BIGRAMS = "unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i+
 )
 def x1(spark, d):
     t = texts(spark, d)
-    one = terms.term_table(t, "doc_id", TOK, carry=["label"]).withColumn("kind", F.lit("word"))
-    two = terms.term_table(t, "doc_id", TOK, 2, 2, carry=["label"]).withColumn("kind", F.lit("bigram"))
+    one = terms.term_table(t, "doc_id", doc_tokens(), carry=["label"]).withColumn("kind", F.lit("word"))
+    two = terms.term_table(t, "doc_id", doc_tokens(), 2, 2, carry=["label"]).withColumn("kind", F.lit("bigram"))
     return terms.frequencies(one.unionByName(two), ["label", "kind"], 25)
 
 
@@ -35,7 +39,7 @@ def x1(spark, d):
     f"WITH {WORDS}, w AS (SELECT unnest(k) AS word FROM tk) SELECT {_stem_sql('word')} AS term, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, term LIMIT 50",
 )
 def x1s(spark, d):
-    w = terms.term_table(texts(spark, d), "doc_id", TOK)
+    w = terms.term_table(texts(spark, d), "doc_id", doc_tokens())
     # Count words first, so the stemmer runs once per distinct word.
     counted = w.groupBy("term").agg(F.count("*").alias("n"))
     return counted.groupBy(tx.stem(F.col("term")).alias("term")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(50)
@@ -49,7 +53,7 @@ TFIDF = WORDS + f""", occ AS (SELECT doc_id, unnest(k) AS term FROM tk UNION ALL
 
 
 def weights(spark, d):
-    return terms.tfidf(texts(spark, d), "doc_id", TOK)
+    return terms.tfidf(texts(spark, d), "doc_id", doc_tokens())
 
 
 @query("x2_tfidf", f"WITH {TFIDF} SELECT doc_id, term, {R('weight')} AS weight FROM wt")
@@ -87,9 +91,9 @@ PRESENCE = WORDS + """, pr AS (SELECT DISTINCT doc_id, label, unnest(k) AS term
 
 def counts(spark, d, n_min=1, n_max=1):
     t = texts(spark, d)
-    presence = terms.presence_table(t, "doc_id", TOK, n_min, n_max, carry=["label"])
-    n_pos, n_neg = terms.class_sizes(t, POS)
-    return terms.class_presence(presence, POS), n_pos, n_neg
+    presence = terms.presence_table(t, "doc_id", doc_tokens(), n_min, n_max, carry=["label"])
+    n_pos, n_neg = terms.class_sizes(t, is_pos())
+    return terms.class_presence(presence, is_pos()), n_pos, n_neg
 
 
 def _mi(joint, row, col):
@@ -128,11 +132,11 @@ def x6(spark, d):
 )
 def x7(spark, d):
     t = texts(spark, d)
-    presence = terms.presence_table(t, "doc_id", TOK, 1, 4, carry=["label"])
+    presence = terms.presence_table(t, "doc_id", doc_tokens(), 1, 4, carry=["label"])
     counted = presence.groupBy("term").agg(
-        F.count_if(POS).alias("n_pos"), F.count_if(~POS).alias("n_neg"), F.min(F.when(POS, F.col("doc_id"))).alias("example")
+        F.count_if(is_pos()).alias("n_pos"), F.count_if(~is_pos()).alias("n_neg"), F.min(F.when(is_pos(), F.col("doc_id"))).alias("example")
     )
-    out = terms.domain_terms(counted, *terms.class_sizes(t, POS))
+    out = terms.domain_terms(counted, *terms.class_sizes(t, is_pos()))
     return out.select("term", "n_pos", "n_neg", "n_words", "example", r(F.col("score")).alias("score"))
 
 
@@ -163,8 +167,8 @@ def x9(spark, d):
 )
 def x10(spark, d):
     t = texts(spark, d)
-    presence = terms.presence_table(t, "doc_id", TOK, carry=["label"])
-    out = terms.keyword_table(presence, CORPUS_KEYWORDS, POS, *terms.class_sizes(t, POS))
+    presence = terms.presence_table(t, "doc_id", doc_tokens(), carry=["label"])
+    out = terms.keyword_table(presence, CORPUS_KEYWORDS, is_pos(), *terms.class_sizes(t, is_pos()))
     return out.select("term", "n_pos", "n_neg", *[r(F.col(c)).alias(c) for c in ("pct_pos", "pct_neg", "lift")])
 
 
@@ -175,13 +179,13 @@ def x10(spark, d):
     SELECT label, term, n, CAST(rnk AS INTEGER) AS rnk, {R('regr_slope(ln(n), ln(rnk)) OVER (PARTITION BY label)')} AS slope FROM k""",
 )
 def x11(spark, d):
-    out = terms.zipf(terms.term_table(texts(spark, d), "doc_id", TOK, carry=["label"]), ["label"], 200)
+    out = terms.zipf(terms.term_table(texts(spark, d), "doc_id", doc_tokens(), carry=["label"]), ["label"], 200)
     return out.withColumn("slope", r(F.col("slope")))
 
 
 @query("x12_lda_topics")
 def x12(spark, d):
-    return topics.lda_topics(texts(spark, d), "doc_id", TOK, POS, k=8, rounds=10)
+    return topics.lda_topics(texts(spark, d), "doc_id", doc_tokens(), is_pos(), k=8, rounds=10)
 
 
 @query("x13_nmf_topics")
@@ -200,4 +204,4 @@ def x14(spark, d):
 
 @query("x15_text_vectors")
 def x15(spark, d):
-    return features.text_vectors(texts(spark, d), "doc_id", TOK, size=32)
+    return features.text_vectors(texts(spark, d), "doc_id", doc_tokens(), size=32)

@@ -14,9 +14,12 @@ from contrasieve.plans.registry import query, table
 from contrasieve.plans.standin import (
     CORPUS_FAMILIES, CORPUS_OBVIOUS, FACT, FACT_AGENCY, R, SCORE, TEXTS, fact, fact_agency, r, score, texts,
 )
-from contrasieve.plans.text import FOLD_SQL, MARKERS_SQL, OBVIOUS_SQL, markers
+from contrasieve.plans.text import FOLD_SQL, MARKERS_SQL, OBVIOUS_SQL
+from contrasieve.session import cut_lineage
+
+def is_geral():
+    return F.col("label") == "geral"
 
-GERAL = F.col("label") == "geral"
 
 TRIAGED = f"""b AS (SELECT doc_id, label, {FOLD_SQL} AS f FROM texts), m AS (SELECT doc_id, label, f, {MARKERS_SQL}, {OBVIOUS_SQL} AS pattern FROM b),
   s AS (SELECT doc_id, label, pattern, (mk_definite > 0)::INT + (mk_link > 0)::INT + (mk_prep > 0)::INT + (mk_rare > 0)::INT AS mk_score FROM m),
@@ -38,7 +41,8 @@ def triaged(spark, d):
 
 @query("r1_triage", f"WITH {TEXTS}, {TRIAGED} SELECT doc_id, label, pattern, mk_score, outcome FROM tri")
 def r1(spark, d):
-    return pairs.ranked(triaged(spark, d), ["mk_score"], "doc_id")
+    # A range sort reads its input twice (sampling, then sorting): the texts are matched once.
+    return pairs.ranked(cut_lineage(triaged(spark, d)), ["mk_score"], "doc_id")
 
 
 @query(
@@ -47,9 +51,9 @@ def r1(spark, d):
     SELECT 'outcome' AS kind, outcome AS name, count(*) AS n FROM tri GROUP BY 2 UNION ALL SELECT 'pattern', pattern, n FROM p""",
 )
 def r1s(spark, d):
-    t = triaged(spark, d)
+    t = cut_lineage(triaged(spark, d))
     counts = t.groupBy(F.lit("outcome").alias("kind"), F.col("outcome").alias("name")).agg(F.count("*").alias("n"))
-    top = t.filter(GERAL & F.col("pattern").isNotNull()).groupBy(F.lit("pattern").alias("kind"), F.col("pattern").alias("name"))
+    top = t.filter(is_geral() & F.col("pattern").isNotNull()).groupBy(F.lit("pattern").alias("kind"), F.col("pattern").alias("name"))
     return counts.unionByName(top.agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(10))
 
 
@@ -128,7 +132,7 @@ def consolidated(spark, d):
     f"WITH {CODE}, {CONSOLIDATED} SELECT id, n_signals, {R('p')} AS p FROM (SELECT * FROM con WHERE label = 'geral' ORDER BY n_signals DESC, p DESC, id LIMIT 2000)",
 )
 def r5(spark, d):
-    top = pairs.ranked(consolidated(spark, d).filter(GERAL), ["n_signals", "p"], "id").limit(2000)
+    top = pairs.ranked(consolidated(spark, d).filter(is_geral()), ["n_signals", "p"], "id").limit(2000)
     return top.select("id", "n_signals", r(F.col("p")).alias("p"))
 
 
@@ -138,7 +142,7 @@ def r5(spark, d):
     SELECT id, CASE WHEN outcome = 'ambiguo' THEN CASE WHEN n_signals >= 2 THEN 'subenquadramento_provavel_ml' ELSE 'provavel_geral_real' END ELSE outcome END AS verdict FROM o""",
 )
 def r6(spark, d):
-    c = consolidated(spark, d).filter(GERAL)
+    c = consolidated(spark, d).filter(is_geral())
     outcome = rules.triage(F.col("label"), F.col("qty") > 30, F.when(F.col("status") == "F", 2).otherwise(0))
     return c.select("id", rules.ambiguous_verdict(outcome, F.col("n_signals")).alias("verdict"))
 
@@ -150,7 +154,7 @@ def r6(spark, d):
     SELECT n AS n_signals, count(*) AS n_rows, n >= 2 AS robust2, n >= 3 AS robust3, n >= 4 AS robust4 FROM x WHERE n >= 1 GROUP BY 1""",
 )
 def r7(spark, d):
-    g = coded(spark, d).filter(GERAL).withColumn("p", score(F.col("id")))
+    g = coded(spark, d).filter(is_geral()).withColumn("p", score(F.col("id")))
     n = rules.count_flags([F.col("p") > 0.7, F.col("hint"), F.col("code_eng"), F.col("qty") > 30, F.col("tax") > 0.06, F.col("discount") > 0.08])
     c = g.select(n.alias("n_signals")).filter("n_signals >= 1").groupBy("n_signals").agg(F.count("*").alias("n_rows"))
     return c.select("*", *[(F.col("n_signals") >= k).alias(f"robust{k}") for k in (2, 3, 4)])
@@ -164,7 +168,7 @@ def r7(spark, d):
     SELECT doc_id, n_signals, {R('p')} AS p FROM n QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY n_signals DESC, p DESC, doc_id) = 1""",
 )
 def r8(spark, d):
-    t = triaged(spark, d).filter(GERAL).withColumn("p", score(F.col("doc_id"))).withColumn("vote", score(F.col("doc_id"), "v"))
+    t = triaged(spark, d).filter(is_geral()).withColumn("p", score(F.col("doc_id"))).withColumn("vote", score(F.col("doc_id"), "v"))
     n = rules.count_flags([F.col("p") >= 0.6, F.col("vote") >= 0.5, F.col("mk_score") >= 3, F.col("pattern").isNotNull()])
     keys = table(spark, d, "documents").select("doc_id", "source", F.substring(F.lower("text"), 1, 80).alias("k"))
     ranked = t.withColumn("n_signals", n).join(keys, "doc_id")
@@ -180,7 +184,7 @@ def r8(spark, d):
     FROM con WHERE label = 'geral' GROUP BY 1""",
 )
 def r9(spark, d):
-    return consolidated(spark, d).filter(GERAL).groupBy(cl.confidence_band(F.col("n_signals")).alias("band")).agg(F.count("*").alias("n"))
+    return consolidated(spark, d).filter(is_geral()).groupBy(cl.confidence_band(F.col("n_signals")).alias("band")).agg(F.count("*").alias("n"))
 
 
 PROCEDURE = """pr AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderstatus, o_orderdate, o_custkey % 11 <> 0 AS has_purchase, coalesce(n_docs, 0) AS n_docs, coalesce(chars, 0) AS chars, coalesce(mk, 0) AS mk,
@@ -251,7 +255,7 @@ def r13(spark, d):
 )
 def r14(spark, d):
     review = F.when(F.col("qty") > 33, "subenq").when(F.col("qty") > 5, "ok").otherwise("duv")
-    m = consolidated(spark, d).filter(GERAL).withColumn("review", review).filter("review <> 'duv'")
+    m = consolidated(spark, d).filter(is_geral()).withColumn("review", review).filter("review <> 'duv'")
     cell = metrics.error_type(F.col("review") == "subenq", F.col("n_signals") >= 2)
     return m.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
 
@@ -262,7 +266,7 @@ def r14(spark, d):
     f"WHERE label = 'geral' AND p >= 0.75 AND (p >= 0.75)::INT + ({SCORE('id', 'a')} >= 0.5)::INT + ({SCORE('id', 'b')} >= 0.5)::INT >= 2",
 )
 def r15(spark, d):
-    g = scored(spark, d).filter(GERAL).select("id", "p")
+    g = scored(spark, d).filter(is_geral()).select("id", "p")
     votes = rules.count_flags([F.col("p") >= 0.75, score(F.col("id"), "a") >= 0.5, score(F.col("id"), "b") >= 0.5])
     consensus = g.withColumn("votes", votes).filter("votes >= 2").select("id", "votes")
     out = pairs.intersect_suspects(g.filter("p >= 0.75"), consensus, "id")

@@ -80,9 +80,12 @@ def t5(spark, d):
 )
 def t6(spark, d):
     words = docs(spark, d).select("doc_id", tx.tokens(F.col("text")).alias("k"))
-    grams = words.select("doc_id", F.explode(tx.ngrams(F.col("k"), 1, 4)).alias("gram"))
-    n = F.size(F.split("gram", " ")).alias("n")
-    return grams.groupBy("doc_id", n).agg(F.count("*").alias("grams"), F.countDistinct("gram").alias("distinct_grams"))
+    arrays = words.select("doc_id", *[tx.ngrams(F.col("k"), n, n).alias(f"g{n}") for n in range(1, 5)])
+    sizes = [
+        F.struct(F.lit(n).alias("n"), F.size(f"g{n}").cast("long").alias("grams"), F.size(F.array_distinct(f"g{n}")).cast("long").alias("distinct_grams"))
+        for n in range(1, 5)
+    ]
+    return arrays.select("doc_id", F.inline(F.array(*sizes))).filter("grams > 0")
 
 
 @query(

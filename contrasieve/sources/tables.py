@@ -27,6 +27,16 @@ def read_columns(spark: SparkSession, path: str | Sequence[str], columns: Sequen
     return df.select(*[c for c in columns if c in df.columns])
 
 
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over all cores when a scan has fewer splits than cores.
+
+    Long texts make one split the slowest task of a stage. A table of many files already has
+    more splits than cores and is left alone, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def flatten_record(df: DataFrame) -> DataFrame:
     """Flat row of a nested contract record; missing text is empty, other gaps stay null."""
     flat: list[Column] = []
