@@ -233,6 +233,21 @@ def spread_labels(edges: DataFrame, labels: DataFrame, rounds: int, cut_every: i
     return state
 
 
+def spread_report(spread: DataFrame, truth: DataFrame, min_share: float = 0.8) -> DataFrame:
+    """One row: hidden rows reached, accuracy on them, disagreements held with a large share.
+
+    ``spread`` comes from :func:`spread_labels`; ``truth`` has (vertex, label) of the hidden rows.
+    """
+    best = spread.groupBy("vertex").agg(F.min(F.struct((-F.round("share", 9)).alias("s"), "label")).alias("b"))
+    judged = best.join(truth.select("vertex", F.col("label").alias("_true")), "vertex")
+    hit = F.col("b.label") == F.col("_true")
+    return judged.agg(
+        F.count("*").alias("n_reached"),
+        F.avg(hit.cast("int")).alias("accuracy"),
+        F.count_if(~hit & (-F.col("b.s") > min_share)).alias("n_suspects"),
+    )
+
+
 def regularise_from_seeds(edges: DataFrame, seeds: DataFrame, rounds: int = 30, cut_every: int = 5) -> DataFrame:
     """(vertex, score): seeds stay 1, every other vertex becomes the mean of its neighbours.
 

@@ -37,7 +37,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    return df.join(F.broadcast(class_weights(df, label).withColumnRenamed("weight", name)), label)
+    return df.join(class_weights(df, label).withColumnRenamed("weight", name), label)
 
 
 def weak_labels(is_positive: Column, is_candidate: Column) -> Column:

@@ -99,14 +99,13 @@ def similarity_groups(df: DataFrame, key: str, vector: str, threshold: float, br
     """(vertex, component): single-link groups of rows whose similarity reaches ``threshold``.
 
     Comparing a block of rows with a block of stock yields at most a spanning forest of its
-    links, never all its pairs, and copies are linked to their first row.
+    links, never all its pairs; copies take the group of their first row.
     """
     from contrasieve.operators.graph import connected_components
 
     rows = cut_lineage(unit_rows(df, key, vector))
     first = rows.groupBy("h").agg(F.min("key").alias("first"), F.first("v").alias("v"))
     points = cut_lineage(first.select(F.col("first").alias("key"), "h", "v"))
-    copies = rows.join(points.select("h", F.col("key").alias("dst")), "h").select(F.col("key").alias("src"), "dst")
     kind = dict(points.dtypes)["key"]
     size = points.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     if size.n * (size.dim or 1) <= broadcast_cells:
@@ -124,7 +123,9 @@ def similarity_groups(df: DataFrame, key: str, vector: str, threshold: float, br
         links = points.repartition("h").select("key", "v").mapInPandas(run, f"src {kind}, dst {kind}")
     else:
         links = _links_by_cell(points, threshold, kind, n_pivots or int(min(MAX_PIVOTS, max(2, round(size.n**0.5)))))
-    return connected_components(links.unionByName(copies))
+    found = points.select("h", F.col("key").alias("vertex")).join(connected_components(links), "vertex", "left")
+    groups = found.select("h", F.coalesce("component", "vertex").alias("component"))
+    return rows.select(F.col("key").alias("vertex"), "h").join(groups, "h").select("vertex", "component")
 
 
 def _forest(a_keys: list, a: np.ndarray, b_keys: list, b: np.ndarray, threshold: float) -> pd.DataFrame:

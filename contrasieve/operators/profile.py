@@ -38,8 +38,10 @@ def best_documents(df: DataFrame, keys: Sequence[str], type_id: str, order: Sequ
 
 def value_profile(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, mean, sd, min, max, CV %, bias-adjusted skew and excess kurtosis, and quantiles."""
+    if not keys:
+        return value_profile(df.withColumn("_all", F.lit(1)), ["_all"], value).drop("_all")
     mean = df.groupBy(*keys).agg(F.avg(value).alias("_m"))
-    centred = df.join(F.broadcast(mean) if not keys else mean, list(keys)).withColumn("_d", F.col(value) - F.col("_m"))
+    centred = df.join(mean, list(keys)).withColumn("_d", F.col(value) - F.col("_m"))
     powers = centred.groupBy(*keys).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),

@@ -22,12 +22,12 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def hash_rank(df: DataFrame, groups: Sequence[str], key: str, seed: int = 42, name: str = "_rank") -> DataFrame:
     """Position of every row in the hash order of its group, from 0.
 
-    A group may hold most of the table, so ranks are built from hash ranges: the first byte
-    of the hash splits each group into 256 even slices, ranked apart and shifted by the
-    sizes of the slices before.
+    A group may hold most of the table, so ranks are built from hash ranges: the first three
+    digits of the hash split each group into 4096 even slices, ranked apart and shifted by
+    the sizes of the slices before.
     """
     groups = list(groups)
-    hashed = df.withColumn("_h", hash_order(key, seed)).withColumn("_slice", F.substring("_h", 1, 2))
+    hashed = df.withColumn("_h", hash_order(key, seed)).withColumn("_slice", F.substring("_h", 1, 3))
     inner = W.partitionBy(*groups, "_slice").orderBy("_h", key)
     sizes = hashed.groupBy(*groups, "_slice").agg(F.count("*").alias("_n"))
     whole = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
@@ -44,8 +44,8 @@ def hash_rank(df: DataFrame, groups: Sequence[str], key: str, seed: int = 42, na
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, salt: str, slices: int = 64) -> DataFrame:
     """First ``k`` rows per group: best ``k`` of each salted slice, then of the group.
 
-    No task sees more than a slice of a hot group in the first step, or slices * k rows in
-    the second.
+    Spark already drops rows beyond ``k`` on the map side of a ranked window; the slices
+    spread what is left of a hot group, and the second step sees at most slices * k rows.
     """
     groups = list(groups)
     first = W.partitionBy(*groups, "_salt").orderBy(*order)
@@ -67,6 +67,14 @@ def split_holdout(df: DataFrame, label: str, key: str, test_share: float = 0.2,
     return ranked.withColumn("is_test", F.col("_rank") < quota).drop("_rank", "_size")
 
 
+def split_by_period(df: DataFrame, label: str, key: str, is_late: Column, min_rows: int = 10, seed: int = 42) -> DataFrame:
+    """Adds ``is_test``: late rows, or the hashed hold-out when either side is too small."""
+    sizes = df.agg(F.count_if(is_late).alias("late"), F.count_if(~is_late).alias("early")).first()
+    if min(sizes.late, sizes.early) < min_rows:
+        return split_holdout(df, label, key, seed=seed)
+    return df.withColumn("is_test", is_late)
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """About ``n`` rows, every stratum in proportion to its size."""
     total = df.agg(F.count("*")).scalar()

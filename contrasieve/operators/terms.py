@@ -90,7 +90,7 @@ def chi_square(weights: DataFrame, labels: DataFrame, key: str, label: str, top:
     sums = weights.join(labels.select(key, label), key).groupBy("term", label).agg(F.sum("weight").alias("o"))
     totals = sums.groupBy("term").agg(F.sum("o").alias("t"))
     # Classes a term never meets have o = 0 and add their whole expectation, t * p.
-    joined = sums.join(totals, "term").join(F.broadcast(share.select(label, "_p")), label)
+    joined = sums.join(totals, "term").join(share.select(label, "_p"), label)
     e = F.col("t") * F.col("_p")
     scored = joined.groupBy("term").agg(
         F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("met"),

@@ -10,13 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contrasieve.session import cut_lineage
 
-RANGES = 64
+MIN_RANGES, MAX_RANGES = 64, 4096
+
+
+def _range_count(df: DataFrame) -> int:
+    """Ranges follow the shuffle width the cluster was given, within fixed limits."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_RANGES, min(MAX_RANGES, 4 * width))
 
 
 def running_totals(
@@ -25,10 +32,16 @@ def running_totals(
     """One row per distinct (keys, value): each sum, its running total ``cum_*`` and ``all_*``."""
     keys = list(keys)
     pairs = cut_lineage(df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])).filter(F.col(value).isNotNull())
-    cuts = [i / RANGES for i in range(1, RANGES)]
-    bounds = pairs.agg(F.percentile_approx(value, cuts, 2000)).first()[0] or []  # RANGES numbers
-    steps = [(F.col(value) > F.lit(b)).cast("int") for b in sorted(set(bounds))]
-    ranged = pairs.withColumn("_range", F.coalesce(sum(steps, F.lit(0)), F.lit(0)))
+    n = _range_count(df)
+    cuts = [i / n for i in range(1, n)]
+    bounds = pairs.agg(F.percentile_approx(F.col(value).cast("double"), cuts, 10_000)).first()[0] or []  # n numbers
+    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
+    ranged = pairs.withColumn("_as_double", F.col(value).cast("double"))
+    if len(splits) > 2:
+        ranged = Bucketizer(splits=splits, inputCol="_as_double", outputCol="_bucket").transform(ranged)
+        ranged = ranged.withColumn("_range", F.coalesce(F.col("_bucket").cast("int"), F.lit(0))).drop("_as_double", "_bucket")
+    else:
+        ranged = ranged.withColumn("_range", F.lit(0)).drop("_as_double")
     order = F.col(value).desc() if descending else F.col(value).asc()
     range_order = F.col("_range").desc() if descending else F.col("_range").asc()
     inside = W.partitionBy(*keys, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)

@@ -11,7 +11,7 @@ from contrasieve.plans.registry import query, table
 from contrasieve.plans.standin import (
     FACT, FACT_AGENCY, FACT_GEO, R, SCORE, TEXTS, fact, fact_agency, fact_geo, r, score, texts,
 )
-from contrasieve.plans.text import FOLD_SQL, MARKERS_SQL, TOKENS_SQL, markers
+from contrasieve.plans.text import COMPAT_SQL, FOLD_SQL, MARKERS_SQL, TOKENS_SQL, markers
 
 
 def scored(spark, d):
@@ -138,7 +138,7 @@ def j7(spark, d):
     return joins.prefer_new(old, new, ["o_orderkey"], ["o_orderstatus"])
 
 
-KEYED_DOCS = f"kd AS (SELECT doc_id, trim(regexp_replace({FOLD_SQL}, '[^a-z0-9]+', ' ', 'g')) AS k FROM documents)"
+KEYED_DOCS = f"kd AS (SELECT doc_id, trim(regexp_replace({COMPAT_SQL}, '[^a-z0-9]+', ' ', 'g')) AS k FROM documents)"
 
 
 @query(

@@ -48,7 +48,8 @@ def m1(spark, d):
     SELECT label, year >= 2000 AS is_test, count(*) AS n FROM fact GROUP BY 1, 2""",
 )
 def m1t(spark, d):
-    return fact(spark, d).groupBy("label", (F.col("year") >= 2000).alias("is_test")).agg(F.count("*").alias("n"))
+    split = sampling.split_by_period(fact(spark, d), "label", "id", F.col("year") >= 2000)
+    return split.groupBy("label", "is_test").agg(F.count("*").alias("n"))
 
 
 @query(

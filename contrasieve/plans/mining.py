@@ -120,6 +120,22 @@ def x6(spark, d):
     return out.select("term", "n_pos", "n_neg", r(F.col("log_odds")).alias("log_odds"), r(F.col("score")).alias("score"))
 
 
+@query(
+    "x6_works_vs_services",
+    f"""WITH {WORDS}, pr AS (SELECT DISTINCT doc_id, label, unnest(k) AS term FROM tk WHERE label <> 'geral'),
+    cn AS (SELECT term, count(*) FILTER (WHERE label = 'obras') AS n_pos, count(*) FILTER (WHERE label <> 'obras') AS n_neg FROM pr GROUP BY 1),
+    nn AS (SELECT count(*) FILTER (WHERE label = 'obras')::DOUBLE AS a, count(*) FILTER (WHERE label = 'engenharia')::DOUBLE AS b FROM texts),
+    l AS (SELECT term, n_pos, n_neg, ln(((n_pos + 1) / (a + 1)) / ((n_neg + 1) / (b + 1))) AS lo FROM cn, nn WHERE n_pos + n_neg >= greatest(3, floor(0.01 * (a + b))))
+    SELECT term, n_pos, n_neg, {R('lo')} AS log_odds, {R('lo * ln(1 + n_pos + n_neg)')} AS score FROM l""",
+)
+def x6w(spark, d):
+    t = texts(spark, d).filter(is_pos())
+    works = F.col("label") == "obras"
+    presence = terms.presence_table(t, "doc_id", doc_tokens(), carry=["label"])
+    out = terms.log_odds(terms.class_presence(presence, works), *terms.class_sizes(t, works), min_share=0.01)
+    return out.select("term", "n_pos", "n_neg", r(F.col("log_odds")).alias("log_odds"), r(F.col("score")).alias("score"))
+
+
 @query(
     "x7_domain_terms",
     f"""WITH {WORDS}, g AS (SELECT doc_id, label, unnest(k) AS term FROM tk UNION ALL SELECT doc_id, label, {BIGRAMS} FROM tk

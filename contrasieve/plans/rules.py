@@ -14,7 +14,7 @@ from contrasieve.plans.registry import query, table
 from contrasieve.plans.standin import (
     CORPUS_FAMILIES, CORPUS_OBVIOUS, FACT, FACT_AGENCY, R, SCORE, TEXTS, fact, fact_agency, r, score, texts,
 )
-from contrasieve.plans.text import FOLD_SQL, MARKERS_SQL, OBVIOUS_SQL
+from contrasieve.plans.text import COMPAT_SQL, FOLD_SQL, MARKERS_SQL, OBVIOUS_SQL
 from contrasieve.session import cut_lineage
 
 def is_geral():
@@ -225,7 +225,7 @@ def r11(spark, d):
 
 @query(
     "r12_verdict_queue",
-    f"""WITH k AS (SELECT doc_id, md5(trim(regexp_replace({FOLD_SQL}, '[^a-z0-9]+', ' ', 'g'))) AS k, {SCORE('doc_id')} AS p, {SCORE('doc_id', 'u')} AS sus FROM documents),
+    f"""WITH k AS (SELECT doc_id, md5(trim(regexp_replace({COMPAT_SQL}, '[^a-z0-9]+', ' ', 'g'))) AS k, {SCORE('doc_id')} AS p, {SCORE('doc_id', 'u')} AS sus FROM documents),
     j AS (SELECT k FROM k JOIN labels USING (doc_id)) SELECT doc_id, {R('sus')} AS suspicion FROM k WHERE p >= 0.4 AND k NOT IN (SELECT k FROM j)
     QUALIFY row_number() OVER (PARTITION BY k ORDER BY sus DESC, doc_id) = 1""",
 )

@@ -177,6 +177,20 @@ def k14(spark, d):
     return out.select(F.col("vertex").alias("vec_id"), "label", r(F.col("share")).alias("share"))
 
 
+@query(
+    "k14_spread_report",
+    _spread_sql().split(" SELECT v AS vec_id, label,")[0]
+    + f""", best AS (SELECT v, label, share FROM s3 WHERE v NOT IN (SELECT v FROM lab) QUALIFY row_number() OVER (PARTITION BY v ORDER BY round(share, 9) DESC, label) = 1)
+    SELECT count(*) AS n_reached, {R('avg((b.label = e.label)::INT)')} AS accuracy, count(*) FILTER (WHERE b.label <> e.label AND round(share, 9) > 0.8) AS n_suspects FROM best b JOIN embeddings e ON vec_id = v""",
+)
+def k14r(spark, d):
+    known = known_labels(spark, d)
+    edges = knn(spark, d, 7).select("src", "dst", F.col("sim").alias("weight"))
+    hidden = table(spark, d, "embeddings").select(F.col("vec_id").alias("vertex"), "label").join(known.select("vertex"), "vertex", "left_anti")
+    out = graph.spread_report(graph.spread_labels(edges, known, 3), hidden)
+    return out.withColumn("accuracy", r(F.col("accuracy")))
+
+
 def _regular_sql(rounds=5):
     steps = [f"""WITH {KNN(5)}, g AS (SELECT src, dst FROM knn UNION SELECT dst, src FROM knn), seed AS (SELECT vec_id AS v FROM embeddings WHERE label IN (0, 1, 2)),
       s0 AS (SELECT DISTINCT src AS v, CASE WHEN src IN (SELECT v FROM seed) THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM g)"""]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -59,8 +60,8 @@ def insert_unseen(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int],
         try:
             have = spark.read.parquet(path).filter(F.col("batch") != batch_id)
             fresh = fresh.join(have.select(*keys), list(keys), "left_anti")
-        except Exception as err:
-            if "PATH_NOT_FOUND" not in str(err):
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_NOT_FOUND":
                 raise
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -120,8 +121,8 @@ def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
     return best.select(key, "_r.*")
 
 
-def retrain_trigger(path: str, every: int = 20) -> Callable[[DataFrame, int], None]:
-    """Batch step: one row per crossing of a multiple of ``every`` reviews.
+def retrain_trigger(path: str) -> Callable[[DataFrame, int], None]:
+    """Batch step that records how many reviews came before and in each batch.
 
     Only counts are kept: each batch is aggregated where its rows are, and the running total
     is the sum of a one-row table per batch.
@@ -133,8 +134,8 @@ def retrain_trigger(path: str, every: int = 20) -> Callable[[DataFrame, int], No
         try:
             done = spark.read.parquet(path).filter(F.col("batch") < batch_id)
             before = done.agg(F.coalesce(F.sum("n_reviews"), F.lit(0))).first()[0]
-        except Exception as err:
-            if "PATH_NOT_FOUND" not in str(err):
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_NOT_FOUND":
                 raise
         row = batch.agg(F.count("*").alias("n_reviews"), F.lit(int(before)).cast("long").alias("before"))
         row.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
