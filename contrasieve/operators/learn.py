@@ -138,7 +138,7 @@ def estimators(n_features: int, weight: str | None = "weight") -> dict:
     common = {"labelCol": "y", "featuresCol": "features"}
     return {
         "logistic": LogisticRegression(maxIter=50, regParam=0.01, **common, **w),
-        "linear_svm": LinearSVC(maxIter=50, regParam=0.01, **common, **w),
+        "linear_svm": LinearSVC(maxIter=50, regParam=0.01, tol=1e-4, **common, **w),
         "decision_tree": DecisionTreeClassifier(maxDepth=8, seed=42, **common, **w),
         "random_forest": RandomForestClassifier(numTrees=50, maxDepth=8, seed=42, **common, **w),
         "gradient_boosting": GBTClassifier(maxIter=20, maxDepth=4, seed=42, **common, **w),
@@ -170,7 +170,7 @@ def out_of_fold(df: DataFrame, key: str, models: Mapping, k: int) -> DataFrame:
         for name, model in fit_all(train, models).items():
             part = predict(model, test, key).withColumns({"model": F.lit(name), "fold": F.lit(fold)})
             out = part if out is None else out.unionByName(part)
-    return out.select("model", "fold", key, "y", "p")
+    return cut_lineage(out.select("model", "fold", key, "y", "p"))  # every user reads it more than once
 
 
 def model_metrics(predictions: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:

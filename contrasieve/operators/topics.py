@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrasieve.operators.sampling import top_per_group
+from contrasieve.session import cut_lineage
 
 
 def lda_topics(
@@ -22,7 +23,7 @@ def lda_topics(
     """
     words = df.select(key, positive.alias("_pos"), tokens.alias("_tokens"))
     counter = CountVectorizer(inputCol="_tokens", outputCol="features", vocabSize=vocab_size, minDF=min_df, maxDF=max_df).fit(words)
-    counts = counter.transform(words)
+    counts = cut_lineage(counter.transform(words).select("_pos", "features"))  # read once per mini-batch
     model = LDA(k=k, maxIter=rounds, optimizer="online", seed=seed).fit(counts)
     vocabulary = F.array(*[F.lit(w) for w in counter.vocabulary])  # at most vocab_size words
     named = model.describeTopics(top).withColumn("_v", vocabulary).select(

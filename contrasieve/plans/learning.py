@@ -197,9 +197,7 @@ def m12(spark, d):
 
 def oof(spark, d):
     models = {n: e for n, e in learn.estimators(64).items() if n in ("logistic", "linear_svm", "random_forest", "naive_bayes")}
-    from contrasieve.session import cut_lineage
-
-    return cut_lineage(learn.out_of_fold(featured(spark, d, 2), "vec_id", models, 2))
+    return learn.out_of_fold(featured(spark, d, 2), "vec_id", models, 2)
 
 
 @query("m13_calibration")

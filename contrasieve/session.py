@@ -30,15 +30,21 @@ def build_session(app_name: str = "contrasieve", master: str | None = None, **co
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a local one in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
+    """This session's place in ``spark.checkpoint.dir``, or in a local folder in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return f"{root.rstrip('/')}/contrasieve-{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="contrasieve-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="contrasieve-"))
+    return shared_folder(spark)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete what this session wrote to the shared folder, once its results are stored."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

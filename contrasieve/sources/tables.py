@@ -9,13 +9,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CONTRACT_DDL = (
+def contract_ddl(publication: str = "dataPublicacao") -> str:
+    """Schema of a nested contract record; ``publication`` names the publication-date field."""
+    return CONTRACT_FIELDS + f", {publication} STRING"
+
+
+# Field names of the landed contract record.
+CONTRACT_FIELDS = (
     "categoriaProcesso STRUCT<id: INT, nome: STRING>,"
     "unidadeOrgao STRUCT<ufSigla: STRING, municipioNome: STRING, nomeUnidade: STRING>,"
     "orgaoEntidade STRUCT<cnpj: STRING, razaoSocial: STRING, esferaId: STRING, poderId: STRING>,"
     "tipoContrato STRUCT<id: INT, nome: STRING>,"
     "objetoContrato STRING, informacaoComplementar STRING, valorInicial STRING, valorGlobal STRING,"
-    "dataPublicacaoPncp STRING, dataAssinatura STRING, dataVigenciaInicio STRING, dataVigenciaFim STRING,"
+    "dataAssinatura STRING, dataVigenciaInicio STRING, dataVigenciaFim STRING,"
     "niFornecedor STRING, tipoPessoa STRING, nomeRazaoSocialFornecedor STRING,"
     "sequencialCompra INT, anoCompra INT"
 )

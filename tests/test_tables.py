@@ -33,7 +33,7 @@ def test_nested_record_defaults(spark, tmp_path):
     ]
     path = tmp_path / "r.json"
     path.write_text("\n".join(json.dumps(r) for r in recs))
-    flat = tables.flatten_record(spark.read.schema(tables.CONTRACT_DDL).json(str(path)))
+    flat = tables.flatten_record(spark.read.schema(tables.contract_ddl("dataPublicacaoPortal")).json(str(path)))
     out = {r["categoriaProcessoId"]: r for r in flat.collect()}
     assert out[8]["ufSigla"] == "SP" and out[8]["municipioNome"] == "" and out[8]["objetoContrato"] == "obra"
     assert out[None]["ufSigla"] == "" and out[None]["objetoContrato"] == "" and out[None]["valorGlobal"] == "10.5"
@@ -90,3 +90,11 @@ def test_resolve_purchase(spark):
     det = spark.createDataFrame([("12345678000199-2-000002/2024", "d")], "key string, detail_purchase string")
     out = joins.resolve_purchase(df, "key", "own", det).select("key", "resolved")
     assert [r[1] for r in rows(out, "key")] == ["12345678000199-1-000001/2024", "d", "own"]
+
+
+def test_cut_lineage_uses_the_shared_folder(spark):
+    from contrasieve.session import cut_lineage, shared_folder
+
+    cut = cut_lineage(spark.range(5))
+    assert cut.count() == 5 and shared_folder(spark) in cut.inputFiles()[0]
+    assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
