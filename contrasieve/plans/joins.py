@@ -255,11 +255,11 @@ def w3(spark, d):
 @query(
     "w4_percentile_rank",
     f"""WITH {FACT}, x AS (SELECT id, qty, rank() OVER (ORDER BY qty) AS k, count(*) OVER (PARTITION BY qty) AS c, count(*) OVER () AS n FROM fact)
-    SELECT id, {R('(k + (c - 1) / 2.0) / n')} AS pct_rank FROM x""",
+    SELECT id, {R('(k + (c - 1) / 2.0) / n', 9)} AS pct_rank FROM x""",
 )
 def w4(spark, d):
     out = totals.average_ranks(fact(spark, d).select("id", "qty"), [], "qty", "pct_rank", pct=True)
-    return out.select("id", r(F.col("pct_rank")).alias("pct_rank"))
+    return out.select("id", r(F.col("pct_rank"), 9).alias("pct_rank"))
 
 
 @query(
