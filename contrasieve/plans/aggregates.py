@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contrasieve.functions import clean as cl
 from contrasieve.functions import text as tx
 from contrasieve.operators import joins, pairs, profile, rules, sampling, totals
 from contrasieve.plans.joins import EVIDENCE, SCORED, reference_codes, registry, scored

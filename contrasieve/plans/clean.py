@@ -9,7 +9,6 @@ from contrasieve.functions import clean as cl
 from contrasieve.operators import profile, sampling
 from contrasieve.plans.registry import query, table
 from contrasieve.plans.standin import FACT, FACT_GEO, R, fact, fact_geo, r
-from contrasieve.plans.text import sql_list
 
 # The part size (1..50) stands for the category code and priority for the modality.
 def category():

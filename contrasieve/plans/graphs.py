@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contrasieve.functions import text as tx
-from contrasieve.operators import graph, joins, pairs
+from contrasieve.operators import graph, pairs
 from contrasieve.plans.aggregates import A14_BODY, FACT_NAMES, fact_names, name_hint
 from contrasieve.plans.registry import query, table
 from contrasieve.plans.standin import FACT_GEO, R, fact_geo, r

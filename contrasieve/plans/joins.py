@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contrasieve.functions import text as tx
-from contrasieve.operators import joins, neighbours, pairs, profile, sampling, totals
+from contrasieve.operators import joins, neighbours, pairs, sampling, totals
 from contrasieve.plans.registry import query, table
 from contrasieve.plans.standin import (
     FACT, FACT_AGENCY, FACT_GEO, R, SCORE, TEXTS, fact, fact_agency, fact_geo, r, score, texts,

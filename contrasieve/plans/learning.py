@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contrasieve.functions import text as tx
-from contrasieve.functions import vector as vx
 from contrasieve.operators import features, learn, metrics, neighbours, pairs, rules, sampling
 from contrasieve.plans.joins import SCORED, scored
 from contrasieve.plans.registry import query, table

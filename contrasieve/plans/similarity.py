@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contrasieve.functions import text as tx
-from contrasieve.functions import vector as vx
 from contrasieve.operators import clusters, features, graph, neighbours, outliers, profile, terms
 from contrasieve.plans.learning import vectors
 from contrasieve.plans.registry import query, table

@@ -138,6 +138,3 @@ CORPUS_OBVIOUS = [r"\bthe\s+of\b", r"\bto\s+(?:the|and)\b", r"\bder\s+und\b", r"
 CORPUS_PREFIXES = (r"^\s*the\s+(of\s+)?", r"^\s*and\s+", r"^\s*(die|der|das)\s+", r"^\s*l[ae]\s+(\w+\s+)?")
 CORPUS_KEYWORDS = ["the", "that", "with", "der", "und", "que", "les", "from", "this", "which"]
 CORPUS_TERMS = ["tion", "that", "ing the", "und", "des", "erth", "with the", "heit", "ment"]
-
-# T1 fold and T3 tokens as SQL; W is the fixed stopword list, folded.
-FOLD = "strip_accents(lower({}))"

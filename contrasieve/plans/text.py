@@ -136,13 +136,9 @@ def t9(spark, d):
 
 @query(
     "t10_normalise_document",
-    r"""SELECT doc_id, regexp_replace(replace(regexp_replace(replace(
-          regexp_replace(text, '-\s*\n\s*', '', 'g'), chr(1), ''), '\n{2,}', chr(1) || '\0', 'g'),
-          chr(10), ' '), '[ \t]+', ' ', 'g') AS x FROM documents WHERE false
-       UNION ALL
-       SELECT doc_id, md5(regexp_replace(
+    r"""SELECT doc_id, md5(regexp_replace(
           array_to_string(list_transform(regexp_extract_all(regexp_replace(text, '-\s*\n\s*', '', 'g'), '\n+|[^\n]+'),
-            lambda p: CASE WHEN p = chr(10) THEN ' ' ELSE p END), ''), '[ \t]+', ' ', 'g')) FROM documents""",
+            lambda p: CASE WHEN p = chr(10) THEN ' ' ELSE p END), ''), '[ \t]+', ' ', 'g')) AS x FROM documents""",
 )
 def t10(spark, d):
     return docs(spark, d).select("doc_id", F.md5(tx.normalise_document(F.col("text"))).alias("x"))
