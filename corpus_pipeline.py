@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over the documents table, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over the documents table, each written as Parquet and read again by the next.
+
+``doc_id`` is the key of documents. Decisions are joined back by it, so all stages but the last return the columns
+of documents; a null key is a key like any other, and rows that repeat one share its fate.
+"""
 
 from __future__ import annotations
 
@@ -8,28 +12,63 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrasieve.llm import quality_mcd, recompression
+from contrasieve.llm import decontaminate, packing, quality_mcd, recompression, weighted_minhash
+from contrasieve.llm._tokens import tokenizer_path
 from contrasieve.session import shared_folder
 
+#: Vocabulary of the last stage.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def _only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` with (left_semi) or without (left_anti) a row of ``keys``."""
+    keys = keys.select(F.col("doc_id").alias("__key")).distinct()
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__key")), how)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality_mcd.judge(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return _only(docs, quality_mcd.judge(docs).where("kept"), "left_semi")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near copies."""
+    classes = weighted_minhash.near_copies(docs)
+    return _only(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))), "left_semi")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that documents before them have; n_chars follows the text."""
-    kept = recompression.drop_repeats(docs).select("doc_id", F.col("kept").alias("text"))
-    return docs.drop("text", "n_chars").join(kept, "doc_id").withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    kept = recompression.drop_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("__key"), F.col("kept").alias("__kept")).dropDuplicates(["__key"])
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__key")), "left")
+    cut = F.col("__kept").isNotNull()
+    new = {
+        "text": F.coalesce("__kept", "text"),
+        "n_chars": F.when(cut, F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")),
+    }
+    return joined.withColumns(new).select(docs.columns)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _only(docs, found, "left_anti")
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, packed into token sequences."""
+    return packing.pack_documents(docs, tokenizer_path(TOKENIZER))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
-    ("substring dedup", substrings),
+    ("near copies", near_copies),
+    ("repeated passages", substrings),
+    ("decontamination", clean_of_benchmark),
+    ("packing", sequences),
 ]
 
-#: The stages fit robust estimates, tokenize and pack; SQL cannot express them.
+#: The stages fit robust estimates, sample shingles, tokenize and pack; SQL cannot express them.
 ORACLE_SQL = None
 
 
