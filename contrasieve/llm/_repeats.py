@@ -6,7 +6,9 @@ have equal anchors. A run is one entry (anchor key, content fingerprint, documen
 
 * Entries with equal content: all but the first only repeat what starts earlier.
 * Entries with one key and different contents (a repeat begins or ends there): settled window by window in
-  a second pass over these entries alone, with the window itself as key and content.
+  a second pass over these entries alone, with the window itself as key and content. What such a run holds is
+  smaller than its windows, so runs travel whole and become windows after the shuffle; those of a key with
+  ``SAME_KEY`` contents or more become windows before it, as no key then gathers them.
 
 In each task of a scan, entries form sorted batches; equal contents meet there first, so a content that
 every document has leaves a task once. After the shuffle by key range the batches go through a logarithmic
@@ -26,13 +28,14 @@ from contrasieve.llm._scan import NO_ID, longs, raw, slices, spread
 from contrasieve.session import cut_lineage
 
 ENTRY = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
-#: A task keeps so many contents of one key to itself; further ones are settled window by window at once.
-SAME_KEY = 16
+#: So many contents of one key a task sends on; further ones are settled window by window at once.
+SAME_KEY = 64
 BATCH = 1 << 19
-REPEATED, OPEN = 1, 2
+#: Repeats; runs to settle window by window, of keys with few and with many contents.
+REPEATED, OPEN, CROWDED = 1, 2, 3
 
-FOUND = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("kind", pa.int8())])
-SHIPPED = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("entries", pa.binary())])
+FOUND = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("kind", pa.int8()), ("key", pa.int64())])
+SHIPPED = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("entries", pa.binary()), ("body", pa.binary())])
 
 
 def entries(key, content, doc, start, n) -> np.ndarray:
@@ -42,11 +45,21 @@ def entries(key, content, doc, start, n) -> np.ndarray:
 
 
 def in_order(e: np.ndarray) -> np.ndarray:
-    return e[np.lexsort((e["start"], e["doc"], e["content"], e["key"]))]
+    """By key, content, document and start. Most keys are alone, so only equal ones are compared further."""
+    key = np.ascontiguousarray(e["key"])
+    order = np.argsort(key)
+    key = key[order]
+    tied = np.zeros(len(e) + 1, bool)
+    tied[1:-1] = key[1:] == key[:-1]
+    tied = np.flatnonzero(tied[1:] | tied[:-1])
+    part = e[order[tied]]
+    order[tied] = order[tied][np.lexsort((part["start"], part["doc"], part["content"], part["key"]))]
+    return e[order]
 
 
 def found(e: np.ndarray, kind: int) -> pa.RecordBatch:
-    cols = [pa.array(e["doc"]), pa.array(e["start"]), pa.array(e["n"]), pa.array(np.full(len(e), kind, np.int8))]
+    key = pa.array(np.ascontiguousarray(e["key"]).view(np.int64)) if kind == OPEN else pa.nulls(len(e), pa.int64())
+    cols = [pa.array(e["doc"]), pa.array(e["start"]), pa.array(e["n"]), pa.array(np.full(len(e), kind, np.int8)), key]
     return pa.RecordBatch.from_arrays(cols, schema=FOUND)
 
 
@@ -122,17 +135,19 @@ class Family:
         return self.levels[0]
 
 
-def several_contents(e: np.ndarray) -> np.ndarray:
-    """Whether an ordered entry shares its key with another content."""
+def contents_of_key(e: np.ndarray) -> np.ndarray:
+    """For each ordered entry without repeats, how many contents its key has."""
     if not len(e):
-        return np.zeros(0, bool)
+        return np.zeros(0, np.int64)
     new = np.ones(len(e), bool)
     new[1:] = e["key"][1:] != e["key"][:-1]
     sizes = np.diff(np.append(np.flatnonzero(new), len(e)))
-    return np.repeat(sizes > 1, sizes)
+    return np.repeat(sizes, sizes)
 
 
 Runs = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
+Units = Callable[[np.ndarray], np.ndarray]
+Hashes = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def _ship(parts: list[np.ndarray], buckets: int, same_doc: bool) -> Iterator[pa.RecordBatch]:
@@ -141,56 +156,110 @@ def _ship(parts: list[np.ndarray], buckets: int, same_doc: bool) -> Iterator[pa.
     new = np.ones(len(batch), bool)
     new[1:] = batch["key"][1:] != batch["key"][:-1]
     _, place = spread(np.diff(np.append(np.flatnonzero(new), len(batch))))
-    for kind, told in ((REPEATED, again), (OPEN, batch[place >= SAME_KEY])):
+    for kind, told in ((REPEATED, again), (CROWDED, batch[place >= SAME_KEY])):
         told = told[np.argsort(told["doc"] % buckets, kind="stable")]
         yield _cut(told, told["doc"] % buckets, kind, buckets)
     batch = batch[place < SAME_KEY]
-    yield _cut(batch, ((batch["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), 0, buckets)
+    yield _cut(batch, _owner(batch["key"], buckets), 0, buckets)
+
+
+def _owner(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _cut(e: np.ndarray, owner: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
     cuts = np.searchsorted(owner, np.arange(buckets + 1))
     some = np.flatnonzero(np.diff(cuts))
     blobs = [e[cuts[b] : cuts[b + 1]].tobytes() for b in some.tolist()]
-    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int8)), pa.array(blobs, pa.binary())], schema=SHIPPED)
+    return _shipped(some, kind, blobs, None)
+
+
+def _cut_bodies(e: np.ndarray, bodies: list[bytes], buckets: int) -> pa.RecordBatch:
+    """Runs with their bytes, dealt by the key that all runs of equal windows share."""
+    owner = _owner(e["key"], buckets)
+    order = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[order], np.arange(buckets + 1))
+    some = np.flatnonzero(np.diff(cuts))
+    parts = [order[cuts[b] : cuts[b + 1]] for b in some.tolist()]
+    codec = pa.Codec("zstd", compression_level=1)
+    return _shipped(some, OPEN, [e[p].tobytes() for p in parts], [codec.compress(b"".join(bodies[i] for i in p.tolist()), asbytes=True) for p in parts])
+
+
+def _shipped(buckets: np.ndarray, kind: int, blobs: list[bytes], bodies: list[bytes] | None) -> pa.RecordBatch:
+    body = pa.nulls(len(blobs), pa.binary()) if bodies is None else pa.array(bodies, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.full(len(blobs), kind, np.int8)), pa.array(blobs, pa.binary()), body], schema=SHIPPED)
 
 
 def _batches(produce: Callable, buckets: int, same_doc: bool):
-    """mapInArrow body: collects what ``produce`` yields into sorted batches and ships them."""
+    """mapInArrow body: collects the entries that ``produce`` yields into sorted batches and ships them.
+
+    ``produce`` may also yield pairs (entries, bytes of each run).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        parts, size, runs, bodies, held = [], 0, [], [], 0
         for batch in batches:
             for e in produce(batch):
-                parts.append(e)
-                size += len(e)
+                if isinstance(e, tuple):
+                    runs.append(e[0])
+                    bodies += e[1]
+                    held += sum(map(len, e[1]))
+                else:
+                    parts.append(e)
+                    size += len(e)
                 if size >= BATCH:
                     yield from _ship(parts, buckets, same_doc)
                     parts, size = [], 0
+                if held >= 1 << 23:
+                    yield _cut_bodies(np.concatenate(runs), bodies, buckets)
+                    runs, bodies, held = [], [], 0
         if size:
             yield from _ship(parts, buckets, same_doc)
+        if bodies:
+            yield _cut_bodies(np.concatenate(runs), bodies, buckets)
 
     return run
 
 
-def _settle(same_doc: bool, final: bool):
-    """mapInArrow body after the shuffle: all batches of this key range through one family."""
+def _as_windows(e: np.ndarray, body: bytes, length: int, width: int, hashes: Hashes) -> np.ndarray:
+    """All windows of runs that lie end to end in ``body``."""
+    size = e["n"].astype(np.int64) + length - 1
+    at = np.cumsum(size) - size
+    flat = np.frombuffer(pa.Codec("zstd").decompress(body, width * int(size.sum()), asbytes=True), np.uint8)
+    one, two = hashes(flat.reshape(-1, width))
+    run, place = spread(e["n"])
+    where = at[run] + place
+    return entries(one[where], two[where], e["doc"][run], e["start"][run] + place, np.ones(len(run), np.int32))
+
+
+def _settle(same_doc: bool, length: int, width: int, hashes: Hashes, final: bool):
+    """mapInArrow body after the shuffle, bucket by bucket: all batches of a key range through one family."""
+
+    def end(family: Family) -> Iterator[pa.RecordBatch]:
+        if not final:
+            index = family.close()
+            several = contents_of_key(index)
+            for kind, rows in ((OPEN, index[(several > 1) & (several < SAME_KEY)]), (CROWDED, index[several >= SAME_KEY])):
+                for a in range(0, len(rows), 1 << 16):
+                    yield found(rows[a : a + (1 << 16)], kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family(same_doc)
+        family, now = Family(same_doc), None
         for batch in batches:
-            for kind, blob in zip(batch["kind"].to_pylist(), batch["entries"]):
+            for bucket, kind, blob, body in zip(batch["bucket"].to_pylist(), batch["kind"].to_pylist(), batch["entries"], batch["body"]):
+                if bucket != now:
+                    yield from end(family)
+                    family, now = Family(same_doc), bucket
                 e = np.frombuffer(blob.as_buffer(), ENTRY)
-                if kind:
+                if body.is_valid:
+                    e, again = first_of_content(in_order(_as_windows(e, body.as_py(), length, width, hashes)), same_doc)
+                    yield found(again, REPEATED)
+                elif kind:
                     yield found(e, kind)
                     continue
                 for later in family.add(e):
                     yield found(later, REPEATED)
-        index = family.close()
-        if not final:
-            index = index[several_contents(index)]
-            for a in range(0, len(index), 1 << 16):
-                yield found(index[a : a + (1 << 16)], OPEN)
+        yield from end(family)
 
     return run
 
@@ -200,10 +269,6 @@ def _schema(s: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in s)
 
 
-def _through_family(shipped: DataFrame, parts: int, same_doc: bool, final: bool) -> DataFrame:
-    return shipped.repartition(parts, "bucket").mapInArrow(_settle(same_doc, final), _schema(FOUND))
-
-
 def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, body): texts under a compressor of their own, for shuffles; null ids get a stand-in."""
 
@@ -225,32 +290,43 @@ def unpack(size: int, body: bytes) -> np.ndarray:
     return np.frombuffer(pa.Codec("zstd").decompress(body, size, asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
 
 
-def span_lists(rows: DataFrame) -> DataFrame:
+def span_lists(rows: DataFrame, *more: str) -> DataFrame:
     """(doc, spans): per document, its (start, n) pairs; a list is at most as long as its document."""
-    return rows.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return rows.groupBy("doc").agg(F.collect_list(F.struct("start", "n", *more)).alias("spans"))
 
 
-def windows_of(spans) -> np.ndarray:
-    """Ordered distinct window starts of a list of (start, n)."""
-    flat = spans.flatten()
-    start, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-    if not len(start):
-        return np.zeros(0, np.int64)
+def window_starts(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Ordered distinct window starts of spans."""
     group, place = spread(n)
     return np.unique(start[group].astype(np.int64) + place)
 
 
+def windows_of(spans: pa.Scalar) -> np.ndarray:
+    """Ordered distinct window starts of a list of (start, n)."""
+    start, n = (x.to_numpy(zero_copy_only=False) for x in spans.values.flatten()[:2])
+    return window_starts(start, n)
+
+
+def one_per_partition(spark, parts: int) -> list[int]:
+    """For each of ``parts`` partitions a number that ``repartition`` deals to it, so that none gets two ranges."""
+    numbers = spark.range(16 * parts + 64).select(F.col("id").cast("int").alias("k"))
+    found = numbers.groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).agg(F.min("k").alias("k")).orderBy("p")
+    return [r["k"] for r in found.collect()]  # one row per partition
+
+
 def repeated_windows(
-    docs: DataFrame, id_col: str, text_col: str, runs: Runs, hashes: Callable[[np.ndarray], tuple[Callable, int]], same_doc: bool
+    docs: DataFrame, id_col: str, text_col: str, runs: Runs, units: Units, width: int, hashes: Hashes, length: int, same_doc: bool
 ) -> tuple[DataFrame, DataFrame]:
     """Windows that repeat an earlier one: (doc, spans of window starts), and the packed texts.
 
     ``runs(bytes, bounds)`` gives text number, start, windows, key and content of each run of a slice.
-    ``hashes(bytes)`` gives two fingerprints of every window of one text.
+    ``units(bytes)`` gives what windows are made of, ``width`` bytes each, one per row; ``hashes(units)`` gives two
+    fingerprints of every window of ``length`` of them.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 8 * parts
+    names = one_per_partition(spark, parts)
+    buckets = len(names)
 
     def scan(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in slices(batch, "text"):
@@ -258,26 +334,32 @@ def repeated_windows(
             row, start, n, key, content = runs(data, bounds)
             yield entries(key, content, longs(part["doc"])[row], start, n)
 
-    def rescan(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    def rescan(batch: pa.RecordBatch) -> Iterator:
         for doc, size, body, spans in zip(batch["doc"].to_pylist(), batch["size"].to_pylist(), batch["body"], batch["spans"]):
-            one, two = hashes(unpack(size, body.as_py()))
-            at = windows_of(spans_array(spans))
-            at = at[at < len(one)]
-            yield entries(one[at], two[at], np.full(len(at), doc, np.int64), at, np.ones(len(at), np.int32))
+            data = unpack(size, body.as_py())
+            flat = spans.values.flatten()
+            start, n, kind, key = (flat[i].to_numpy(zero_copy_only=False) for i in range(4))
+            made_of = units(data)
+            fits = start.astype(np.int64) + n + length - 1 <= len(made_of)
+            whole = fits & (kind == OPEN)
+            if whole.any():
+                whole_runs = entries(key[whole].astype(np.int64).view(np.uint64), 0, np.full(whole.sum(), doc, np.int64), start[whole], n[whole])
+                yield whole_runs, [made_of[a : a + b + length - 1].tobytes() for a, b in zip(start[whole].tolist(), n[whole].tolist())]
+            if (rest := fits & ~whole).any():
+                one, two = hashes(made_of)
+                at = window_starts(start[rest], n[rest])
+                yield entries(one[at], two[at], np.full(len(at), doc, np.int64), at, np.ones(len(at), np.int32))
+
+    def through_family(shipped: DataFrame, final: bool) -> DataFrame:
+        named = F.element_at(F.lit(names), F.col("bucket") + 1)
+        dealt = shipped.repartition(parts, named).sortWithinPartitions("bucket")
+        return dealt.mapInArrow(_settle(same_doc, length, width, hashes, final), _schema(FOUND))
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    shipped = source.mapInArrow(_batches(scan, buckets, same_doc), _schema(SHIPPED))
-    first = cut_lineage(_through_family(shipped, parts, same_doc, final=False))
+    first = cut_lineage(through_family(source.mapInArrow(_batches(scan, buckets, same_doc), _schema(SHIPPED)), final=False))
     texts = packed_texts(docs, id_col, text_col)
-    unsure = texts.join(span_lists(first.where(F.col("kind") == OPEN)), "doc")
-    again = unsure.mapInArrow(_batches(rescan, buckets, same_doc), _schema(SHIPPED))
-    second = _through_family(again, parts, same_doc, final=True)
+    keyed = F.coalesce("key", F.lit(0)).alias("key")
+    unsure = texts.join(span_lists(first.where(F.col("kind") != REPEATED).select("doc", "start", "n", "kind", keyed), "kind", "key"), "doc")
+    second = through_family(unsure.mapInArrow(_batches(rescan, buckets, same_doc), _schema(SHIPPED)), final=True)
     return span_lists(first.where(F.col("kind") == REPEATED).unionByName(second.where(F.col("kind") == REPEATED))), texts
 
-
-def spans_array(scalar: pa.Scalar) -> pa.ListArray:
-    values = scalar.values
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-
-__all__ = ["NO_ID", "Family", "packed_texts", "repeated_windows", "unpack", "windows_of", "spans_array"]

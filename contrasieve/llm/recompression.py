@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrasieve.llm._repeats import repeated_windows, spans_array, unpack, windows_of
+from contrasieve.llm._repeats import repeated_windows, unpack, windows_of
 from contrasieve.llm._scan import NO_ID, Rolling, mix, sliding_min, word_hashes, words
 from contrasieve.llm.suffix_dedup import cover
 
 #: Longest run and longest pair of each round, in words. What decides a boundary lies within 2 words of it after
-#: the runs of round 1, within 2 + 2 after its pairs (symbols of 2) and within 4 + 4 after round 2 (symbols of 4).
-ROUNDS = ((2, 4), (0, 8))
-MARGIN, LONGEST = 8, 8
+#: the runs of round 1, within 2 + 2 after its pairs (of symbols up to 2) and within 4 + 3 after those of round 2.
+ROUNDS = ((2, 3), (0, 4))
+MARGIN, LONGEST = 7, 4
 _PLACE = np.uint64((1 << 28) - 1)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -104,14 +104,21 @@ def symbol_runs(length: int):
     return runs
 
 
-def _tokens(data: np.ndarray):
+TOKEN_BYTES = 5
+
+
+def units(data: np.ndarray) -> np.ndarray:
+    """Words as fingerprints of 40 bits: only words at one place of runs with one 64-bit key are ever compared."""
     begin, end, _ = words(data, np.array([0, len(data)]))
-    return begin, end, word_hashes(data, begin, end) if len(begin) else np.zeros(0, np.uint64)
+    tokens = word_hashes(data, begin, end) if len(begin) else np.zeros(0, np.uint64)
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
 
 
 def window_hashes(length: int):
-    def hashes(data: np.ndarray):
-        tokens = _tokens(data)[2]
+    def hashes(units: np.ndarray):
+        wide = np.zeros((len(units), 8), np.uint8)
+        wide[:, :TOKEN_BYTES] = units
+        tokens = wide.view(np.uint64).reshape(-1)
         return mix(Rolling(tokens).every(length)), mix(Rolling(tokens, 1).every(length))
 
     return hashes
@@ -127,7 +134,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys: rows that share one get a row each, and a window found in any of them is removed from all.
     Other columns are ignored.
     """
-    spans, texts = repeated_windows(docs, id_col, text_col, symbol_runs(length), window_hashes(length), same_doc=False)
+    spans, texts = repeated_windows(docs, id_col, text_col, symbol_runs(length), units, TOKEN_BYTES, window_hashes(length), length, same_doc=False)
     hashes = window_hashes(length)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +145,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 begin, end, _ = words(data, np.array([0, size]))
                 gone = np.zeros(len(begin), bool)
                 if found.is_valid:
-                    one, _ = hashes(data)
-                    at = windows_of(spans_array(found))
+                    one, _ = hashes(units(data))
+                    at = windows_of(found)
                     every = np.flatnonzero(np.isin(one, one[at[at < len(one)]]))
                     gone = cover(len(begin), every, length)
                 out.append((doc, len(begin), int(gone.sum()), *_kept(data, begin, end, gone)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrasieve.llm._repeats import repeated_windows, spans_array, unpack, windows_of
+from contrasieve.llm._repeats import repeated_windows, unpack, windows_of
 from contrasieve.llm._scan import NO_ID, Rolling, mix, sliding_min
 
 SEED = 24
@@ -51,8 +51,13 @@ def suffix_runs(length: int):
     return runs
 
 
+def units(data: np.ndarray) -> np.ndarray:
+    return data.reshape(-1, 1)
+
+
 def window_hashes(length: int):
-    def hashes(data: np.ndarray):
+    def hashes(units: np.ndarray):
+        data = units.reshape(-1)
         return mix(Rolling(data).every(length)), mix(Rolling(data, 1).every(length))
 
     return hashes
@@ -74,7 +79,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept_sha256. Null text is empty; a null id comes first of all and returns as null. Ids are keys: rows that
     share one get one row each, and a stretch found in any of them is removed from all. Other columns are ignored.
     """
-    spans, texts = repeated_windows(docs, id_col, text_col, suffix_runs(length), window_hashes(length), same_doc=True)
+    spans, texts = repeated_windows(docs, id_col, text_col, suffix_runs(length), units, 1, window_hashes(length), length, same_doc=True)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +87,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for doc, size, body, found in zip(batch["doc"].to_pylist(), batch["size"].to_pylist(), batch["body"], batch["spans"]):
                 data = unpack(size, body.as_py())
                 if found.is_valid:
-                    at = windows_of(spans_array(found))
+                    at = windows_of(found)
                     gone = cover(size, at[at + length <= size], length)
                     edges = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
                     kept = data[~gone].tobytes()
