@@ -167,10 +167,22 @@ def _owner(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def packed(e: np.ndarray) -> bytes:
+    """Entries byte plane by byte plane, so that places and counts take little room."""
+    planes = np.ascontiguousarray(e.view(np.uint8).reshape(len(e), ENTRY.itemsize).T)
+    return len(e).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[4:], n * ENTRY.itemsize, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(ENTRY.itemsize, n).T).reshape(-1).view(ENTRY)
+
+
 def _cut(e: np.ndarray, owner: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
     cuts = np.searchsorted(owner, np.arange(buckets + 1))
     some = np.flatnonzero(np.diff(cuts))
-    blobs = [e[cuts[b] : cuts[b + 1]].tobytes() for b in some.tolist()]
+    blobs = [packed(e[cuts[b] : cuts[b + 1]]) for b in some.tolist()]
     return _shipped(some, kind, blobs, None)
 
 
@@ -182,7 +194,7 @@ def _cut_bodies(e: np.ndarray, bodies: list[bytes], buckets: int) -> pa.RecordBa
     some = np.flatnonzero(np.diff(cuts))
     parts = [order[cuts[b] : cuts[b + 1]] for b in some.tolist()]
     codec = pa.Codec("zstd", compression_level=1)
-    return _shipped(some, OPEN, [e[p].tobytes() for p in parts], [codec.compress(b"".join(bodies[i] for i in p.tolist()), asbytes=True) for p in parts])
+    return _shipped(some, OPEN, [packed(e[p]) for p in parts], [codec.compress(b"".join(bodies[i] for i in p.tolist()), asbytes=True) for p in parts])
 
 
 def _shipped(buckets: np.ndarray, kind: int, blobs: list[bytes], bodies: list[bytes] | None) -> pa.RecordBatch:
@@ -221,18 +233,19 @@ def _batches(produce: Callable, buckets: int, same_doc: bool):
     return run
 
 
-def _as_windows(e: np.ndarray, body: bytes, length: int, width: int, hashes: Hashes) -> np.ndarray:
+def _as_windows(e: np.ndarray, body: bytes, span: int, width: int, hashes: Hashes) -> np.ndarray:
     """All windows of runs that lie end to end in ``body``."""
-    size = e["n"].astype(np.int64) + length - 1
+    size = e["n"].astype(np.int64) + span - 1
     at = np.cumsum(size) - size
     flat = np.frombuffer(pa.Codec("zstd").decompress(body, width * int(size.sum()), asbytes=True), np.uint8)
     one, two = hashes(flat.reshape(-1, width))
     run, place = spread(e["n"])
     where = at[run] + place
-    return entries(one[where], two[where], e["doc"][run], e["start"][run] + place, np.ones(len(run), np.int32))
+    # equal windows are in runs of one key
+    return entries(one[where], two[where] ^ e["key"][run], e["doc"][run], e["start"][run] + place, np.ones(len(run), np.int32))
 
 
-def _settle(same_doc: bool, length: int, width: int, hashes: Hashes, final: bool):
+def _settle(same_doc: bool, span: int, width: int, hashes: Hashes, final: bool):
     """mapInArrow body after the shuffle, bucket by bucket: all batches of a key range through one family."""
 
     def end(family: Family) -> Iterator[pa.RecordBatch]:
@@ -250,9 +263,9 @@ def _settle(same_doc: bool, length: int, width: int, hashes: Hashes, final: bool
                 if bucket != now:
                     yield from end(family)
                     family, now = Family(same_doc), bucket
-                e = np.frombuffer(blob.as_buffer(), ENTRY)
+                e = unpacked(blob.as_py())
                 if body.is_valid:
-                    e, again = first_of_content(in_order(_as_windows(e, body.as_py(), length, width, hashes)), same_doc)
+                    e, again = first_of_content(in_order(_as_windows(e, body.as_py(), span, width, hashes)), same_doc)
                     yield found(again, REPEATED)
                 elif kind:
                     yield found(e, kind)
@@ -315,13 +328,13 @@ def one_per_partition(spark, parts: int) -> list[int]:
 
 
 def repeated_windows(
-    docs: DataFrame, id_col: str, text_col: str, runs: Runs, units: Units, width: int, hashes: Hashes, length: int, same_doc: bool
+    docs: DataFrame, id_col: str, text_col: str, runs: Runs, units: Units, width: int, hashes: Hashes, span: int, same_doc: bool
 ) -> tuple[DataFrame, DataFrame]:
     """Windows that repeat an earlier one: (doc, spans of window starts), and the packed texts.
 
     ``runs(bytes, bounds)`` gives text number, start, windows, key and content of each run of a slice.
     ``units(bytes)`` gives what windows are made of, ``width`` bytes each, one per row; ``hashes(units)`` gives two
-    fingerprints of every window of ``length`` of them.
+    fingerprints of every window of ``span`` of them.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -340,11 +353,11 @@ def repeated_windows(
             flat = spans.values.flatten()
             start, n, kind, key = (flat[i].to_numpy(zero_copy_only=False) for i in range(4))
             made_of = units(data)
-            fits = start.astype(np.int64) + n + length - 1 <= len(made_of)
+            fits = start.astype(np.int64) + n + span - 1 <= len(made_of)
             whole = fits & (kind == OPEN)
             if whole.any():
                 whole_runs = entries(key[whole].astype(np.int64).view(np.uint64), 0, np.full(whole.sum(), doc, np.int64), start[whole], n[whole])
-                yield whole_runs, [made_of[a : a + b + length - 1].tobytes() for a, b in zip(start[whole].tolist(), n[whole].tolist())]
+                yield whole_runs, [made_of[a : a + b + span - 1].tobytes() for a, b in zip(start[whole].tolist(), n[whole].tolist())]
             if (rest := fits & ~whole).any():
                 one, two = hashes(made_of)
                 at = window_starts(start[rest], n[rest])
@@ -353,7 +366,7 @@ def repeated_windows(
     def through_family(shipped: DataFrame, final: bool) -> DataFrame:
         named = F.element_at(F.lit(names), F.col("bucket") + 1)
         dealt = shipped.repartition(parts, named).sortWithinPartitions("bucket")
-        return dealt.mapInArrow(_settle(same_doc, length, width, hashes, final), _schema(FOUND))
+        return dealt.mapInArrow(_settle(same_doc, span, width, hashes, final), _schema(FOUND))
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     first = cut_lineage(through_family(source.mapInArrow(_batches(scan, buckets, same_doc), _schema(SHIPPED)), final=False))

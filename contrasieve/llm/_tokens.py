@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from contrasieve.llm._scan import raw
 
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 SLICE = 4 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -104,24 +104,29 @@ def symbol_runs(length: int):
     return runs
 
 
-TOKEN_BYTES = 5
+WINDOW_BYTES = 10
 
 
-def units(data: np.ndarray) -> np.ndarray:
-    """Words as fingerprints of 40 bits: only words at one place of runs with one 64-bit key are ever compared."""
-    begin, end, _ = words(data, np.array([0, len(data)]))
-    tokens = word_hashes(data, begin, end) if len(begin) else np.zeros(0, np.uint64)
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
+def window_units(length: int):
+    """Every window of a text as a fingerprint of 80 bits (those of keys with few contents add the key's 64)."""
 
+    def units(data: np.ndarray) -> np.ndarray:
+        begin, end, _ = words(data, np.array([0, len(data)]))
+        tokens = word_hashes(data, begin, end) if len(begin) else np.zeros(0, np.uint64)
+        one, two = (mix(Rolling(tokens, k).every(length)) for k in (0, 1))
+        both = np.empty((len(one), WINDOW_BYTES), np.uint8)
+        both[:, :8] = one.view(np.uint8).reshape(-1, 8)
+        both[:, 8:] = two.view(np.uint8).reshape(-1, 8)[:, : WINDOW_BYTES - 8]
+        return both
 
-def window_hashes(length: int):
-    def hashes(units: np.ndarray):
-        wide = np.zeros((len(units), 8), np.uint8)
-        wide[:, :TOKEN_BYTES] = units
-        tokens = wide.view(np.uint64).reshape(-1)
-        return mix(Rolling(tokens).every(length)), mix(Rolling(tokens, 1).every(length))
+    return units
 
-    return hashes
+
+def fingerprints(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.zeros((len(units), 16), np.uint8)
+    wide[:, :WINDOW_BYTES] = units
+    both = wide.view(np.uint64)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -134,8 +139,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys: rows that share one get a row each, and a window found in any of them is removed from all.
     Other columns are ignored.
     """
-    spans, texts = repeated_windows(docs, id_col, text_col, symbol_runs(length), units, TOKEN_BYTES, window_hashes(length), length, same_doc=False)
-    hashes = window_hashes(length)
+    units = window_units(length)
+    spans, texts = repeated_windows(docs, id_col, text_col, symbol_runs(length), units, WINDOW_BYTES, fingerprints, 1, same_doc=False)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +150,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 begin, end, _ = words(data, np.array([0, size]))
                 gone = np.zeros(len(begin), bool)
                 if found.is_valid:
-                    one, _ = hashes(units(data))
+                    one, _ = fingerprints(units(data))
                     at = windows_of(found)
                     every = np.flatnonzero(np.isin(one, one[at[at < len(one)]]))
                     gone = cover(len(begin), every, length)
