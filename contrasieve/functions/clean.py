@@ -36,8 +36,9 @@ def is_positive(label: Column, positive: Sequence[str] = vocab.POSITIVE_LABELS)
 
 
 def three_class_label(category: Column, text: Column, keywords: Sequence[str] = vocab.SPECIAL_KEYWORDS) -> Column:
-    """``geral``, ``eng_especial`` or ``eng_comum`` from the category and special keywords."""
-    special = tx.contains_any(F.lower(text), keywords)
+    """``geral``, ``eng_especial`` or ``eng_comum`` from the category and special keywords (whole folded words)."""
+    tokens = F.split(F.trim(F.regexp_replace(tx.fold(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), " ")
+    special = F.arrays_overlap(tokens, F.array(*[F.lit(tx.fold_word(k)) for k in keywords]))
     return (
         F.when(category == vocab.CATEGORY_GENERAL, "geral")
         .when(category == vocab.CATEGORY_WORKS, "eng_especial")

@@ -34,9 +34,13 @@ _ACCENTED, _PLAIN = _accent_table()
 _COMPAT, _COMPAT_PLAIN = _compat_table()
 
 
+def strip_accents(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+
+
 def fold_word(word: str) -> str:
     """Driver-side twin of :func:`fold` for literals such as stopwords."""
-    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
+    return strip_accents(word.lower())
 
 
 def fold(text: Column, compat: bool = False) -> Column:
@@ -151,10 +155,12 @@ def marker_score(families: Mapping[str, Sequence[str]] = vocab.MARKERS_BASE, pre
 def first_pattern(text: Column, patterns: Sequence[str] = vocab.OBVIOUS_PATTERNS, flags: str = "(?i)") -> Column:
     """First pattern of the list that occurs in the text, else null.
 
+    The text is folded, so accents of the patterns are taken off as well; the answer is the pattern as given.
     One alternation screens the rows first; most texts hit nothing and stop there.
     """
-    screen = text.rlike(flags + "(?:" + "|".join(patterns) + ")")
-    chain = F.coalesce(*[F.when(text.rlike(flags + p), F.lit(p)) for p in patterns])
+    plain = [strip_accents(p) for p in patterns]
+    screen = text.rlike(flags + "(?:" + "|".join(plain) + ")")
+    chain = F.coalesce(*[F.when(text.rlike(flags + q), F.lit(p)) for p, q in zip(patterns, plain)])
     return F.when(screen, chain)
 
 
@@ -176,10 +182,10 @@ def work_nature(
     common: Sequence[str] = vocab.COMMON_SERVICE_INDICATORS,
 ) -> Column:
     """``obra_ou_especial`` beats ``comum``; neither gives ``indeterminado``."""
-    lowered = F.lower(text)
+    folded = fold(text)
     return (
-        F.when(contains_any(lowered, special), "obra_ou_especial")
-        .when(contains_any(lowered, common), "comum")
+        F.when(contains_any(folded, [fold_word(t) for t in special]), "obra_ou_especial")
+        .when(contains_any(folded, [fold_word(t) for t in common]), "comum")
         .otherwise("indeterminado")
     )
 

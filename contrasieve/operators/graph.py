@@ -5,6 +5,8 @@ Every iteration is a join and an aggregation; rounds are cut at tables in the sh
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +82,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if tuple(now) == state:
             break
         state = tuple(now)
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     root = e.groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("root"))
     return vertices.join(root, "vertex", "left").select("vertex", F.coalesce("root", "vertex").alias("component"))
 
@@ -163,11 +167,11 @@ def modularity_communities(edges: DataFrame, levels: int = 2, rounds: int = 4) -
     return mapping
 
 
-def betweenness(edges: DataFrame, sources: int = 200, max_depth: int = 30, seed: int = 42) -> DataFrame:
+def betweenness(edges: DataFrame, sources: int = 200, seed: int = 42) -> DataFrame:
     """(vertex, betweenness) from shortest paths of sampled sources, scaled to all vertices.
 
     All sources are searched together: one level of every search is one join. Counts go
-    forward level by level, dependencies go back the same way.
+    forward level by level, until no vertex is left to reach; dependencies go back the same way.
     """
     both = cut_lineage(both_ways(edges).select("src", "dst").distinct())
     vertices = both.select(F.col("src").alias("vertex")).distinct()
@@ -175,7 +179,7 @@ def betweenness(edges: DataFrame, sources: int = 200, max_depth: int = 30, seed:
     starts = sample_rows(vertices, "vertex", sources, seed)
     level = cut_lineage(starts.select(F.col("vertex").alias("source"), "vertex", F.lit(1.0).alias("sigma"), F.lit(0).alias("depth")))
     seen, levels = level, [level]
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         reached = level.join(both, level["vertex"] == both["src"]).groupBy("source", F.col("dst").alias("vertex")).agg(F.sum("sigma").alias("sigma"))
         fresh = reached.join(seen.select("source", "vertex"), ["source", "vertex"], "left_anti")
         level = cut_lineage(fresh.withColumn("depth", F.lit(depth)))

@@ -255,7 +255,8 @@ def validation_sample(
     suspects = unique.filter(F.col(p) >= limit)
     total = suspects.agg(F.count("*")).scalar()
     quota = F.greatest(F.lit(1), F.ceil(F.lit(sizes[0]) * F.col("_size") / total))
-    a = quota_sample(suspects, [cluster], key, quota, seed).withColumn("stratum", F.lit("suspeito"))
+    # quotas are rounded up, so the first of the hash order are taken in the end
+    a = sample_rows(quota_sample(suspects, [cluster], key, quota, seed), key, sizes[0], seed).withColumn("stratum", F.lit("suspeito"))
     b = sample_rows(unique.filter((F.col(p) >= 0.3) & (F.col(p) < limit)), key, sizes[1], seed).withColumn("stratum", F.lit("incerto"))
     taken = a.select(key).unionByName(b.select(key))
     c = sample_rows(unique.join(taken, key, "left_anti"), key, sizes[2], seed).withColumn("stratum", F.lit("resto"))

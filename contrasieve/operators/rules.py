@@ -128,12 +128,20 @@ def procedure_verdict(
     )
 
 
-def reapply_verdict(current: Column, n_chars: Column, n_markers: Column, verdict: Column) -> Column:
-    """Bring stored outcomes in line with the present rules; undecidable ones stay as they are."""
-    readable = F.coalesce(n_chars, F.lit(0)) >= 300
+def reapply_verdict(current: Column, n_markers: Column, verdict: Column) -> Column:
+    """Bring stored outcomes in line with the present rules; only two outcomes are looked at again.
+
+    A confirmed violation falls to review if the reader said ``parcial``, and counts as unread if the answer is none
+    of the three. Unread cases are in order with two markers or a ``sim``, and go to review otherwise.
+    """
+    answer = F.lower(F.trim(F.coalesce(verdict, F.lit(""))))
+    answer = F.when(answer == "não", "nao").otherwise(answer)
+    violation = current == "subenquadramento_real"
+    unread = (current == "indeterminado_llm_falhou") | (violation & ~answer.isin("sim", "nao", "parcial"))
+    in_order = (F.coalesce(n_markers, F.lit(0)) >= 2) | (answer == "sim")
     return (
-        F.when(readable & ((n_markers >= 2) | (verdict == "sim")), "rotulacao_incorreta_processo_ok")
-        .when(readable & (verdict.isin("parcial", "")), "rito_parcial")
+        F.when(unread & in_order, "rotulacao_incorreta_processo_ok")
+        .when(unread | (violation & (answer == "parcial")), "rito_parcial")
         .otherwise(current)
     )
 

@@ -125,9 +125,9 @@ def f9(spark, d):
 
 @query(
     "f10_three_classes",
-    """WITH p AS (SELECT p_partkey, p_size % 3 + 7 AS c, lower(p_name) AS n FROM part)
+    """WITH p AS (SELECT p_partkey, p_size % 3 + 7 AS c, regexp_extract_all(strip_accents(lower(p_name)), '[a-z0-9]+') AS n FROM part)
     SELECT p_partkey, CASE WHEN c = 8 THEN 'geral' WHEN c = 7 THEN 'eng_especial'
-      WHEN contains(n, 'ring') OR contains(n, 'small') THEN 'eng_especial' ELSE 'eng_comum' END AS label3 FROM p""",
+      WHEN list_has_any(n, ['ring', 'small']) THEN 'eng_especial' ELSE 'eng_comum' END AS label3 FROM p""",
 )
 def f10(spark, d):
     label3 = cl.three_class_label(F.col("p_size") % 3 + 7, F.col("p_name"), ["ring", "small"])

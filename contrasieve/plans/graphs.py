@@ -85,15 +85,15 @@ def g7(spark, d):
 
 @query(
     "g8_red_flags",
-    f"""WITH {FACT_GEO}, e AS (SELECT DISTINCT agency, supplier FROM factg), dg AS (SELECT agency FROM e GROUP BY 1 HAVING count(*) <= 25)
-    SELECT id, agency FROM factg JOIN part ON part = p_partkey WHERE label = 'geral' AND contains(p_name, 'ring') AND agency IN (SELECT agency FROM dg)""",
+    f"""WITH {FACT_GEO}, e AS (SELECT DISTINCT agency, supplier FROM factg), dg AS (SELECT supplier FROM e GROUP BY 1 HAVING count(*) <= 450)
+    SELECT id, agency FROM factg JOIN part ON part = p_partkey WHERE label = 'geral' AND contains(p_name, 'ring') AND supplier IN (SELECT supplier FROM dg)""",
 )
 def g8(spark, d):
     f = fact_geo(spark, d)
-    few = f.groupBy("agency").agg(F.countDistinct("supplier").alias("degree")).filter("degree <= 25")
+    few = f.groupBy("supplier").agg(F.countDistinct("agency").alias("degree")).filter("degree <= 450")
     names = table(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_name")
     hits = f.filter("label = 'geral'").join(names, "part").filter(tx.domain_term_count(F.col("p_name"), ["ring"]) >= 1)
-    return hits.join(few, "agency", "left_semi").select("id", "agency")
+    return hits.join(few, "supplier", "left_semi").select("id", "agency")
 
 
 @query(

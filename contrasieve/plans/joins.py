@@ -277,13 +277,13 @@ def w5(spark, d):
     "w6_cluster_quota",
     f"""WITH {FACT_GEO}, x AS (SELECT id, municipality, row_number() OVER (PARTITION BY municipality ORDER BY md5('42|' || id), id) - 1 AS k,
       count(*) OVER (PARTITION BY municipality) AS s, count(*) OVER () AS n FROM factg WHERE label = 'geral')
-    SELECT id, municipality FROM x WHERE k < greatest(1, ceil(200 * s / n::DOUBLE))""",
+    SELECT id, municipality FROM x WHERE k < greatest(1, ceil(200 * s / n::DOUBLE)) ORDER BY md5('42|' || id), id LIMIT 200""",
 )
 def w6(spark, d):
     g = fact_geo(spark, d).filter("label = 'geral'").select("id", "municipality")
     total = g.agg(F.count("*")).scalar()
     quota = F.greatest(F.lit(1), F.ceil(F.lit(200) * F.col("_size") / total))
-    return sampling.quota_sample(g, ["municipality"], "id", quota)
+    return sampling.sample_rows(sampling.quota_sample(g, ["municipality"], "id", quota), "id", 200)
 
 
 W7_SQL = f"""WITH w AS (SELECT unnest({TOKENS_SQL}) AS term FROM documents), c AS (SELECT term, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, term LIMIT 200),

@@ -289,7 +289,7 @@ def m21(spark, d):
 M22_SQL = f"""WITH k AS (SELECT doc_id, source, md5(trim(regexp_replace({COMPAT_SQL}, '[^a-z0-9]+', ' ', 'g'))) AS tk, {SCORE('doc_id')} AS p, md5('42|' || doc_id) AS h FROM documents),
   u AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY tk ORDER BY doc_id) = 1),
   s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1 AS rk, count(*) OVER (PARTITION BY source) AS sz, count(*) OVER () AS n FROM u WHERE p >= 0.7),
-  a AS (SELECT doc_id, 'suspeito' AS stratum FROM s WHERE rk < greatest(1, ceil(100 * sz / n::DOUBLE))),
+  a AS (SELECT doc_id, 'suspeito' AS stratum FROM (SELECT * FROM s WHERE rk < greatest(1, ceil(100 * sz / n::DOUBLE)) ORDER BY h, doc_id LIMIT 100)),
   b AS (SELECT doc_id, 'incerto' AS stratum FROM (SELECT * FROM u WHERE p >= 0.3 AND p < 0.7 ORDER BY h, doc_id LIMIT 50)),
   c AS (SELECT doc_id, 'resto' AS stratum FROM (SELECT * FROM u WHERE doc_id NOT IN (SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b) ORDER BY h, doc_id LIMIT 50))
   SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c"""

@@ -215,11 +215,18 @@ def r10(spark, d):
 
 @query(
     "r11_reapply_rules",
-    f"""WITH {PROCEDURE} SELECT o_orderkey, CASE WHEN chars >= 300 AND (mk >= 2 OR verdict = 'sim') THEN 'rotulacao_incorreta_processo_ok' WHEN chars >= 300 AND verdict IN ('parcial', '') THEN 'rito_parcial' ELSE 'antigo' END AS outcome FROM rito""",
+    f"""WITH {PROCEDURE}, s AS (SELECT o_orderkey, mk, CASE WHEN o_orderkey % 7 = 0 THEN 'indeterminado_llm_falhou' ELSE outcome END AS cur,
+      CASE o_orderkey % 5 WHEN 0 THEN ' Sim' WHEN 1 THEN 'Não' WHEN 2 THEN 'parcial' WHEN 3 THEN 'talvez' END AS said FROM rito),
+      n AS (SELECT *, CASE WHEN said = 'Não' THEN 'nao' ELSE trim(lower(coalesce(said, ''))) END AS v FROM s),
+      u AS (SELECT *, cur = 'indeterminado_llm_falhou' OR (cur = 'subenquadramento_real' AND v NOT IN ('sim', 'nao', 'parcial')) AS unread FROM n)
+    SELECT o_orderkey, CASE WHEN unread AND (coalesce(mk, 0) >= 2 OR v = 'sim') THEN 'rotulacao_incorreta_processo_ok' WHEN unread THEN 'rito_parcial'
+      WHEN cur = 'subenquadramento_real' AND v = 'parcial' THEN 'rito_parcial' ELSE cur END AS outcome FROM u""",
 )
 def r11(spark, d):
-    new = rules.reapply_verdict(F.lit("antigo"), F.col("chars"), F.coalesce("mk", F.lit(0)), F.col("verdict"))
-    return procedure(spark, d).select("o_orderkey", new.alias("outcome"))
+    k = F.col("o_orderkey")
+    current = F.when(k % 7 == 0, "indeterminado_llm_falhou").otherwise(F.col("outcome"))
+    said = F.when(k % 5 == 0, " Sim").when(k % 5 == 1, "Não").when(k % 5 == 2, "parcial").when(k % 5 == 3, "talvez")
+    return procedure(spark, d).select("o_orderkey", rules.reapply_verdict(current, F.col("mk"), said).alias("outcome"))
 
 
 @query(

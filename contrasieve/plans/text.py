@@ -196,9 +196,9 @@ NATURE_COMMON = ["tion of", "der "]
 
 @query(
     "t14_work_nature",
-    """SELECT doc_id, CASE WHEN contains(lower(text), 'inter') OR contains(lower(text), 'struct') OR contains(lower(text), 'thing')
-       THEN 'obra_ou_especial' WHEN contains(lower(text), 'tion of') OR contains(lower(text), 'der ') THEN 'comum'
-       ELSE 'indeterminado' END AS nature FROM documents""",
+    """WITH b AS (SELECT doc_id, strip_accents(lower(text)) AS f FROM documents) SELECT doc_id, CASE WHEN contains(f, 'inter') OR contains(f, 'struct') OR contains(f, 'thing')
+       THEN 'obra_ou_especial' WHEN contains(f, 'tion of') OR contains(f, 'der ') THEN 'comum'
+       ELSE 'indeterminado' END AS nature FROM b""",
 )
 def t14(spark, d):
     return docs(spark, d).select("doc_id", tx.work_nature(F.col("text"), NATURE_SPECIAL, NATURE_COMMON).alias("nature"))

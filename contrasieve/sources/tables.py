@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -181,16 +181,12 @@ def coverage(df: DataFrame, month: str, start: str, end: str, partial_below: int
 
 
 def fingerprint(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
-    """Row count and an order-free combination of row hashes."""
-    row = F.sha2(F.concat_ws("|", *columns), 256)
-    part = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(20,0)")
+    """Row count and an order-free combination of row hashes. Each value stands with its length; null is ``-``."""
+    row = F.sha2(F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in columns]), 256)
+    part = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(28,0)")
     return df.agg(F.count("*").alias("n_rows"), F.sum(part).cast("decimal(38,0)").cast("string").alias("fingerprint"))
 
 
 def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """Export cap: the first ``n`` rows of an ordering that ends in a unique key."""
     return df.orderBy(*order).limit(n)
-
-
-def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(names))
