@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import datetime as dt
+import gzip
 import hashlib
 import re
 import uuid
@@ -93,9 +94,10 @@ def write_archives(recs: DataFrame, folder: str) -> None:
                 part = batch.slice(at, 64).to_pydict()
                 yield pa.RecordBatch.from_arrays([pa.array([_record(*row) for row in zip(*(part[c] for c in ("id", "url", "payload", "digest", "kind", "refers_to")))], pa.string())], ["value"])
 
-    total = recs.agg(F.sum(F.octet_length("payload") + 512)).first()[0] or 0
-    dealt = recs.repartition(max(1, -(-total // ARCHIVE)), F.hash("id"), F.hash("url"))
-    dealt.mapInArrow(run, "value string").write.option("lineSep", END).text(folder)
+    mean = recs.agg(F.avg(F.octet_length("payload") + 512)).first()[0] or 1
+    # the records stay where the search for equal payloads put them; files end after so many of mean size
+    shown = recs.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip")
+    shown.option("maxRecordsPerFile", max(1, int(ARCHIVE / mean))).text(folder)
 
 
 _HEADERS = re.compile(rb"^([A-Za-z0-9-]+): (.*)$")
@@ -135,7 +137,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"]):
                 name, out = path.rpartition("/")[2], []
-                for at, h, block in parse(content.as_py()):
+                for at, h, block in parse(gzip.decompress(content.as_py())):
                     kind = h[b"WARC-Type"].decode()
                     told = h[b"WARC-Payload-Digest"].removeprefix(b"sha1:").decode()
                     size = int(h[b"X-Payload-Length"])
