@@ -9,7 +9,6 @@ it with a loser tree, so the parts in order are the histories of all captures.
 from __future__ import annotations
 
 import base64
-import datetime as dt
 import gzip
 import hashlib
 import re
@@ -27,7 +26,7 @@ from contrasieve.session import cut_lineage, shared_folder
 END = "\r\n\r\n"
 #: Bytes of payload that one archive should hold.
 ARCHIVE = 8 << 20
-EPOCH = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+EPOCH = "2024-01-01 00:00:00"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -45,9 +44,8 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + tail + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
-def base32_sha1(column):
-    """Bare upper-case base32 of the SHA-1 of a binary column, from its hex digits: 5 of them are 4 letters."""
-    digits = F.sha1(column)
+def base32_digits(digits):
+    """Upper-case base32 of 40 hex digits: 5 of them are 4 letters."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     out = []
     for at in range(1, 41, 5):
@@ -63,40 +61,49 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     payloads are empty. A null id sorts before all others (rows that repeat an id repeat its record).
     """
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", base32_sha1(F.encode("payload", "UTF-8")))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), F.col("id"))).alias("first"))
-    rows = rows.join(first, "digest", "left")
-    own = F.col("first").isNull() | F.col("first.id").eqNullSafe(F.col("id"))
-    return rows.select("id", "url", "payload", "digest", F.when(own, "response").otherwise("revisit").alias("kind"), F.when(~own, F.col("first.id")).alias("refers_to"))
-
-
-def _line(text: str) -> str:
-    return re.sub(r"[\x00-\x20\x7f]+", lambda m: "".join(f"%{ord(c):02X}" for c in m[0]), text)
-
-
-def _record(page: int | None, url: str, payload: str, digest: str, kind: str, refers: int | None) -> str:
-    """A record without its closing blank line. A revisit keeps no payload."""
-    body = payload.encode() if kind == "response" else b""
-    date = (EPOCH + dt.timedelta(seconds=(page or 0) % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_line(url)}", f"WARC-Payload-Digest: sha1:{digest}"]
-    if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{'' if refers is None else refers}>"]
-    head += [f"X-Payload-Length: {len(payload.encode())}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
-    return "\r\n".join(head) + END + body.decode()
+    rows = rows.withColumn("sha", F.sha1(F.col("payload").cast("binary")))
+    # fixed-size minima, so that equal payloads meet in hash maps on the map side
+    first = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("id").alias("least_id"), F.max(F.col("id").isNull()).alias("unknown"))
+    rows = rows.join(first, "sha", "left")
+    first_id = F.when(F.col("unknown"), F.lit(None)).otherwise(F.col("least_id"))
+    own = F.col("unknown").isNull() | first_id.eqNullSafe(F.col("id"))
+    return rows.select("id", "url", "payload", base32_digits(F.col("sha")).alias("digest"), F.when(own, "response").otherwise("revisit").alias("kind"), F.when(~own, first_id).alias("refers_to"))
+
+
+def _line(text):
+    """A column of texts with white space and control characters escaped, so that each is one header line."""
+    shown = text
+    for code in [*range(0x21), 0x7F]:
+        shown = F.replace(shown, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(text.rlike(r"[\x00-\x20\x7f]"), shown).otherwise(text)
+
+
+def _record():
+    """Rows of ``records`` as record texts without the closing blank line. A revisit keeps no payload."""
+    response = F.col("kind") == "response"
+    seconds = F.pmod(F.coalesce("id", F.lit(0)), F.lit(1 << 31))
+    date = F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "refers_to")]
+    size = F.octet_length("payload").cast("string")
+    head = [
+        "WARC/1.1\r\nWARC-Type: ", F.col("kind"), "\r\nWARC-Record-ID: <urn:page:", named[0], ">\r\nWARC-Date: ", F.replace(date.cast("string"), F.lit(" "), F.lit("T")),
+        "Z\r\nWARC-Target-URI: ", _line(F.col("url")), "\r\nWARC-Payload-Digest: sha1:", F.col("digest"),
+        F.when(response, "").otherwise(F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:page:"), named[1], F.lit(">"))),
+        "\r\nX-Payload-Length: ", size, "\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", F.when(response, size).otherwise("0"),
+        END, F.when(response, F.col("payload")).otherwise(""),
+    ]
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in head])
 
 
 def write_archives(recs: DataFrame, folder: str) -> None:
-    """Write ``records`` as archives of about ``ARCHIVE`` bytes into ``folder``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64).to_pydict()
-                yield pa.RecordBatch.from_arrays([pa.array([_record(*row) for row in zip(*(part[c] for c in ("id", "url", "payload", "digest", "kind", "refers_to")))], pa.string())], ["value"])
+    """Write ``records`` as archives of about ``ARCHIVE`` bytes into ``folder``.
 
+    Records are put together row by row in the JVM: no batch of pages is ever held.
+    """
+    # payloads alone are asked for, so this pass needs no search for equal ones and no shuffle
     mean = recs.agg(F.avg(F.octet_length("payload") + 512)).first()[0] or 1
     # the records stay where the search for equal payloads put them; files end after so many of mean size
-    shown = recs.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip")
+    shown = recs.select(_record().alias("value")).write.option("lineSep", END).option("compression", "gzip")
     shown.option("maxRecordsPerFile", max(1, int(ARCHIVE / mean))).text(folder)
 
 
