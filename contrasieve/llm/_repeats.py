@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrasieve.llm._scan import NO_ID, longs, raw, slices, spread
+from contrasieve.llm._scan import NO_ID, longs, mix, raw, slices, spread
 from contrasieve.session import cut_lineage
 
 ENTRY = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
@@ -345,7 +345,8 @@ def repeated_windows(
         for part in slices(batch, "text"):
             data, bounds = raw(part["text"])
             row, start, n, key, content = runs(data, bounds)
-            yield entries(key, content, longs(part["doc"])[row], start, n)
+            # anchors are least hashes, so small ones are common; mixed again, they spread evenly over key ranges
+            yield entries(mix(key), content, longs(part["doc"])[row], start, n)
 
     def rescan(batch: pa.RecordBatch) -> Iterator:
         for doc, size, body, spans in zip(batch["doc"].to_pylist(), batch["size"].to_pylist(), batch["body"], batch["spans"]):
