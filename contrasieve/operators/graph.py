@@ -41,7 +41,7 @@ def page_rank(edges: DataFrame, alpha: float = 0.85, rounds: int = 200, toleranc
     """(vertex, rank) of the undirected weighted graph; stops early once ranks settle."""
     both = both_ways(edges)
     total = both.groupBy("src").agg(F.sum("weight").alias("_s"))
-    links = cut_lineage(both.join(total, "src").select("src", "dst", (F.col("weight") / F.col("_s")).alias("share")).repartition("src"))
+    links = cut_lineage(both.join(total, "src").select("src", "dst", (F.col("weight") / F.col("_s")).alias("share")))
     vertices = total.select(F.col("src").alias("vertex"))
     n = vertices.count()
     ranks = cut_lineage(vertices.withColumn("rank", F.lit(1.0 / n)))
@@ -88,26 +88,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return vertices.join(root, "vertex", "left").select("vertex", F.coalesce("root", "vertex").alias("component"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(vertex, community): heaviest label among the neighbours, ties to the smaller label.
+def label_propagation(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(vertex, community): heaviest label among the neighbours, until no vertex wants another one.
 
-    Half of the vertices (by hash) move in each round, which stops two sides of a bipartite
-    graph from swapping labels for ever.
+    Ties keep the label a vertex has, else go to the smaller one. Another half of the vertices (by
+    hash) may move in each round, so neighbours do not swap labels for ever.
     """
     both = cut_lineage(both_ways(edges))
     state = cut_lineage(both.select(F.col("src").alias("vertex")).distinct().withColumn("community", F.col("vertex")))
-    for i in range(rounds):
+    for i in range(max_rounds):
         votes = both.join(state, both["dst"] == state["vertex"]).groupBy("src", "community").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("w"), "community"))["community"].alias("_new"))
-        active = F.pmod(F.xxhash64("vertex"), F.lit(2)) == i % 2
-        moved = state.join(best, state["vertex"] == best["src"], "left").withColumn(
-            "_to", F.when(active, F.coalesce("_new", "community")).otherwise(F.col("community"))
-        )
-        fresh = cut_lineage(moved.select("vertex", F.col("_to").alias("community"), (F.col("_to") != F.col("community")).alias("moved")))
-        state = fresh.select("vertex", "community")
-        if i % 2 == 1 and fresh.filter("moved").isEmpty():
-            break
-    return state
+        own = state.select(F.col("vertex").alias("src"), F.col("community").alias("own"))
+        order = F.struct((-F.round("w", 9)).alias("w"), (F.col("community") != F.col("own")).alias("other"), "community")
+        best = votes.join(own, "src").groupBy("src", "own").agg(F.min(order)["community"].alias("to"))
+        fresh = cut_lineage(best.select(F.col("src").alias("vertex"), "own", "to"))
+        if fresh.filter("own <> to").isEmpty():
+            return state
+        active = F.pmod(F.xxhash64("vertex", F.lit(i)), F.lit(2)) == 0
+        state = fresh.select("vertex", F.when(active, F.col("to")).otherwise(F.col("own")).alias("community"))
+    raise RuntimeError(f"labels have not settled after {max_rounds} rounds")
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
@@ -124,20 +123,21 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return per.agg(F.sum(F.col("_in") / m - (F.col("_tot") / m) * (F.col("_tot") / m)).alias("modularity"))
 
 
-def modularity_communities(edges: DataFrame, levels: int = 2, rounds: int = 4) -> DataFrame:
+def modularity_communities(edges: DataFrame, max_rounds: int = 300) -> DataFrame:
     """(vertex, community): parallel local moves that raise modularity, then contraction.
 
-    In each round half of the vertices move to the neighbouring community with the largest
-    gain; after the rounds of a level communities become vertices of a smaller graph.
+    In each round some of the vertices (another half by hash, a quarter after 12 rounds) move to the
+    neighbouring community with the largest gain, until none gains by a move; then communities become
+    vertices of a smaller graph. Levels end with the first one in which nothing moves.
     """
     graph = cut_lineage(both_ways(edges))
     mapping = graph.select(F.col("src").alias("vertex")).distinct().withColumn("community", F.col("vertex"))
     mapping = cut_lineage(mapping)
     m2 = graph.agg(F.sum("weight")).first()[0]
-    for level in range(levels):
+    for level in itertools.count():
         strength = cut_lineage(graph.groupBy(F.col("src").alias("vertex")).agg(F.sum("weight").alias("k")))
         state = strength.withColumn("community", F.col("vertex"))
-        for i in range(rounds):
+        for i in range(max_rounds):
             totals = state.groupBy("community").agg(F.sum("k").alias("tot"))
             near = graph.filter("src <> dst").join(state.select(F.col("vertex").alias("dst"), "community"), "dst")
             pull = near.groupBy("src", "community").agg(F.sum("weight").alias("w"))
@@ -150,13 +150,16 @@ def modularity_communities(edges: DataFrame, levels: int = 2, rounds: int = 4) -
             best = scored.withColumn("gain", gain).groupBy("src").agg(
                 F.min(F.struct((-F.col("gain")).alias("g"), (F.col("community") != F.col("own")).alias("s"), "community"))["community"].alias("to")
             )
-            active = F.pmod(F.xxhash64("vertex", F.lit(level)), F.lit(2)) == i % 2
-            state = cut_lineage(
-                state.join(best, state["vertex"] == best["src"]).select(
-                    "vertex", "k", F.when(active, F.col("to")).otherwise(F.col("community")).alias("community")
-                )
-            )
-        step = state.select(F.col("vertex").alias("community"), F.col("community").alias("_up"))
+            fresh = cut_lineage(state.join(best, state["vertex"] == best["src"]).select("vertex", "k", "community", "to"))
+            if fresh.filter("to <> community").isEmpty():
+                break
+            active = F.pmod(F.xxhash64("vertex", F.lit(level), F.lit(i)), F.lit(2 if i < 12 else 4)) == 0
+            state = fresh.select("vertex", "k", F.when(active, F.col("to")).otherwise(F.col("community")).alias("community"))
+        else:
+            raise RuntimeError(f"communities have not settled after {max_rounds} rounds")
+        if i == 0:
+            return mapping
+        step =state.select(F.col("vertex").alias("community"), F.col("community").alias("_up"))
         mapping = cut_lineage(mapping.join(step, "community").select("vertex", F.col("_up").alias("community")))
         up = state.select("vertex", "community")
         graph = cut_lineage(
@@ -164,7 +167,6 @@ def modularity_communities(edges: DataFrame, levels: int = 2, rounds: int = 4) -
             .join(up.withColumnsRenamed({"vertex": "dst", "community": "b"}), "dst")
             .groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))
         )
-    return mapping
 
 
 def betweenness(edges: DataFrame, sources: int = 200, seed: int = 42) -> DataFrame:

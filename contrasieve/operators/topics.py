@@ -19,12 +19,12 @@ def lda_topics(
 ) -> DataFrame:
     """Per topic: top words, documents it dominates, percent positive among them.
 
-    The online optimiser reads mini-batches, so no row cap is needed.
+    Each of the ``rounds`` of the online optimiser draws as many documents as there are.
     """
     words = df.select(key, positive.alias("_pos"), tokens.alias("_tokens"))
     counter = CountVectorizer(inputCol="_tokens", outputCol="features", vocabSize=vocab_size, minDF=min_df, maxDF=max_df).fit(words)
-    counts = cut_lineage(counter.transform(words).select("_pos", "features"))  # read once per mini-batch
-    model = LDA(k=k, maxIter=rounds, optimizer="online", seed=seed).fit(counts)
+    counts = cut_lineage(counter.transform(words).select("_pos", "features"))  # read once per round
+    model = LDA(k=k, maxIter=rounds, optimizer="online", subsamplingRate=1.0, seed=seed).fit(counts)
     vocabulary = F.array(*[F.lit(w) for w in counter.vocabulary])  # at most vocab_size words
     named = model.describeTopics(top).withColumn("_v", vocabulary).select(
         "topic", F.array_join(F.transform("termIndices", lambda i: F.get("_v", i)), " ").alias("words")

@@ -388,7 +388,7 @@ def m28(spark, d):
 
 
 M29_SQL = f"""WITH v AS (SELECT vec_id, label IN (0, 1, 2) AS pos, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings),
-  ref AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY pos ORDER BY md5('42|' || vec_id), vec_id) <= 100),
+  ref AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY pos ORDER BY md5('42|' || vec_id), vec_id) <= 1000),
   s AS (SELECT a.vec_id, b.pos, b.vec_id AS dst, round(list_dot_product(a.e, b.e), 9) AS sim FROM v a, ref b WHERE NOT a.pos),
   t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id, pos ORDER BY sim DESC, dst) <= 10)
   SELECT vec_id, {R('avg(sim) FILTER (WHERE pos)', 5)} AS to_positive, {R('avg(sim) FILTER (WHERE NOT pos)', 5)} AS to_general, {R('avg(sim) FILTER (WHERE pos) - avg(sim) FILTER (WHERE NOT pos)', 5)} AS coherence FROM t GROUP BY 1"""
@@ -397,7 +397,7 @@ M29_SQL = f"""WITH v AS (SELECT vec_id, label IN (0, 1, 2) AS pos, list_transfor
 @query("m29_coherence", M29_SQL)
 def m29(spark, d):
     v = vectors(spark, d)
-    out = learn.coherence(v.filter("y = 0"), "vec_id", "embedding", v.filter("y = 1"), v.filter("y = 0"), refs=100)
+    out = learn.coherence(v.filter("y = 0"), "vec_id", "embedding", v.filter("y = 1"), v.filter("y = 0"))
     return out.select("vec_id", *[r(F.col(c), 5).alias(c) for c in ("to_positive", "to_general", "coherence")])
 
 

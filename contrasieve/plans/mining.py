@@ -206,7 +206,7 @@ def x12(spark, d):
 
 @query("x13_nmf_topics")
 def x13(spark, d):
-    return topics.nmf_topics(weights(spark, d), "doc_id", k=8, rounds=5)
+    return topics.nmf_topics(weights(spark, d), "doc_id", k=8)
 
 
 @query(
@@ -220,4 +220,4 @@ def x14(spark, d):
 
 @query("x15_text_vectors")
 def x15(spark, d):
-    return features.text_vectors(texts(spark, d), "doc_id", doc_tokens(), size=32)
+    return features.text_vectors(texts(spark, d), "doc_id", doc_tokens())

@@ -58,7 +58,7 @@ def k3(spark, d):
 
 @query("k4_kmeans_sweep")
 def k4(spark, d):
-    return clusters.kmeans_sweep(features.to_vector(vectors(spark, d), "embedding"), "features", range(2, 11, 2))
+    return clusters.kmeans_sweep(features.to_vector(vectors(spark, d), "embedding"), "features", range(2, 11))
 
 
 @query(
@@ -190,7 +190,7 @@ def k14r(spark, d):
     return out.withColumn("accuracy", r(F.col("accuracy")))
 
 
-def _regular_sql(rounds=5):
+def _regular_sql(rounds=30):
     steps = [f"""WITH {KNN(5)}, g AS (SELECT src, dst FROM knn UNION SELECT dst, src FROM knn), seed AS (SELECT vec_id AS v FROM embeddings WHERE label IN (0, 1, 2)),
       s0 AS (SELECT DISTINCT src AS v, CASE WHEN src IN (SELECT v FROM seed) THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM g)"""]
     for i in range(1, rounds + 1):
@@ -202,7 +202,7 @@ def _regular_sql(rounds=5):
 def k15(spark, d):
     edges = knn(spark, d, 5).select("src", "dst", F.lit(1.0).alias("weight"))
     seeds = vectors(spark, d).filter("y = 1").select(F.col("vec_id").alias("vertex"))
-    out = graph.regularise_from_seeds(edges, seeds, 5)
+    out = graph.regularise_from_seeds(edges, seeds)
     return out.select(F.col("vertex").alias("vec_id"), r(F.col("score")).alias("score"))
 
 
