@@ -1,7 +1,7 @@
 """Token ids of whole Arrow columns by the tokenizers library.
 
-A text is cut wherever white space follows something else. Both public vocabularies start a new token there
-whatever comes next, so a piece has the same ids wherever it stands. Each distinct piece of a slice is encoded once,
+A text is cut wherever white space follows something else, and where one of ``.,;:!?`` follows an ASCII letter. Both
+public vocabularies start a new token there whatever comes next, so a piece has the same ids wherever it stands. Each distinct piece of a slice is encoded once,
 and the pieces met so far stay in a table of the Python process, of a fixed size.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import sys
 import types
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,14 @@ import pyarrow as pa
 from contrasieve.llm._scan import raw
 
 REMEMBERED = 1_000_000
+BATCH = 1 << 14
 SLICE = 4 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
 _WIDE = np.zeros(256, bool)
 _WIDE[[0xE1, 0xE2, 0xE3]] = True
 
@@ -39,6 +45,7 @@ def pieces(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         before[2:] |= (data[:-2] == 0xC2) & ((data[1:-1] == 0x85) | (data[1:-1] == 0xA0))
         before[3:] |= _WIDE[data[:-3]]
         cut[:-1] &= ~before
+        cut[1:-1] |= _STOP[data[1:]] & _LETTER[data[:-1]]
     cut[bounds] = True
     cut[len(data)] = True
     return np.flatnonzero(cut)
@@ -48,14 +55,38 @@ class Encoder:
     """Ids of texts under one tokenizer file."""
 
     def __init__(self, path: str):
-        store = _process()
-        made = store.__dict__.setdefault("encoders", {})
+        made = _process().__dict__.setdefault("encoders", {})
         if path not in made:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            made[path] = (Tokenizer.from_file(path), {})
-        self.tokenizer, self.known = made[path]
+            made[path] = types.SimpleNamespace(
+                tokenizer=Tokenizer.from_file(path), known={}, ids=np.zeros(0, np.uint32), size=np.zeros(0, np.int64)
+            )
+        self.store = made[path]
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some pieces in a row, and how many each has."""
+        ids = [[e.ids for e in self.store.tokenizer.encode_batch_fast(texts[at : at + BATCH], add_special_tokens=False)] for at in range(0, len(texts), BATCH)]
+        size = np.fromiter(map(len, chain.from_iterable(ids)), np.int64, len(texts))
+        return np.fromiter(chain.from_iterable(chain.from_iterable(ids)), np.uint32, size.sum()), size
+
+    def _look_up(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row of ids, and for each distinct piece its place there and its length."""
+        store = self.store
+        which = np.fromiter(map(store.known.get, texts, repeat(-1)), np.int64, len(texts))
+        ids, size = store.ids, store.size
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            fresh, sizes = self._encode(texts[new].tolist())
+            which[new] = len(size) + np.arange(len(new))
+            keep = new[: REMEMBERED - len(store.known)]
+            ids, size = np.concatenate([ids, fresh]), np.concatenate([size, sizes])
+            store.known.update(zip(texts[keep].tolist(), which[keep].tolist()))
+            store.size = size[: len(store.known)]
+            store.ids = ids[: store.size.sum()]
+        place = np.cumsum(size) - size
+        return ids, place[which], size[which]
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (unsigned 32-bit) and the n + 1 places where texts begin; null is empty."""
@@ -65,19 +96,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
         column = pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
         coded = column.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        known = self.known
-        ids = [known.get(p) for p in distinct]
-        new = [i for i, x in enumerate(ids) if x is None]
-        for at in range(0, len(new), 1 << 14):
-            part = new[at : at + (1 << 14)]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([distinct[i] for i in part], add_special_tokens=False)):
-                ids[i] = np.array(e.ids, np.uint32).tobytes()
-                if len(known) < REMEMBERED:
-                    known[distinct[i]] = ids[i]
-        size = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        place = np.cumsum(size) - size
+        flat, place, size = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False))
         which = coded.indices.to_numpy(zero_copy_only=False)
         lengths = size[which]
         ends = np.cumsum(lengths)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import types
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from contrasieve.llm import chat, decontaminate, packing, quality_mcd, recompression, sharding, suffix_dedup, token_coder, warc, weighted_minhash
+from contrasieve.llm import _tokens, chat, decontaminate, packing, quality_mcd, recompression, sharding, suffix_dedup, token_coder, warc, weighted_minhash
 from contrasieve.llm._scan import raw
 from contrasieve.llm._stats import COUNTS, with_counts
 from contrasieve.llm._tokens import tokenizer_path
@@ -323,3 +324,19 @@ def test_empty_tables(spark, tmp_path):
     assert chat.read_back(chat.windows(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"), path)).isEmpty()
     token_coder.write(none, f"{tmp_path}/t", path)
     assert token_coder.read(spark, f"{tmp_path}/t").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_have_the_ids_of_whole_texts(name, monkeypatch):
+    parts = [*"aBst'.,!?;: \n\t\r1-_|", "<|endoftext|>", "<|startoftext|>", "é", "é", "́", "Σ", "İ", "２", " ", "　", " ", "中", "🙂", "‍", "\x85", "\x1c", "ﬁ", "ll"]
+    r = random.Random(6)
+    texts = [None, "", *("".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(3000))]
+    whole = tokenizers.Tokenizer.from_file(tokenizer_path(name))
+    expected = [e.ids for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    monkeypatch.setattr(_tokens, "_process", lambda store=types.ModuleType("fresh"): store)
+    monkeypatch.setattr(_tokens, "REMEMBERED", 500)  # fewer than there are pieces
+    encoder = _tokens.Encoder(tokenizer_path(name))
+    for _ in range(2):  # pieces unknown, then some of them known
+        ids, ends = encoder.column(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(ends)] == expected
+        assert 0 < len(encoder.store.known) <= 500
