@@ -162,6 +162,29 @@ def test_shards_balance(spark):
     assert len(load) == 8 and max(load.values()) - min(load.values()) <= 2 * max(r["size"] for r in got)
 
 
+@pytest.mark.parametrize("copies", [2, 60])
+def test_groups_that_fit_are_whole_where_all_are_copies(spark, copies):
+    rows = [(i, prose(5 + i // copies % 40, i // copies)) for i in range(2400)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    where, load, group = defaultdict(set), Counter(), Counter()
+    for r in got:
+        where[r["doc_id"] // copies].add(r["shard"])
+        load[r["shard"]] += r["size"]
+        group[r["doc_id"] // copies] += r["size"]
+    assert max(group.values()) <= sum(load.values()) / 8 and all(len(s) == 1 for s in where.values())
+    assert len(load) == 8 and max(load.values()) - min(load.values()) <= max(group.values())
+
+
+def test_bigger_groups_take_what_room_is_left(spark):
+    rows = [(i, "a" * 99) for i in range(300)] + [(300 + i, "b" * 99) for i in range(70)] + [(370 + i, f"c{i // 3:02}" * 33) for i in range(30)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), shards=4).collect()
+    where, load = defaultdict(set), Counter()
+    for r in got:
+        where[dict(rows)[r["doc_id"]]].add(r["shard"])
+        load[r["shard"]] += r["size"]
+    assert sum(len(s) > 1 for s in where.values()) == 1 and max(load.values()) - min(load.values()) <= 200
+
+
 def test_token_file_round_trip(spark, docs, tmp_path):
     path = tokenizer_path("word_bpe_49k.json")
     token_coder.write(docs, f"{tmp_path}/ids", path)
