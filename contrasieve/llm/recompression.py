@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contrasieve.llm._keys import KEY, own_keys, with_ids
 from contrasieve.llm._repeats import repeated_windows, unpack, windows_of
 from contrasieve.llm._scan import NO_ID, Rolling, mix, sliding_min, word_hashes, words
 from contrasieve.llm.suffix_dedup import cover
@@ -130,15 +131,19 @@ def fingerprints(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
-    """Remove each word covered by ``length`` words that also occur in a document with a smaller id.
+    """Remove each word covered by ``length`` words that also occur in an earlier document.
+
+    Earlier: with a smaller id, or with the same id where it stands before.
 
     A word is a longest run of bytes other than 0x20 and 0x09 to 0x0D, unchanged. Windows are judged on the
     input. Returns ``id_col``, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and
     kept: the text without the removed words and the white space after each; untouched where nothing is removed.
-    Null text has no words, and kept is empty. A null id comes before all others and returns as null. Ids are
-    keys: rows that share one get a row each, and a window found in any of them is removed from all.
+    Null text has no words, and kept is empty. Null ids come before all others and return as null. Rows that
+    share an id are documents of their own, in an order that is fixed once (see ``own_keys``).
     Other columns are ignored.
     """
+    if (keyed := own_keys(docs.select(id_col, text_col), id_col, text_col)) is not None:
+        return with_ids(drop_repeats(keyed, KEY, text_col, length), keyed, id_col, KEY).withColumnRenamed(KEY, id_col)
     units = window_units(length)
     spans, texts = repeated_windows(docs, id_col, text_col, symbol_runs(length), units, WINDOW_BYTES, fingerprints, 1, same_doc=False)
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contrasieve.llm._keys import KEY, own_keys, with_ids
 from contrasieve.llm._repeats import repeated_windows, unpack, windows_of
 from contrasieve.llm._scan import NO_ID, Rolling, mix, sliding_min
 
@@ -74,11 +75,13 @@ def cover(n: int, starts: np.ndarray, length: int) -> np.ndarray:
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts earlier.
 
-    Earlier: in a document with a smaller id, or before in the same one. Overlaps count; strings are judged on
-    the input. Returns ``id_col``, n_bytes, n_removed, n_spans (longest removed stretches), kept (binary), and
-    kept_sha256. Null text is empty; a null id comes first of all and returns as null. Ids are keys: rows that
-    share one get one row each, and a stretch found in any of them is removed from all. Other columns are ignored.
+    Earlier: in a document with a smaller id or one of the same id that stands before, or before in the same one.
+    Overlaps count; strings are judged on the input. Returns ``id_col``, n_bytes, n_removed, n_spans (longest removed stretches), kept (binary), and
+    kept_sha256. Null text is empty; null ids come first of all and return as null. Rows that share
+    an id are documents of their own, in an order that is fixed once (see ``own_keys``). Other columns are ignored.
     """
+    if (keyed := own_keys(docs.select(id_col, text_col), id_col, text_col)) is not None:
+        return with_ids(drop_repeats(keyed, KEY, text_col, length), keyed, id_col, KEY).withColumnRenamed(KEY, id_col)
     spans, texts = repeated_windows(docs, id_col, text_col, suffix_runs(length), units, 1, window_hashes(length), length, same_doc=True)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

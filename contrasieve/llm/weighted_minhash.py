@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contrasieve.llm._keys import KEY, own_keys, with_ids
 from contrasieve.llm._repeats import packed_texts, unpack
 from contrasieve.llm._scan import NO_ID, Rolling, longs, mix, raw, slices, word_hashes, words
 from contrasieve.operators.graph import connected_components
@@ -274,9 +275,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents are linked if their weighted Jaccard similarity is at least ``least``; classes are what links connect.
     Null text is empty; texts without words are linked to equal texts only, shorter ones than five words to texts of
-    the same words. A null id comes first of all and returns as null. Rows that share an id are one vertex.
+    the same words. Null ids come first of all and return as null. Rows that share an id are vertices of their own.
     An empty table gives no rows. Other columns are ignored.
     """
+    if (keyed := own_keys(docs.select(id_col, text_col), id_col, text_col)) is not None:
+        found = near_copies(keyed, KEY, text_col, least)
+        return with_ids(found, keyed, id_col, KEY, "same_text", "class_id").withColumnRenamed(KEY, id_col)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sketch, n = document_frequencies(docs, text_col)

@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over the documents table, each written as Parquet and read again by the next.
 
-``doc_id`` is the key of documents. Decisions are joined back by it, so all stages but the last return the columns
-of documents; a null key is a key like any other, and rows that repeat one share its fate.
+Decisions are joined back by ``doc_id``, so all stages but the last return the columns of documents. Where ids are
+null or repeated, each row has a key of its own instead, and its fate depends on its own text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrasieve.llm import decontaminate, packing, quality_mcd, recompression, weighted_minhash
+from contrasieve.llm._keys import KEY, own_keys
 from contrasieve.llm._tokens import tokenizer_path
 from contrasieve.session import shared_folder
 
@@ -20,27 +21,36 @@ from contrasieve.session import shared_folder
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def _only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the column that tells their rows apart: doc_id if it does, else a key in a written table."""
+    keyed = own_keys(docs, "doc_id", "text")
+    return (docs, "doc_id") if keyed is None else (keyed, KEY)
+
+
+def _only(docs: DataFrame, keys: DataFrame, key: str, how: str, columns: list[str]) -> DataFrame:
     """Rows of ``docs`` with (left_semi) or without (left_anti) a row of ``keys``."""
-    keys = keys.select(F.col("doc_id").alias("__key")).distinct()
-    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__key")), how)
+    keys = keys.select(F.col(key).alias("__of")).distinct()
+    return docs.join(keys, F.col(key).eqNullSafe(F.col("__of")), how).select(columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _only(docs, quality_mcd.judge(docs).where("kept"), "left_semi")
+    rows, key = _keyed(docs)
+    return _only(rows, quality_mcd.judge(rows, key).where("kept"), key, "left_semi", docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near copies."""
-    classes = weighted_minhash.near_copies(docs)
-    return _only(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))), "left_semi")
+    rows, key = _keyed(docs)
+    classes = weighted_minhash.near_copies(rows, key)
+    return _only(rows, classes.where(F.col(key).eqNullSafe(F.col("class_id"))), key, "left_semi", docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that documents before them have; n_chars follows the text."""
-    kept = recompression.drop_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("__key"), F.col("kept").alias("__kept")).dropDuplicates(["__key"])
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__key")), "left")
+    rows, key = _keyed(docs)
+    kept = recompression.drop_repeats(rows, key).where("n_removed > 0").select(F.col(key).alias("__of"), F.col("kept").alias("__kept"))
+    joined = rows.join(kept, F.col(key).eqNullSafe(F.col("__of")), "left")
     cut = F.col("__kept").isNotNull()
     new = {
         "text": F.coalesce("__kept", "text"),
@@ -51,8 +61,9 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, found, "left_anti")
+    rows, key = _keyed(docs)
+    found = decontaminate.find(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key)
+    return _only(rows, found, key, "left_anti", docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from contrasieve.llm import _tokens, chat, decontaminate, packing, quality_mcd, recompression, sharding, suffix_dedup, token_coder, warc, weighted_minhash
 from contrasieve.llm._scan import raw
 from contrasieve.llm._stats import COUNTS, with_counts
@@ -93,6 +94,52 @@ def test_recompression_removes_what_smaller_documents_have(docs):
     assert got[13]["kept"] == dict(TEXTS)[13]
 
 
+# null and repeated ids; what row 2 repeats stands at places where rows 3 and 4 repeat nothing
+SHARED = [
+    (None, prose(100, 70)), (None, prose(30, 71) + prose(100, 70)), (None, prose(200, 72)),
+    (3, prose(40, 73) + prose(90, 70)), (3, prose(200, 74)), (3, prose(200, 75)), (4, prose(200, 75)), (4, None), (4, prose(200, 75)),
+]
+
+
+@pytest.fixture(scope="module")
+def shared(spark):
+    rows = [(d, t, "en", "s", len(t or "")) for d, t in SHARED]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+
+
+def in_rows():
+    """Rows of SHARED as they stand for ``own_keys``: by id, and then by each order of equal ids."""
+    groups = [[(d, t) for d, t in SHARED if d == k] for k in (None, 3, 4)]
+    for order in itertools.product(*(itertools.permutations(g) for g in groups)):
+        yield list(enumerate(itertools.chain(*order)))
+
+
+def test_rows_that_share_an_id_keep_their_own_text(shared):
+    for module, width, brute in ((recompression, 50, removed_words), (suffix_dedup, 100, removed_bytes)):
+        got = sorted((-1 if r[0] is None else r[0], r["n_removed"], r["kept_sha256"]) for r in module.drop_repeats(shared).collect())
+        told = []
+        for rows in in_rows():
+            want = brute([(k, t) for k, (_, t) in rows], width)
+            told.append(sorted((-1 if d is None else d, want[k][-3 if brute is removed_bytes else -2], want[k][-1]) for k, (d, _) in rows))
+        assert got in told
+
+
+def test_near_copies_tell_rows_of_one_id_apart(shared):
+    got = Counter((r["doc_id"], r["same_text"], r["class_id"]) for r in weighted_minhash.near_copies(shared).collect())
+    copies = {t for _, t in SHARED if t == prose(200, 75)}
+    assert len(copies) == 1 and sum(got.values()) == len(SHARED)
+    assert got[4, 3, 3] == 2 and got[4, 4, 4] == 1 and got[3, 3, 3] == 3
+
+
+def test_pipeline_stages_judge_each_row_by_its_own_text(spark, shared):
+    cut = corpus_pipeline.substrings(spark, shared, "").collect()
+    assert len(cut) == len(SHARED) and all(r["n_chars"] == len(r["text"] or "") for r in cut)
+    texts = Counter(r["text"] for r in cut)
+    assert texts[prose(200, 72)] == 1 and texts[prose(200, 74)] == 1 and texts[prose(200, 75)] == 1
+    only = corpus_pipeline.near_copies(spark, shared, "").collect()
+    assert Counter(r["text"] for r in only) >= Counter({prose(200, 72): 1, prose(200, 74): 1, prose(200, 75): 1})
+
+
 def test_symbols_do_not_depend_on_what_surrounds_them():
     r = np.random.default_rng(1)
     core = r.integers(0, 6, 300).astype(np.uint64)
