@@ -91,12 +91,12 @@ class Rolling:
         return (self.sums[k:] - self.sums[:n]) * self.down[:n]
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = _SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of each word, and the number of words before each text (n + 1 places).
 
-    A word is a longest run of bytes other than 0x20 and 0x09 to 0x0D; words never cross texts.
+    A word is a longest run of bytes other than 0x20 and 0x09 to 0x0D, or those marked in ``between``; words never cross texts.
     """
-    solid = ~_SPACES[data]
+    solid = ~between[data]
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
     after = np.zeros(len(data) + 1, bool)
