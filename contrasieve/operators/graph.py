@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrasieve.operators.sampling import sample_rows
-from contrasieve.session import cut_lineage
+from contrasieve.session import cut_lineage, discard
 
 
 def bipartite_edges(pairs: DataFrame, agency: str, supplier: str, weight: str) -> DataFrame:
@@ -37,25 +37,29 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def page_rank(edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance: float = 1e-6, cut_every: int = 5) -> DataFrame:
-    """(vertex, rank) of the undirected weighted graph; stops early once ranks settle."""
+def page_rank(edges: DataFrame, alpha: float = 0.85, rounds: int = 1000, tolerance: float = 1e-6, cut_every: int = 5) -> DataFrame:
+    """(vertex, rank) of the undirected weighted graph, once ranks settle; an error if they do not."""
     both = both_ways(edges)
     total = both.groupBy("src").agg(F.sum("weight").alias("_s"))
     links = cut_lineage(both.join(total, "src").select("src", "dst", (F.col("weight") / F.col("_s")).alias("share")))
     vertices = total.select(F.col("src").alias("vertex"))
     n = vertices.count()
-    ranks = cut_lineage(vertices.withColumn("rank", F.lit(1.0 / n)))
+    ranks = last = cut_lineage(vertices.withColumn("rank", F.lit(1.0 / max(n, 1))))
+    if not n:
+        return ranks
     for i in range(rounds):
         flow = links.join(ranks, links["src"] == ranks["vertex"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("_in"))
         ranks = flow.select(F.col("dst").alias("vertex"), ((1 - alpha) / n + alpha * F.col("_in")).alias("rank"))
-        if (i + 1) % cut_every == 0 and i + 1 < rounds:
+        if (i + 1) % cut_every == 0:
             fresh = cut_lineage(ranks)
             if i >= cut_every:
                 moved = fresh.join(last.withColumnRenamed("rank", "_r"), "vertex").agg(F.sum(F.abs(F.col("rank") - F.col("_r")))).first()[0]
                 if moved < tolerance * n:
+                    discard(links, last)
                     return fresh
+            discard(last)
             last = ranks = fresh
-    return ranks
+    raise RuntimeError(f"ranks have not settled after {rounds} rounds")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -96,14 +100,16 @@ def label_propagation(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """
     both = cut_lineage(both_ways(edges))
     state = cut_lineage(both.select(F.col("src").alias("vertex")).distinct().withColumn("community", F.col("vertex")))
+    fresh = None
     for i in range(max_rounds):
         votes = both.join(state, both["dst"] == state["vertex"]).groupBy("src", "community").agg(F.sum("weight").alias("w"))
         own = state.select(F.col("vertex").alias("src"), F.col("community").alias("own"))
         order = F.struct((-F.round("w", 9)).alias("w"), (F.col("community") != F.col("own")).alias("other"), "community")
         best = votes.join(own, "src").groupBy("src", "own").agg(F.min(order)["community"].alias("to"))
-        fresh = cut_lineage(best.select(F.col("src").alias("vertex"), "own", "to"))
+        last, fresh = fresh, cut_lineage(best.select(F.col("src").alias("vertex"), "own", "to"))
+        discard(last)
         if fresh.filter("own <> to").isEmpty():
-            return state
+            return fresh.select("vertex", F.col("own").alias("community"))
         active = F.pmod(F.xxhash64("vertex", F.lit(i)), F.lit(2)) == 0
         state = fresh.select("vertex", F.when(active, F.col("to")).otherwise(F.col("own")).alias("community"))
     raise RuntimeError(f"labels have not settled after {max_rounds} rounds")
@@ -123,50 +129,102 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return per.agg(F.sum(F.col("_in") / m - (F.col("_tot") / m) * (F.col("_tot") / m)).alias("modularity"))
 
 
-def modularity_communities(edges: DataFrame, max_rounds: int = 300) -> DataFrame:
-    """(vertex, community): parallel local moves that raise modularity, then contraction.
+def _moves(graph: DataFrame, state: DataFrame, m2: float, least: float) -> DataFrame:
+    """(vertex, k, community, inside, to, gain): where each vertex would raise modularity most, and by how much.
+
+    ``inside`` is the weight that ties it to its own community, loops included; ``to`` is its own
+    community unless a move gains more than ``least``.
+    """
+    totals = state.groupBy("community").agg(F.sum("k").alias("tot"))
+    near = graph.join(state.select(F.col("vertex").alias("dst"), "community"), "dst")
+    loop = F.col("src") == F.col("dst")
+    pull = near.groupBy("src", "community").agg(
+        F.sum(F.when(loop, 0.0).otherwise(F.col("weight"))).alias("w"), F.sum(F.when(loop, F.col("weight")).otherwise(0.0)).alias("l")
+    )
+    own = state.select(F.col("vertex").alias("src"), F.col("community").alias("own"), "k")
+    stay = state.select(F.col("vertex").alias("src"), "community", F.lit(0.0).alias("w"), F.lit(0.0).alias("l"))
+    options = pull.unionByName(stay).groupBy("src", "community").agg(F.sum("w").alias("w"), F.sum("l").alias("l"))
+    scored = options.join(own, "src").join(totals, "community")
+    here = F.col("community") == F.col("own")
+    pulled = F.col("w") - F.col("k") * (F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)) / m2
+    best = scored.withColumn("pulled", 2 * pulled / m2).groupBy("src", "own", "k").agg(
+        F.max(F.when(here, F.col("pulled"))).alias("now"),
+        F.max(F.when(here, F.col("w") + F.col("l"))).alias("inside"),
+        F.min(F.struct((-F.round("pulled", 12)).alias("p"), (~here).alias("other"), F.col("community").alias("c"))).alias("b"),
+    )
+    gain = -F.col("b.p") - F.col("now")
+    to = F.when(gain > least, F.col("b.c")).otherwise(F.col("own"))
+    return best.select(F.col("src").alias("vertex"), "k", F.col("own").alias("community"), "inside", to.alias("to"), gain.alias("gain"))
+
+
+def _apart(movers: DataFrame, *salt: int) -> DataFrame:
+    """Movers of which no two touch the same community: each has the highest hash at both of its ends."""
+    ranked = movers.withColumn("p", F.struct(F.xxhash64("vertex", *[F.lit(s) for s in salt]).alias("h"), "vertex"))
+    ends = ranked.select("p", F.explode(F.array("community", "to")).alias("c")).groupBy("c").agg(F.max("p").alias("top"))
+    first = ranked.join(ends.withColumnsRenamed({"c": "community", "top": "top_a"}), "community").join(
+        ends.withColumnsRenamed({"c": "to", "top": "top_b"}), "to"
+    )
+    return first.filter("p = top_a AND p = top_b").select("vertex", F.lit(True).alias("moves"))
+
 
-    In each round some of the vertices (another half by hash, a quarter after 12 rounds) move to the
-    neighbouring community with the largest gain, until none gains by a move; then communities become
-    vertices of a smaller graph. Levels end with the first one in which nothing moves.
+def modularity_communities(
+    edges: DataFrame, max_rounds: int = 2000, least: float = 1e-7, trace: list[tuple[int, float]] | None = None
+) -> DataFrame:
+    """(vertex, community): moves that raise modularity, then contraction, until nothing moves.
+
+    In a round a hashed share of the vertices that gain more than ``least`` move together. If that does
+    not raise modularity, the round is undone and the share made smaller; the smallest step are moves that touch
+    no community twice, whose gains add up, so it cannot fail. Modularity rises in every round that is
+    kept, hence rounds end. When no vertex gains, communities become the vertices of a smaller graph.
+    ``trace`` collects (level, modularity) of the rounds kept.
     """
-    graph = cut_lineage(both_ways(edges))
-    mapping = graph.select(F.col("src").alias("vertex")).distinct().withColumn("community", F.col("vertex"))
-    mapping = cut_lineage(mapping)
+    graph = cut_lineage(both_ways(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    mapping = cut_lineage(graph.select(F.col("src").alias("vertex")).distinct().withColumn("community", F.col("vertex")))
     m2 = graph.agg(F.sum("weight")).first()[0]
     for level in itertools.count():
-        strength = cut_lineage(graph.groupBy(F.col("src").alias("vertex")).agg(F.sum("weight").alias("k")))
-        state = strength.withColumn("community", F.col("vertex"))
+        strength = graph.groupBy(F.col("src").alias("vertex")).agg(F.sum("weight").alias("k"))
+        state = cut_lineage(strength.withColumn("community", F.col("vertex")))
+        kept, best, share, moved = None, -2.0, 0.5, False
         for i in range(max_rounds):
-            totals = state.groupBy("community").agg(F.sum("k").alias("tot"))
-            near = graph.filter("src <> dst").join(state.select(F.col("vertex").alias("dst"), "community"), "dst")
-            pull = near.groupBy("src", "community").agg(F.sum("weight").alias("w"))
-            own = state.select(F.col("vertex").alias("src"), F.col("community").alias("own"), "k")
-            stay = state.select(F.col("vertex").alias("src"), "community", F.lit(0.0).alias("w"))
-            options = pull.unionByName(stay).groupBy("src", "community").agg(F.sum("w").alias("w"))
-            scored = options.join(own, "src").join(totals, "community")
-            others = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("w") - F.col("k") * others / m2, 9)
-            best = scored.withColumn("gain", gain).groupBy("src").agg(
-                F.min(F.struct((-F.col("gain")).alias("g"), (F.col("community") != F.col("own")).alias("s"), "community"))["community"].alias("to")
-            )
-            fresh = cut_lineage(state.join(best, state["vertex"] == best["src"]).select("vertex", "k", "community", "to"))
-            if fresh.filter("to <> community").isEmpty():
-                break
-            active = F.pmod(F.xxhash64("vertex", F.lit(level), F.lit(i)), F.lit(2 if i < 12 else 4)) == 0
-            state = fresh.select("vertex", "k", F.when(active, F.col("to")).otherwise(F.col("community")).alias("community"))
+            found = cut_lineage(_moves(graph, state, m2, least))
+            per = found.groupBy("community").agg(F.sum("inside").alias("i"), F.sum("k").alias("t"), F.count_if(F.col("to") != F.col("community")).alias("n"))
+            value, movers = per.agg(F.sum(F.col("i") / m2 - (F.col("t") / m2) * (F.col("t") / m2)), F.sum("n")).first()
+            if kept is None or value > best:
+                if kept is not None:
+                    moved, share = True, min(0.5, 2 * share)
+                    discard(kept)
+                kept, best, left = found, value, movers
+                if trace is not None:
+                    trace.append((level, value))
+                if not left:
+                    break
+            else:
+                discard(found)
+                share = share / 4 if share > 1 / 64 else 0.0
+            wish = kept.filter("to <> community")
+            if share:
+                chosen = wish.filter(F.pmod(F.xxhash64("vertex", F.lit(level), F.lit(i)), F.lit(1 << 20)) < int(share * (1 << 20)))
+                chosen = chosen.select("vertex", F.lit(True).alias("moves"))
+            else:
+                chosen, share = _apart(wish, level, i), 1 / 128
+            target = F.when(F.col("moves"), F.col("to")).otherwise(F.col("community"))
+            old, state = state, cut_lineage(kept.join(chosen, "vertex", "left").select("vertex", "k", target.alias("community")))
+            discard(old)
         else:
             raise RuntimeError(f"communities have not settled after {max_rounds} rounds")
-        if i == 0:
+        if not moved:
+            discard(graph, state, kept)
             return mapping
-        step =state.select(F.col("vertex").alias("community"), F.col("community").alias("_up"))
-        mapping = cut_lineage(mapping.join(step, "community").select("vertex", F.col("_up").alias("community")))
-        up = state.select("vertex", "community")
-        graph = cut_lineage(
+        up = kept.select("vertex", "community")
+        step = up.select(F.col("vertex").alias("community"), F.col("community").alias("_up"))
+        old, mapping = mapping, cut_lineage(mapping.join(step, "community").select("vertex", F.col("_up").alias("community")))
+        smaller = cut_lineage(
             graph.join(up.withColumnsRenamed({"vertex": "src", "community": "a"}), "src")
             .join(up.withColumnsRenamed({"vertex": "dst", "community": "b"}), "dst")
             .groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))
         )
+        discard(old, graph, state, kept)
+        graph = smaller
 
 
 def betweenness(edges: DataFrame, sources: int = 200, seed: int = 42) -> DataFrame:
@@ -218,25 +276,37 @@ def community_summary(vertices: DataFrame, community: str, side: str, hint: str,
     )
 
 
-def spread_labels(edges: DataFrame, labels: DataFrame, rounds: int, cut_every: int = 5) -> DataFrame:
-    """Semi-supervised propagation: (vertex, label, share).
+def spread_labels(edges: DataFrame, labels: DataFrame, tolerance: float = 1e-6, max_rounds: int = 1000, check_every: int = 5) -> DataFrame:
+    """Semi-supervised propagation to its fixed point: (vertex, label, share).
 
-    ``labels`` (vertex, label) are clamped; the others take the weighted mean of their
-    neighbours' label shares in every round.
+    ``labels`` (vertex, label) are clamped; the others take the weighted mean of their neighbours'
+    label shares. Rounds end with the first multiple of ``check_every`` whose shares differ by less than
+    ``tolerance`` from those of the round before; then every vertex that a label can reach has rows.
+    An error is raised if that takes more than ``max_rounds``.
     """
     both = cut_lineage(both_ways(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight")))
     fixed = labels.select("vertex", "label", F.lit(1.0).alias("share"))
     free = both.select(F.col("src").alias("vertex")).distinct().join(labels.select("vertex"), "vertex", "left_anti")
     inner = cut_lineage(both.join(free, both["src"] == free["vertex"]).select("src", "dst", "weight"))
-    state = fixed
-    for i in range(rounds):
+    state, old = fixed, None
+    for i in range(1, max_rounds + 1):
         mass = inner.join(state, inner["dst"] == state["vertex"]).groupBy(F.col("src").alias("vertex"), "label").agg(F.sum(F.col("weight") * F.col("share")).alias("m"))
         total = mass.groupBy("vertex").agg(F.sum("m").alias("t")).filter("t > 0")
         moved = mass.join(total, "vertex").select("vertex", "label", (F.col("m") / F.col("t")).alias("share"))
+        if i % check_every == check_every - 1:
+            moved = before = cut_lineage(moved)
+        elif i % check_every == 0:
+            moved = cut_lineage(moved)
+            gap = moved.join(before.withColumnRenamed("share", "_s"), ["vertex", "label"], "full").agg(
+                F.max(F.abs(F.coalesce("share", F.lit(0.0)) - F.coalesce("_s", F.lit(0.0))))
+            ).first()[0]
+            discard(before, old)
+            if (gap or 0.0) < tolerance:
+                discard(both, inner)
+                return fixed.unionByName(moved)
+            old = moved
         state = fixed.unionByName(moved)
-        if (i + 1) % cut_every == 0 and i + 1 < rounds:
-            state = cut_lineage(state)
-    return state
+    raise RuntimeError(f"shares have not settled after {max_rounds} rounds")
 
 
 def spread_report(spread: DataFrame, truth: DataFrame, min_share: float = 0.8) -> DataFrame:

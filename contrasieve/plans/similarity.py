@@ -152,15 +152,17 @@ def k13(spark, d):
     return out.withColumn("mean_score", r(F.col("mean_score"))).withColumn("max_score", r(F.col("max_score")))
 
 
-def _spread_sql(rounds=3):
-    steps = [f"""WITH {KNN(7)}, g AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, sim AS w FROM knn UNION ALL SELECT dst, src, sim FROM knn) GROUP BY 1, 2),
-      lab AS (SELECT vec_id AS v, label FROM embeddings WHERE {SCORE('vec_id', 'h')} >= 0.3), s0 AS (SELECT v, label, 1.0::DOUBLE AS share FROM lab)"""]
-    for i in range(1, rounds + 1):
-        steps.append(
-            f"""m{i} AS (SELECT g.src AS v, p.label, sum(g.w * p.share) AS m FROM g JOIN s{i-1} p ON g.dst = p.v WHERE g.src NOT IN (SELECT v FROM lab) GROUP BY 1, 2),
-            s{i} AS (SELECT v, label, 1.0::DOUBLE AS share FROM lab UNION ALL SELECT v, label, m / sum(m) OVER (PARTITION BY v) FROM m{i})"""
-        )
-    return ", ".join(steps) + f" SELECT v AS vec_id, label, {R('share')} AS share FROM s{rounds} WHERE v NOT IN (SELECT v FROM lab)"
+#: Shares after each round; the answer is the first multiple of 5 rounds whose shares moved by less than the tolerance.
+SPREAD_SQL = f"""WITH RECURSIVE {KNN(7)}, g AS MATERIALIZED (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, sim AS w FROM knn UNION ALL SELECT dst, src, sim FROM knn) GROUP BY 1, 2),
+  lab AS MATERIALIZED (SELECT vec_id AS v, label FROM embeddings WHERE {SCORE('vec_id', 'h')} >= 0.3),
+  inner_g AS MATERIALIZED (SELECT * FROM g WHERE src NOT IN (SELECT v FROM lab)),
+  p AS (SELECT v, label, 1.0::DOUBLE AS share, 0 AS i FROM lab
+    UNION ALL SELECT v, label, share, i FROM (
+      SELECT src AS v, label, m / sum(m) OVER (PARTITION BY src) AS share, i FROM (SELECT src, p.label, sum(w * share) AS m, max(i) + 1 AS i FROM inner_g JOIN p ON dst = v WHERE i < 200 GROUP BY 1, 2)
+      UNION ALL SELECT lab.v, lab.label, 1.0::DOUBLE, n.i FROM lab, (SELECT max(i) + 1 AS i FROM p WHERE i < 200) n WHERE n.i IS NOT NULL)),
+  c AS (SELECT coalesce(a.i, b.i + 1) AS i, max(abs(coalesce(a.share, 0) - coalesce(b.share, 0))) AS gap
+    FROM (SELECT * FROM p WHERE i % 5 = 0 AND i > 0) a FULL JOIN (SELECT * FROM p WHERE i % 5 = 4) b ON a.v = b.v AND a.label = b.label AND a.i = b.i + 1 GROUP BY 1),
+  k AS (SELECT min(i) AS k FROM c WHERE gap < 1e-6), spread AS (SELECT v, label, share FROM p, k WHERE i = k AND v NOT IN (SELECT v FROM lab))"""
 
 
 def known_labels(spark, d):
@@ -168,25 +170,25 @@ def known_labels(spark, d):
     return e.select(F.col("vec_id").alias("vertex"), "label")
 
 
-@query("k14_label_spread", _spread_sql())
+@query("k14_label_spread", f"{SPREAD_SQL} SELECT v AS vec_id, label, {R('share')} AS share FROM spread")
 def k14(spark, d):
     known = known_labels(spark, d)
     edges = knn(spark, d, 7).select("src", "dst", F.col("sim").alias("weight"))
-    out = graph.spread_labels(edges, known, 3).join(known.select("vertex"), "vertex", "left_anti")
+    out = graph.spread_labels(edges, known).join(known.select("vertex"), "vertex", "left_anti")
     return out.select(F.col("vertex").alias("vec_id"), "label", r(F.col("share")).alias("share"))
 
 
 @query(
     "k14_spread_report",
-    _spread_sql().split(" SELECT v AS vec_id, label,")[0]
-    + f""", best AS (SELECT v, label, share FROM s3 WHERE v NOT IN (SELECT v FROM lab) QUALIFY row_number() OVER (PARTITION BY v ORDER BY round(share, 9) DESC, label) = 1)
+    SPREAD_SQL
+    + f""", best AS (SELECT v, label, share FROM spread QUALIFY row_number() OVER (PARTITION BY v ORDER BY round(share, 9) DESC, label) = 1)
     SELECT count(*) AS n_reached, {R('avg((b.label = e.label)::INT)')} AS accuracy, count(*) FILTER (WHERE b.label <> e.label AND round(share, 9) > 0.8) AS n_suspects FROM best b JOIN embeddings e ON vec_id = v""",
 )
 def k14r(spark, d):
     known = known_labels(spark, d)
     edges = knn(spark, d, 7).select("src", "dst", F.col("sim").alias("weight"))
     hidden = table(spark, d, "embeddings").select(F.col("vec_id").alias("vertex"), "label").join(known.select("vertex"), "vertex", "left_anti")
-    out = graph.spread_report(graph.spread_labels(edges, known, 3), hidden)
+    out = graph.spread_report(graph.spread_labels(edges, known), hidden)
     return out.withColumn("accuracy", r(F.col("accuracy")))
 
 

@@ -55,4 +55,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_cut_at"] = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the tables that :func:`cut_lineage` wrote for these frames, once nothing reads them any more."""
+    for df in frames:
+        path = None if df is None else df.__dict__.pop("_cut_at", None)
+        if path:
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
