@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contrasieve.session import cut_lineage
+
 
 def purity(df: DataFrame, cluster: str, positive: Column, min_share: float = 0.6, min_rows: int = 5) -> DataFrame:
     """Rows, positives and percent per cluster; suspicious = mostly positive with some general rows."""
@@ -43,16 +49,81 @@ def kmeans_sweep(df: DataFrame, features: str, ks, seed: int = 42) -> DataFrame:
     return out.withColumn("best", F.col("silhouette") == out.agg(F.max("silhouette")).scalar())
 
 
-def gaussian_mixture(df: DataFrame, key: str, features: str, k: int = 3, dims: int = 8, seed: int = 42) -> DataFrame:
+def diagonal_mixture(
+    df: DataFrame, key: str, vector: str, means: np.ndarray, rounds: int = 200, tolerance: float = 1e-3, floor: float = 1e-6, trace: list[float] | None = None
+) -> DataFrame:
+    """(key, cluster, confidence, entropy) of a mixture of normal distributions with diagonal covariance.
+
+    ``means`` (a row per component) is the start: rows count for the nearest one at first. Each round sums
+    responsibilities, values and squares per component in the tasks; the driver holds the k x dims sums. Rounds end when the
+    mean log-likelihood rises by less than ``tolerance``; ``trace`` collects it.
+    """
+    data = cut_lineage(df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")))
+    k, dims = means.shape
+
+    def weigh(x: np.ndarray, model: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+        if model is None:
+            near = ((x[:, None, :] - means[None]) ** 2).sum(axis=2).argmin(axis=1)
+            return np.eye(k)[near], np.zeros(len(x))
+        share, mean, var = model
+        with np.errstate(divide="ignore"):
+            logs = np.log(share) - 0.5 * (np.log(2 * np.pi * var).sum(axis=1) + (x**2) @ (1 / var).T - 2 * x @ (mean / var).T + (mean**2 / var).sum(axis=1))
+        most = logs.max(axis=1, keepdims=True)
+        like = most[:, 0] + np.log(np.exp(logs - most).sum(axis=1))
+        return np.exp(logs - like[:, None]), like
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
+
+    def sums(model: tuple | None) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(2 + k + 2 * k * dims)
+            for batch in batches:
+                x = matrix(batch)
+                r, like = weigh(x, model)
+                out += np.concatenate([[len(x), like.sum()], r.sum(axis=0), (r.T @ x).ravel(), (r.T @ x**2).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["slot", "part"])
+
+        rows = data.mapInArrow(run, "slot bigint, part double").groupBy("slot").agg(F.sum("part").alias("part")).collect()
+        out = np.zeros(2 + k + 2 * k * dims)
+        out[[r["slot"] for r in rows]] = [r["part"] for r in rows]
+        return out
+
+    model, last = None, None
+    for _ in range(rounds + 1):
+        flat = sums(model)
+        n, like = flat[0], flat[1] / max(flat[0], 1)
+        if model is not None:
+            if trace is not None:
+                trace.append(like)
+            if last is not None and like - last < tolerance:
+                break
+            last = like
+        weight = flat[2 : 2 + k] + 10 * np.finfo(float).eps
+        mean = flat[2 + k : 2 + k + k * dims].reshape(k, dims) / weight[:, None]
+        var = np.maximum(flat[2 + k + k * dims :].reshape(k, dims) / weight[:, None] - mean**2, 0) + floor
+        model = (weight / max(n, 1), mean, var)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r, _ = weigh(matrix(batch), model)
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, r.size + 1, k), pa.int32()), pa.array(r.ravel()))
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(r.argmax(axis=1).astype(np.int32)), cells], ["key", "cluster", "m"])
+
+    kind = dict(data.dtypes)["key"]
+    out = data.mapInArrow(label, f"key {kind}, cluster int, m array<double>")
+    return out.select(F.col("key").alias(key), "cluster", F.array_max("m").alias("confidence"), membership_entropy(F.col("m")).alias("entropy"))
+
+
+def gaussian_mixture(df: DataFrame, key: str, features: str, k: int = 3, dims: int = 50, rounds: int = 200, seed: int = 42) -> DataFrame:
     """Soft clusters after a principal-component reduction: (key, cluster, confidence, entropy)."""
-    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
 
-    reduced = PCA(k=dims, inputCol=features, outputCol="_p").fit(df).transform(df)
-    model = GaussianMixture(k=k, featuresCol="_p", predictionCol="cluster", probabilityCol="_m", seed=seed, maxIter=30).fit(reduced)
-    out = model.transform(reduced).withColumn("_a", vector_to_array("_m"))
-    return out.select(key, "cluster", F.array_max("_a").alias("confidence"), membership_entropy(F.col("_a")).alias("entropy"))
+    reduced = cut_lineage(PCA(k=dims, inputCol=features, outputCol="_p").fit(df).transform(df).select(key, "_p"))
+    start = np.array(KMeans(k=k, featuresCol="_p", seed=seed).fit(reduced).clusterCenters())
+    return diagonal_mixture(reduced.select(key, vector_to_array("_p").alias("_a")), key, "_a", start, rounds)
 
 
 def reduce_dimensions(df: DataFrame, key: str, features: str, k: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contrasieve.functions import clean as cl
 from contrasieve.sources.tables import keep_first
+from contrasieve.session import cut_lineage
 
 
 def attach_signals(base: DataFrame, key: str, signals: Sequence[tuple[DataFrame | None, Mapping[str, Column]]]) -> DataFrame:
@@ -120,30 +122,37 @@ def resolve_purchase(df: DataFrame, key: str, own: str, details: DataFrame) -> D
     return looked_up.withColumn("resolved", purchase).drop("detail_purchase")
 
 
-def co_occurrence(edges: DataFrame, member: str, group: str, min_shared: int = 2) -> DataFrame:
-    """Pairs of members that share at least two groups, with the number they share.
+def co_occurrence(edges: DataFrame, member: str, group: str, min_shared: int = 2, block: int = 4096) -> DataFrame:
+    """Pairs of members that share at least ``min_shared`` groups, with the number they share.
 
-    Groups are ordered from rare to common and every member drops its most common one when
-    candidates are made: two members that share two groups still meet in a rarer one. The hub
-    a third of the table belongs to is therefore never expanded. The dropped groups are added
-    back to the counts by equi-joins.
+    Groups are ordered from rare to common. A member's ``min_shared - 1`` most common groups are left out when
+    candidates are made: two members that share ``min_shared`` groups still meet in a rarer one. What is left of a common
+    group is cut into blocks of about ``block`` members that meet two by two, so no join key holds more than
+    two blocks. The groups left out are added back to the counts by equi-joins on the candidates.
     """
-    if min_shared != 2:
-        raise ValueError("the candidate rule is exact for two shared groups")
-    e = edges.select(member, group).distinct()
+    e = cut_lineage(edges.select(member, group).distinct().dropna())
     size = e.groupBy(group).agg(F.count("*").alias("_size"))
-    ranked = e.join(size, group)
-    top = ranked.groupBy(member).agg(F.max(F.struct("_size", group))[group].alias("_last"))
-    sided = ranked.join(top, member).select(member, group, "_last")
-    prefix = sided.filter(F.col(group) != F.col("_last"))
-    a = prefix.select(F.col(member).alias("a"), group, F.col("_last").alias("last_a"))
-    b = prefix.select(F.col(member).alias("b"), group, F.col("_last").alias("last_b"))
-    shared = a.join(b, group).filter("a < b").groupBy("a", "b", "last_a", "last_b").agg(F.count("*").alias("n"))
-    in_b = prefix.select(F.col(member).alias("b"), F.col(group).alias("last_a"), F.lit(1).alias("_xb"))
-    in_a = prefix.select(F.col(member).alias("a"), F.col(group).alias("last_b"), F.lit(1).alias("_xa"))
-    full = shared.join(in_b, ["b", "last_a"], "left").join(in_a, ["a", "last_b"], "left")
-    extra = (
-        F.when(F.col("last_a") == F.col("last_b"), 1)
-        .otherwise(F.coalesce("_xb", F.lit(0)) + F.coalesce("_xa", F.lit(0)))
-    )
-    return full.select("a", "b", (F.col("n") + extra).alias("weight")).filter(F.col("weight") >= min_shared)
+    order = W.partitionBy(member).orderBy(F.desc("_size"), F.desc(group))
+    ranked = cut_lineage(e.join(size, group).withColumn("_at", F.row_number().over(order)))
+    late, prefix = ranked.filter(F.col("_at") < min_shared), ranked.filter(F.col("_at") >= min_shared)
+
+    blocks = prefix.groupBy(group).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_n"))
+    dealt = prefix.select(member, group).join(blocks, group).withColumn("_own", F.pmod(F.xxhash64(member), F.col("_n")).cast("int"))
+    last = F.col("_n") - 1
+    left = dealt.select(F.col(member).alias("x"), group, F.col("_own").alias("i"), F.explode(F.sequence("_own", last)).alias("j"))
+    right = dealt.select(F.col(member).alias("y"), group, F.explode(F.sequence(F.lit(0), "_own")).alias("i"), F.col("_own").alias("j"))
+    met = left.join(right, [group, "i", "j"]).filter((F.col("i") < F.col("j")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y")))
+    shared = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("weight"))
+    if min_shared > 1:
+        shared = cut_lineage(shared)
+        # of b's late groups those that a has at all, of a's late groups those that b has early
+        late_b = late.select(F.col(member).alias("b"), F.col(group).alias("_g"))
+        late_a = late.select(F.col(member).alias("a"), F.col(group).alias("_g"))
+        has_a = e.select(F.col(member).alias("a"), F.col(group).alias("_g"))
+        early_b = prefix.select(F.col(member).alias("b"), F.col(group).alias("_g"))
+        pairs = shared.select("a", "b")
+        more = pairs.join(late_b, "b").join(has_a, ["a", "_g"]).select("a", "b").unionByName(
+            pairs.join(late_a, "a").join(early_b, ["b", "_g"]).select("a", "b")
+        )
+        shared = shared.unionByName(more.withColumn("weight", F.lit(1))).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    return shared.filter(F.col("weight") >= min_shared)

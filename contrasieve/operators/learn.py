@@ -157,7 +157,8 @@ def predict(model, df: DataFrame, key: str) -> DataFrame:
 def fit_all(train: DataFrame, models: Mapping, parallelism: int = 3) -> dict:
     """Fit models side by side; each fit is a distributed job."""
     with ThreadPoolExecutor(parallelism) as pool:
-        jobs = {n: pool.submit(inheritable_thread_target(lambda e=e: e.fit(train))) for n, e in models.items()}
+        bound = inheritable_thread_target(train.sparkSession)
+        jobs = {n: pool.submit(bound(lambda e=e: e.fit(train))) for n, e in models.items()}
         return {n: job.result() for n, job in jobs.items()}
 
 
@@ -182,6 +183,18 @@ def model_metrics(predictions: DataFrame, keys: Sequence[str] = ("model",)) -> D
     return cells.withColumn("balanced_accuracy", balanced).join(areas, list(keys))
 
 
+def compare_representations(sides: Mapping[str, DataFrame], key: str, model, k: int) -> DataFrame:
+    """Metrics of one model on the same folds for each representation, and how they differ from those of the first."""
+    out = None
+    for name, df in sides.items():
+        scores = model_metrics(out_of_fold(with_class_weights(df, "y"), key, {name: model}, k)).withColumnRenamed("model", "representation")
+        out = scores if out is None else out.unionByName(scores)
+    out = cut_lineage(out.select("representation", "f1", "precision", "recall", "balanced_accuracy", "roc_auc"))
+    base = out.filter(F.col("representation") == next(iter(sides))).select(*[F.col(c).alias(f"_{c}") for c in out.columns[1:]])
+    gaps = [(F.col(c) - F.col(f"_{c}")).alias(f"delta_{c}") for c in out.columns[1:]]
+    return out.join(F.broadcast(base), F.lit(True)).select(*out.columns, *gaps)  # base is one row
+
+
 def dummy_predictions(df: DataFrame, key: str, strategy: str = "majority", seed: int = 42) -> DataFrame:
     """Baseline: the label share as probability, or a hashed draw from it."""
     share = df.agg(F.avg("y")).scalar()
@@ -215,9 +228,38 @@ def calibrate(train: DataFrame, df: DataFrame, score: str = "p", min_isotonic: i
     return df.withColumn("calibrated", 1 / (1 + F.exp(-(F.lit(slope) * F.col(score) + bias))))
 
 
+def calibrate_folds(predictions: DataFrame, weak: DataFrame | None = None, min_strong: int = 300) -> DataFrame:
+    """Adds ``calibrated`` to out-of-fold predictions (model, fold, y, p): each fold by the others of its model.
+
+    Below ``min_strong`` labelled rows the rows of ``weak`` (model, y, p), labelled by rules, are used as well.
+    """
+    out = None
+    for model, fold in sorted((r["model"], r["fold"]) for r in predictions.select("model", "fold").distinct().collect()):
+        own = predictions.filter(F.col("model") == model)
+        train = own.filter(F.col("fold") != fold).select("y", "p")
+        if weak is not None and train.count() < min_strong:
+            train = train.unionByName(weak.filter(F.col("model") == model).select("y", "p"))
+        part = calibrate(train, own.filter(F.col("fold") == fold))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def score_new(model, df: DataFrame, key: str, category: str, limit: float = 0.6) -> DataFrame:
+    """(key, p, already, suspect) of rows the model has not seen: likely, and not in a works or engineering category."""
+    rows = df if "y" in df.columns else df.withColumn("y", F.lit(0))
+    scored = predict(model, rows, key).drop("y").join(df.select(key, category), key)
+    already = F.coalesce(F.lower(category).rlike("obra|engenharia"), F.lit(False))
+    return scored.select(key, "p", already.alias("already"), ((F.col("p") >= limit) & ~already).alias("suspect"))
+
+
+def best_models(quality: DataFrame, top: int = 3) -> DataFrame:
+    """The ``top`` models by F1, ties by name."""
+    return quality.orderBy(F.desc("f1"), "model").limit(top).select("model")
+
+
 def mean_of_best(predictions: DataFrame, quality: DataFrame, key: str, top: int = 3, score: str = "p") -> DataFrame:
     """Mean probability of the ``top`` models by F1."""
-    best = quality.orderBy(F.desc("f1"), "model").limit(top).select("model")
+    best = best_models(quality, top)
     return predictions.join(F.broadcast(best), "model").groupBy(key).agg(F.avg(score).alias("p"), F.max("y").alias("y"), F.count("*").alias("n_models"))
 
 

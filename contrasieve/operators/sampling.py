@@ -75,12 +75,33 @@ def split_by_period(df: DataFrame, label: str, key: str, is_late: Column, min_ro
     return df.withColumn("is_test", is_late)
 
 
+def apportion(sizes: DataFrame, stratum: str, n: int) -> DataFrame:
+    """(stratum, quota): ``n`` seats shared in proportion to ``_size`` by largest remainder.
+
+    ``sizes`` has one row per stratum. Equal remainders go to the stratum that comes first.
+    """
+    total = sizes.agg(F.sum("_size")).scalar()
+    shared = sizes.withColumn("_t", total).select(
+        stratum, "_size", F.expr(f"cast({int(n)} as bigint) * _size div _t").alias("_whole"), F.expr(f"cast({int(n)} as bigint) * _size % _t").alias("_rest")
+    )
+    left = shared.agg(F.lit(int(n)) - F.sum("_whole")).scalar()
+    placed = shared.withColumn("_left", left).withColumn("_at", F.row_number().over(W.orderBy(F.desc("_rest"), stratum)))
+    quota = F.least("_size", F.col("_whole") + (F.col("_at") <= F.col("_left")).cast("long"))
+    return placed.select(stratum, quota.alias("quota"))
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """About ``n`` rows, every stratum in proportion to its size."""
-    total = df.agg(F.count("*")).scalar()
+    """``n`` rows (all, if there are fewer), every stratum in proportion to its size."""
+    quotas = apportion(df.groupBy(stratum).agg(F.count("*").alias("_size")), stratum, n)
     ranked = hash_rank(df, [stratum], key, seed)
-    quota = F.floor(F.lit(n) * F.col("_size") / total)
-    return ranked.filter(F.col("_rank") < quota).drop("_rank", "_size")
+    same = ranked[stratum].eqNullSafe(quotas[stratum])
+    return ranked.join(F.broadcast(quotas), same).filter(F.col("_rank") < F.col("quota")).drop(quotas[stratum]).drop("_rank", "_size", "quota")
+
+
+def even_sample(df: DataFrame, label: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """The same number of rows of every label, ``n`` in all if each label has enough."""
+    kinds = df.agg(F.countDistinct(label)).scalar()
+    return quota_sample(df, [label], key, F.floor(F.lit(n) / kinds), seed)
 
 
 def quota_sample(df: DataFrame, groups: Sequence[str], key: str, quota: Column, seed: int = 42) -> DataFrame:
@@ -94,6 +115,28 @@ def fold_ids(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) ->
     return ranked.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_size")
 
 
+def group_folds(df: DataFrame, label: str, group: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """Adds ``fold``; the rows of a group are all in one fold, and labels are spread evenly.
+
+    A group counts for its most frequent label (the first of several). The groups of a label are dealt from large
+    to small, forth and back over the folds, equal sizes in hash order. Places in that order are
+    counted in cells of one size and hash slice, so no task ranks all groups of a label.
+    """
+    per = df.groupBy(group, label).agg(F.count("*").alias("_n")).groupBy(group).agg(
+        F.sum("_n").alias("_size"), F.min(F.struct((-F.col("_n")).alias("n"), F.col(label).alias("l")))["l"].alias("_label")
+    )
+    hashed = per.withColumn("_h", hash_order(group, seed)).withColumn("_slice", F.substring("_h", 1, 3))
+    cell = ["_label", "_size", "_slice"]
+    before = W.partitionBy("_label").orderBy(F.desc("_size"), "_slice").rowsBetween(W.unboundedPreceding, -1)
+    shifts = hashed.groupBy(*cell).agg(F.count("*").alias("_c")).select(*cell, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*cell).orderBy("_h", group)).alias("_in")
+    ranked = hashed.select(group, *cell, "_h", inside)
+    place = ranked.join(shifts, [ranked[c].eqNullSafe(shifts[c]) for c in cell]).select(ranked[group], (F.col("_before") + F.col("_in") - 1).alias("_place"))
+    turn = F.col("_place") % (2 * k)
+    folds = place.select(F.col(group).alias("_group"), F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    return df.join(folds, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def train_scope(df: DataFrame, target: Column, key: str, n_rest: int, seed: int = 42) -> DataFrame:
     """All target rows (``detect`` true) plus a sample of the rest."""
     rest = sample_rows(df.filter(~target), key, n_rest, seed)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, StringIndexer
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrasieve.operators.sampling import top_per_group
-from contrasieve.session import cut_lineage
+from contrasieve.session import cut_lineage, discard
 
 
 def lda_topics(
@@ -35,20 +38,83 @@ def lda_topics(
     return named.join(sizes, "topic", "left").fillna(0, ["n_docs"])
 
 
-def nmf_topics(weights: DataFrame, key: str, k: int = 8, rounds: int = 10, top: int = 10, seed: int = 42) -> DataFrame:
-    """Top terms of each factor of a non-negative factorisation of the (document, term) weights.
+def _seeded(df: DataFrame, key: str, k: int, scale: float, seed: int) -> DataFrame:
+    """(key, f): start values between 0.5 and 1.5 times ``scale`` from a hash of the key."""
+    draws = [scale * (0.5 + F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(j)), F.lit(1 << 30)) / float(1 << 30)) for j in range(k)]
+    return df.select(key, F.array(*draws).alias("f"))
+
+
+def _gram(factors: DataFrame, k: int) -> list[list[float]]:
+    cells = [F.sum(F.get("f", F.lit(i)) * F.get("f", F.lit(j))).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
+    row = factors.agg(*cells).first()
+    return [[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
 
-    Absent pairs count as zeros with low confidence, which is close to but not the same as a
-    dense factorisation.
+
+def non_negative_factors(
+    weights: DataFrame, row: str, column: str, weight: str, k: int, rounds: int = 200, tolerance: float = 1e-3, seed: int = 42,
+    check_every: int = 10, trace: list[float] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(row, f) and (column, f) with non-negative f of length ``k`` whose products come close to the weights.
+
+    Multiplicative updates of the Frobenius loss; pairs that are absent are zeros. Only the weights
+    that are there are joined; the rest enters through k x k matrices of sums. The error is looked at every
+    ``check_every`` rounds, and they end when it has fallen by less than ``tolerance`` of the first one. Keys may have any
+    type. ``trace`` collects the error of each round.
     """
-    indexed = StringIndexer(inputCol="term", outputCol="_t").fit(weights).transform(weights)
-    rows = indexed.select(F.col(key).cast("int").alias("doc"), F.col("_t").cast("int").alias("item"), "term", "weight")
-    model = ALS(
-        rank=k, maxIter=rounds, regParam=0.05, nonnegative=True, implicitPrefs=True, alpha=10.0, seed=seed,
-        userCol="doc", itemCol="item", ratingCol="weight",
-    ).fit(rows)
-    names = rows.select(F.col("item").alias("id"), "term").distinct()
-    loads = model.itemFactors.join(names, "id").select("term", F.posexplode("features").alias("topic", "load"))
+    a = cut_lineage(weights.select(row, column, F.col(weight).cast("double").alias("x")).filter("x > 0"))
+    total = a.agg(F.sum(F.col("x") * F.col("x")).alias("q"), F.avg("x").alias("m")).first()
+    scale = ((total["m"] or 0.0) / k) ** 0.5
+    w = cut_lineage(_seeded(a.select(row).distinct(), row, k, scale, seed))
+    h = cut_lineage(_seeded(a.select(column).distinct(), column, k, scale, seed + 1))
+    if not total["q"]:
+        return w, h
+
+    def pulled(own: str, other: str, factors: DataFrame) -> DataFrame:
+        sums = [F.sum(F.col("x") * F.get("f", F.lit(j))).alias(f"n{j}") for j in range(k)]
+        return a.join(factors, other).groupBy(own).agg(*sums).select(own, F.array(*[f"n{j}" for j in range(k)]).alias("n"))
+
+    def updated(factors: DataFrame, sums: DataFrame, own: str, gram: list[list[float]]) -> DataFrame:
+        g = np.array(gram)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                f, n = (batch[c].flatten().to_numpy(zero_copy_only=False).reshape(-1, k) for c in ("f", "n"))
+                new = f * n / np.maximum(f @ g, 1e-12)
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(0, new.size + 1, k), pa.int32()), pa.array(new.ravel()))
+                yield pa.RecordBatch.from_arrays([batch[own], cells], [own, "f"])
+
+        both = factors.join(sums, own)
+        return both.mapInArrow(run, f"`{own}` {dict(both.dtypes)[own]}, f array<double>")
+
+    errors: list[float] = []
+    first = last = None
+    gram_h = _gram(h, k)
+    for i in range(1, rounds + 1):
+        old, w = w, cut_lineage(updated(w, pulled(row, column, h), row, gram_h))
+        discard(old)
+        gram_w, sums = _gram(w, k), pulled(column, row, w)
+        look = trace is not None or i % check_every == 0
+        if look:
+            sums = cut_lineage(sums)
+            met = h.join(sums, column).agg(F.sum(sum(F.get("f", F.lit(j)) * F.get("n", F.lit(j)) for j in range(k)))).first()[0]
+            square = total["q"] - 2 * met + sum(gram_w[x][y] * gram_h[x][y] for x in range(k) for y in range(k))
+            errors.append(max(square, 0.0) ** 0.5)
+        old, h = h, cut_lineage(updated(h, sums, column, gram_w))
+        discard(old, sums)
+        gram_h = _gram(h, k)
+        if i % check_every == 0:
+            if last is not None and last - errors[-1] < tolerance * first:
+                break
+            first, last = first or errors[-1], errors[-1]
+    if trace is not None:
+        trace += errors
+    return w, h
+
+
+def nmf_topics(weights: DataFrame, key: str, k: int = 8, rounds: int = 200, top: int = 10, seed: int = 42) -> DataFrame:
+    """Top terms of each factor of a non-negative factorisation of the (document, term) weights."""
+    _, terms = non_negative_factors(weights, key, "term", "weight", k, rounds, seed=seed)
+    loads = terms.select("term", F.posexplode("f").alias("topic", "load"))
     best = top_per_group(loads, ["topic"], [F.desc("load"), F.col("term")], top, "term")
     return best.groupBy("topic").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("load")).alias("l"), "term"))), lambda s: s["term"]), " ").alias("words")

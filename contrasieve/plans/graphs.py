@@ -86,12 +86,15 @@ def g7(spark, d):
 
 @query(
     "g8_red_flags",
-    f"""WITH {FACT_GEO}, e AS (SELECT DISTINCT agency, supplier FROM factg), dg AS (SELECT supplier FROM e GROUP BY 1 HAVING count(*) <= 450)
-    SELECT id, agency FROM factg JOIN part ON part = p_partkey WHERE label = 'geral' AND contains(p_name, 'ring') AND supplier IN (SELECT supplier FROM dg)""",
+    f"""WITH {FACT_GEO}, near AS (SELECT factg.* FROM factg JOIN supplier ON supplier = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = municipality AND priority = '1-URGENT' AND qty >= 25),
+    e AS (SELECT DISTINCT agency, supplier FROM near), dg AS (SELECT supplier FROM e GROUP BY 1 HAVING count(*) <= 2)
+    SELECT id, agency FROM near JOIN part ON part = p_partkey WHERE label = 'geral' AND contains(p_name, 'ring') AND supplier IN (SELECT supplier FROM dg)""",
 )
 def g8(spark, d):
-    f = fact_geo(spark, d)
-    few = f.groupBy("supplier").agg(F.countDistinct("agency").alias("degree")).filter("degree <= 450")
+    home = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    home = home.select(F.col("s_suppkey").alias("supplier"), F.col("n_name").alias("municipality"))
+    f = fact_geo(spark, d).filter("priority = '1-URGENT' AND qty >= 25").join(home, ["supplier", "municipality"], "left_semi")
+    few = f.groupBy("supplier").agg(F.countDistinct("agency").alias("degree")).filter("degree <= 2")
     names = table(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_name")
     hits = f.filter("label = 'geral'").join(names, "part").filter(tx.domain_term_count(F.col("p_name"), ["ring"]) >= 1)
     return hits.join(few, "supplier", "left_semi").select("id", "agency")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from contrasieve.functions import text as tx
 from contrasieve.operators import features, learn, metrics, neighbours, pairs, rules, sampling
 from contrasieve.plans.joins import SCORED, scored
+from contrasieve.session import cut_lineage
 from contrasieve.plans.registry import query, table
 from contrasieve.plans.standin import FACT, FACT_GEO, R, SCORE, TEXTS, fact, fact_geo, r, score, texts
 from contrasieve.plans.text import COMPAT_SQL
@@ -53,13 +54,24 @@ def m1t(spark, d):
 
 @query(
     "m2_stratified_sample",
-    f"""WITH {FACT_GEO}, x AS (SELECT id, state, row_number() OVER (PARTITION BY state ORDER BY md5('42|' || id), id) - 1 AS k, count(*) OVER (PARTITION BY state) AS s, count(*) OVER () AS n FROM factg)
-    SELECT id, state FROM x WHERE k < floor(3000 * s / n::DOUBLE)""",
+    f"""WITH {FACT_GEO}, x AS (SELECT id, state, row_number() OVER (PARTITION BY state ORDER BY md5('42|' || id), id) - 1 AS k FROM factg),
+    z AS (SELECT state, count(*) AS s, (SELECT count(*) FROM factg) AS n FROM factg GROUP BY 1), q AS (SELECT state, s, 3000 * s // n AS w, 3000 * s % n AS rest FROM z),
+    o AS (SELECT *, row_number() OVER (ORDER BY rest DESC, state) AS pos, 3000 - sum(w) OVER () AS spare FROM q)
+    SELECT id, x.state FROM x JOIN o ON x.state = o.state WHERE k < least(s, w + (pos <= spare)::INT)""",
 )
 def m2(spark, d):
     return sampling.stratified_sample(fact_geo(spark, d).select("id", "state"), "state", "id", 3000)
 
 
+@query(
+    "m2_even_sample",
+    f"""WITH {FACT}, x AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || id), id) - 1 AS k FROM fact)
+    SELECT id, label FROM x WHERE k < 3000 // (SELECT count(DISTINCT label) FROM fact)""",
+)
+def m2e(spark, d):
+    return sampling.even_sample(fact(spark, d).select("id", "label"), "label", "id", 3000)
+
+
 @query(
     "m3_fold_ids",
     f"""WITH {FACT} SELECT id, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || id), id) - 1) % 5 AS INTEGER) AS fold FROM fact""",
@@ -68,6 +80,25 @@ def m3(spark, d):
     return sampling.fold_ids(fact(spark, d).select("id", "label"), "label", "id", 5).select("id", "fold")
 
 
+TEXT_KEY = "md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')))"
+
+
+def keyed_texts(spark, d):
+    """Texts with a key that copies share."""
+    return texts(spark, d).withColumn("text_key", F.md5(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))))
+
+
+@query(
+    "m3_group_folds",
+    f"""WITH {TEXTS}, t AS (SELECT doc_id, label, {TEXT_KEY} AS g FROM texts), c AS (SELECT g, label, count(*) AS n FROM t GROUP BY 1, 2),
+    p AS (SELECT g, sum(n) AS size, arg_min(label, (-n, label)) AS label FROM c GROUP BY 1),
+    o AS (SELECT g, (row_number() OVER (PARTITION BY label ORDER BY size DESC, md5('42|' || g), g) - 1) % 10 AS turn FROM p)
+    SELECT doc_id, CAST(CASE WHEN turn < 5 THEN turn ELSE 9 - turn END AS INTEGER) AS fold FROM t JOIN o USING (g)""",
+)
+def m3g(spark, d):
+    return sampling.group_folds(keyed_texts(spark, d).select("doc_id", "label", "text_key"), "label", "text_key", 5).select("doc_id", "fold")
+
+
 @query(
     "m4_class_weights",
     f"WITH {FACT}, c AS (SELECT label, count(*) AS n FROM fact GROUP BY 1) SELECT label, {R('(SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n)::DOUBLE')} AS weight FROM c",
@@ -87,10 +118,15 @@ def m5(spark, d):
     return out
 
 
+def out_of_fold(spark, d):
+    return learn.out_of_fold(featured(spark, d, 3), "vec_id", learn.estimators(64), 3)
+
+
 @query("m6_out_of_fold")
 def m6(spark, d):
-    models = {n: e for n, e in learn.estimators(64).items() if n in ("logistic", "linear_svm", "naive_bayes")}
-    return learn.model_metrics(learn.out_of_fold(featured(spark, d), "vec_id", models, 3))
+    scores = learn.model_metrics(out_of_fold(spark, d))
+    best = learn.best_models(scores, 1).withColumnRenamed("model", "_best")
+    return scores.join(F.broadcast(best), F.col("model") == F.col("_best"), "left").withColumn("best", F.col("_best").isNotNull()).drop("_best")
 
 
 @query("m7_grid_search")
@@ -194,21 +230,21 @@ def m12(spark, d):
     return out.select("only_a", "only_b", r(F.col("chi2")).alias("chi2"))
 
 
-def oof(spark, d):
-    models = {n: e for n, e in learn.estimators(64).items() if n in ("logistic", "linear_svm", "random_forest", "naive_bayes")}
-    return learn.out_of_fold(featured(spark, d, 2), "vec_id", models, 2)
-
-
 @query("m13_calibration")
 def m13(spark, d):
-    p = oof(spark, d).filter("model = 'logistic'")
-    return learn.calibrate(p.filter("fold = 0"), p.filter("fold = 1"))
+    models = {"logistic": learn.estimators(64)["logistic"]}
+    p = learn.out_of_fold(featured(spark, d, 3), "vec_id", models, 3)
+    # where strong labels are few: rows that a rule labels, here the closest ones to the positives
+    rule = learn.pu_centroid(vectors(spark, d), "embedding", F.col("y") == 1).select("vec_id", F.col("candidate").cast("int").alias("y"))
+    return learn.calibrate_folds(p, p.drop("y").join(rule, "vec_id"))
 
 
 @query("m14_ensemble")
 def m14(spark, d):
-    p = oof(spark, d)
-    return learn.mean_of_best(p, learn.model_metrics(p), "vec_id")
+    p = out_of_fold(spark, d)
+    quality = cut_lineage(learn.model_metrics(p))
+    best = p.join(F.broadcast(learn.best_models(quality)), "model")
+    return learn.mean_of_best(learn.calibrate_folds(cut_lineage(best)), quality, "vec_id", score="calibrated")
 
 
 @query(
@@ -367,18 +403,14 @@ def m26s(spark, d):
 
 @query("m27_representation_comparison")
 def m27(spark, d):
-    t = texts(spark, d).filter(is_pos()).withColumn("y", (F.col("label") == "engenharia").cast("int"))
-    model = {"logistic": learn.estimators(2)["logistic"]}
-    out = None
-    for name, tokens in {
-        "clean": tx.tokens(F.col("text")),
-        "raw": F.concat(tx.raw_tokens(F.col("text")), F.array("source", "lang")),
-    }.items():
-        v = features.hashed_tfidf(t, tokens, size=1 << 12).select("doc_id", "y", "features")
-        folds = learn.with_class_weights(sampling.fold_ids(v, "y", "doc_id", 2), "y")
-        m = learn.model_metrics(learn.out_of_fold(folds, "doc_id", model, 2)).select("f1", "precision", "recall", "roc_auc").withColumn("representation", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return out
+    t = cut_lineage(sampling.group_folds(keyed_texts(spark, d).filter(is_pos()), "label", "text_key", 5).withColumn("y", (F.col("label") == "engenharia").cast("int")))
+    clean = tx.tokens(F.col("text"))
+    sides = {
+        "clean": features.hashed_tfidf(t, clean),
+        "raw": features.hashed_tfidf(t, F.concat(tx.raw_tokens(F.col("text")), F.array("source", "lang"))),
+        "embedding": features.to_vector(t.join(features.text_vectors(t, "doc_id", clean), "doc_id"), "embedding"),
+    }
+    return learn.compare_representations({n: v.select("doc_id", "y", "fold", "features") for n, v in sides.items()}, "doc_id", learn.estimators(2)["logistic"], 5)
 
 
 @query("m28_term_coefficients")
@@ -404,7 +436,8 @@ def m29(spark, d):
 @query("m30_score_new_rows")
 def m30(spark, d):
     v = features.to_vector(vectors(spark, d), "embedding")
-    known = learn.with_class_weights(v, "y")
+    is_new = score(F.col("vec_id"), "new") < 0.3
+    known = learn.with_class_weights(v.filter(~is_new), "y")
     model = learn.estimators(64)["logistic"].fit(known.select("y", "features", "weight"))
-    out = learn.predict(model, v, "vec_id")
-    return out.filter("y = 0").withColumn("suspect", F.col("p") >= 0.6)
+    category = F.when(F.col("cls") == 0, "Obras").when(F.col("cls") == 1, "Serviços de Engenharia").otherwise("Compras")
+    return learn.score_new(model, v.filter(is_new).drop("y").withColumn("category", category), "vec_id", "category")

@@ -6,18 +6,20 @@ drains what is available and stops; with a processing-time trigger the same job
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
+from itertools import chain
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from contrasieve.operators.rules import EVENT_STATES
 
-STATE_DDL = "state string, n_events long, last_ts string, last_id long"
+SEEN_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def read_landed(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*", per_batch: int = 64, kind: str = "parquet") -> DataFrame:
@@ -68,6 +70,24 @@ def insert_unseen(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int],
     return step
 
 
+def insert_new(stream: DataFrame, keys: Sequence[str], sink: str, checkpoint: str, interval: str | None = None) -> None:
+    """Append the rows whose key has not come before, one per key, without reading the table.
+
+    The keys seen so far are state, dealt over the shuffle partitions and kept on disk; a batch looks up
+    and logs its own keys only, so its cost does not follow the history. A replayed batch finds the state of the batch
+    before it and writes the same files once more, of which the sink counts one set.
+    """
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in SEEN_STORE}
+    try:
+        for k, v in SEEN_STORE.items():
+            spark.conf.set(k, v)
+        run(stream.dropDuplicates(list(keys)), sink, checkpoint, interval=interval)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def drop_seen(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:
     """One row per key within the watermark; state older than that is released."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
@@ -81,28 +101,20 @@ def score_stream(stream: DataFrame, model, key: str, limit: float = 0.6) -> Data
     return model.transform(stream).select(key, p.alias("p"), F.when(p >= limit, "novo").otherwise("baixa").alias("status"))
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Later events win; event order inside a batch does not matter."""
-    current, n, last_ts, last_id = state.get if state.exists else (None, 0, "", -1)
-    for batch in batches:
-        n += len(batch)
-        top = batch.sort_values(["ts", "event_id"]).iloc[-1]
-        if (top["ts"], int(top["event_id"])) > (last_ts, last_id):
-            current, last_ts, last_id = EVENT_STATES[top["event"]], top["ts"], int(top["event_id"])
-    state.update((current, n, last_ts, last_id))
-    yield pd.DataFrame({"case_id": [key[0]], "state": [current], "n_events": [n]})
-
+def case_states(stream: DataFrame, case: str, event: str, ts: str, event_id: str, delay: str = "7 days", span: str = "30 days") -> DataFrame:
+    """Running state of every case and ``span`` of time from review events, in update mode.
 
-def case_states(stream: DataFrame, case: str, event: str, ts: str, event_id: str) -> DataFrame:
-    """Running state of every case from review events, in update mode."""
+    The latest event of a span decides its state. A span's state is released once the watermark, ``delay``
+    behind the newest event, has passed its end; :func:`read_cases` puts the spans of a case together.
+    """
+    names = F.create_map(*[F.lit(x) for x in chain.from_iterable(EVENT_STATES.items())])
     events = stream.select(
-        F.col(case).alias("case_id"), F.col(event).alias("event"),
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.col(event_id).cast("long").alias("event_id"),
-    ).filter(F.col("event").isin(*EVENT_STATES))
-    kind = dict(events.dtypes)["case_id"]
-    return events.groupBy("case_id").applyInPandasWithState(
-        _advance, f"case_id {kind}, state string, n_events long", STATE_DDL, "update", GroupStateTimeout.NoTimeout
-    )
+        F.col(case).alias("case_id"), names[F.col(event)].alias("state"), F.col(ts).cast("timestamp").alias("ts"), F.col(event_id).cast("long").alias("event_id")
+    ).filter("state IS NOT NULL")
+    last = F.struct("ts", "event_id")
+    per = events.withWatermark("ts", delay).groupBy("case_id", F.window("ts", span).alias("w"))
+    out = per.agg(F.max_by("state", last).alias("state"), F.count("*").alias("n_events"), F.max(last).alias("last"))
+    return out.select("case_id", F.col("w.start").alias("since"), "state", "n_events", "last")
 
 
 def latest_table(path: str) -> Callable[[DataFrame, int], None]:
@@ -114,11 +126,17 @@ def latest_table(path: str) -> Callable[[DataFrame, int], None]:
     return step
 
 
-def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+def read_latest(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     rows = spark.read.parquet(path)
-    others = [c for c in rows.columns if c not in (key, "batch")]
-    best = rows.groupBy(key).agg(F.max_by(F.struct(*others), "batch").alias("_r"))
-    return best.select(key, "_r.*")
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_r"))
+    return best.select(*keys, "_r.*")
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """(case_id, state, n_events) over all spans that :func:`case_states` has emitted."""
+    spans = read_latest(spark, path, "case_id", "since")
+    return spans.groupBy("case_id").agg(F.max_by("state", "last").alias("state"), F.sum("n_events").alias("n_events"))
 
 
 def retrain_trigger(path: str) -> Callable[[DataFrame, int], None]:
@@ -152,7 +170,7 @@ def read_triggers(spark: SparkSession, path: str, every: int = 20) -> DataFrame:
 
 
 def daily_counts(stream: DataFrame, ts: str, label: str, delay: str = "1 day") -> DataFrame:
-    """Rows per day and label, emitted once the watermark passes the day."""
+    """Rows per day and label, for update mode: open days are there too; a day's state goes once the watermark passes it."""
     day = F.window(ts, "1 day")
     counted = stream.withWatermark(ts, delay).groupBy(day.alias("w"), label).agg(F.count("*").alias("n"))
     return counted.select(F.col("w.start").alias("day"), label, "n")
