@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contrasieve.functions import text as tx
-from contrasieve.operators import clusters, features, graph, neighbours, outliers, profile, terms
+from contrasieve.operators import clusters, features, graph, neighbours, outliers, profile, projected, terms
 from contrasieve.plans.learning import vectors
 from contrasieve.plans.registry import query, table
 from contrasieve.plans.standin import FACT_AGENCY, R, SCORE, TEXTS, fact_agency, r, score, texts
@@ -34,6 +34,11 @@ def k1c(spark, d):
     return out.withColumn("sim", r(F.col("sim")))
 
 
+@query("k1_knn_graph_projected")
+def k1p(spark, d):
+    return projected.knn_graph_projected(vectors(spark, d), "vec_id", "embedding", 5)
+
+
 @query(
     "k2_top_similar",
     f"""WITH {UNIT}, q AS (SELECT list_transform(range(1, 65), lambda i: (i % 7 - 3)::DOUBLE) AS q)

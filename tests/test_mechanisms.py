@@ -234,3 +234,19 @@ def test_days_still_open_are_counted(spark, tmp_path):
     st.run_batches(st.daily_counts(rows, "ts", "label"), st.latest_table(sink), progress, mode="update")
     got = {tuple(r) for r in st.monthly_rollup(st.read_latest(spark, sink, "day", "label"), "label").collect()}
     assert got == {("2024-03", "a", 2), ("2024-03", "b", 1)}
+
+
+def test_projected_neighbours_reach_the_recall_asked_for(spark):
+    from contrasieve.operators import neighbours, projected
+
+    r = np.random.default_rng(7)
+    x = r.normal(size=(20, 12))[r.integers(0, 20, 1500)] * 2 + r.normal(size=(1500, 12))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(2000 + i, [float(c) for c in x[3]]) for i in range(40)] + [(5000, [0.0] * 12)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").repartition(4)
+    report = {}
+    out = projected.knn_graph_projected(df, "id", "v", 5, leaf=64, report=report)
+    exact = neighbours.knn_graph(df, "id", "v", 5)
+    assert report["recall"] >= 0.95 and report["trees"] >= 8
+    assert exact.join(out, ["src", "dst"]).count() / exact.count() >= 0.93
+    assert out.count() == exact.count() and out.filter("src = dst").isEmpty()
+    assert projected.knn_graph_projected(df.limit(0), "id", "v", 5).isEmpty()
