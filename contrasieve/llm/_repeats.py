@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrasieve.llm._scan import NO_ID, longs, mix, raw, slices, spread
+from contrasieve.llm._scan import NO_ID, longs, mix, raw, slices, spare_memory, spread
 from contrasieve.session import cut_lineage
 
 ENTRY = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
@@ -209,6 +209,7 @@ def _batches(produce: Callable, buckets: int, same_doc: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         parts, size, runs, bodies, held = [], 0, [], [], 0
         for batch in batches:
             for e in produce(batch):
@@ -257,6 +258,7 @@ def _settle(same_doc: bool, span: int, width: int, hashes: Hashes, final: bool):
                     yield found(rows[a : a + (1 << 16)], kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         family, now = Family(same_doc), None
         for batch in batches:
             for bucket, kind, blob, body in zip(batch["bucket"].to_pylist(), batch["kind"].to_pylist(), batch["entries"], batch["body"]):
@@ -286,6 +288,7 @@ def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, body): texts under a compressor of their own, for shuffles; null ids get a stand-in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         codec = pa.Codec("zstd", compression_level=1)
         for batch in batches:
             for part in slices(batch, "text"):

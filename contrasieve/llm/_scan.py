@@ -6,6 +6,9 @@ task's memory follows its longest text and not its partition.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,21 @@ _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _POWERS: dict = {}
 
 
+def spare_memory() -> None:
+    """Give back what earlier tasks of this Python process left for later ones: token tables and freed pages.
+
+    Called where a task holds much and tokenizes nothing; the process stays in use for tasks of all kinds.
+    """
+    held = sys.modules.get("_contrasieve_process")
+    if held is not None and held.__dict__.pop("encoders", None):
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` with at most ``limit`` bytes of text, or one row."""
     if batch.num_rows == 0:

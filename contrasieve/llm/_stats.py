@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrasieve.llm._scan import Rolling, mix, raw, slices, word_hashes, words
+from contrasieve.llm._scan import Rolling, mix, raw, slices, spare_memory, word_hashes, words
 
 _SYMBOLS = np.zeros(256, np.int64)
 _SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -77,6 +77,7 @@ def with_counts(docs: DataFrame, id_col: str, text_col: str, *others: str) -> Da
     fields = [docs.schema[c] for c in (id_col, *others)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         for batch in batches:
             for part in slices(batch, "__text"):
                 found = counts(*raw(part["__text"]))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from contrasieve.llm._keys import KEY, own_keys, with_ids
 from contrasieve.llm._repeats import packed_texts, unpack
-from contrasieve.llm._scan import NO_ID, Rolling, longs, mix, raw, slices, word_hashes, words
+from contrasieve.llm._scan import NO_ID, Rolling, longs, mix, raw, slices, spare_memory, word_hashes, words
 from contrasieve.operators.graph import connected_components
 from contrasieve.session import cut_lineage
 
@@ -66,6 +66,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
     piece = 1 << 15
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         sketch, rows = np.zeros(2 * WIDTH, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
@@ -178,6 +179,7 @@ def _with_leads(edges: DataFrame, texts: DataFrame, idf, least: float, parts: in
     rows = own.withColumn("own", F.lit(0)).unionByName(dealt.withColumn("own", F.lit(1))).join(texts, "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         vectors, lead, now = _Vectors(idf.value), None, None
         for batch in batches:
             found = []
@@ -232,6 +234,7 @@ def _among(members: DataFrame, texts: DataFrame, idf, least: float, parts: int)
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         vectors, now, sides = _Vectors(idf.value), (0, 0, 0), ([], [])
         for batch in batches:
             found = []
@@ -251,6 +254,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, idf) -> DataFrame:
     tables = _quantiles()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         for batch in batches:
             for part in slices(batch, "text"):
                 data, bounds = raw(part["text"])
