@@ -5,8 +5,8 @@ of its own words, pieces parted by 0. A word's symbol is a 64-bit hash; the symb
 and another seed is taken until no two words share one, so symbols stand for words exactly.
 
 Levels follow the Apriori rule. A phrase of k words is a candidate if its first and last k - 1 words are frequent, if it
-occurs, and if its bucket in a table of hashed counts, summed over all texts, reaches the least count; none of the three
-can miss a frequent phrase. Candidates become double-array tries (a root per language, a slot per node, base and check),
+occurs, and if both of its counters in a table of hashed counts, summed over all texts, reach the least count; none of the
+three can miss a frequent phrase. Candidates become double-array tries (a root per language, a slot per node, base and check),
 built in tasks. Each trie is broadcast in turn; numpy advances the states of all text positions at once, word by word,
 counts accepting states with bincount, and the arrays of all tasks are added chunk by chunk.
 
@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contrasieve.llm._scan import Rolling, mix, raw, slices, words
+from contrasieve.llm._scan import Rolling, mix, raw, slices, spare_memory, words
 from contrasieve.session import cut_lineage
 
 LONGEST = 5
@@ -41,6 +41,7 @@ BUCKET_BITS = 24
 #: Words of the text for each bucket of hashed counts, about.
 POSITIONS_PER_BUCKET = 32
 CHUNK = 1 << 16
+TASKS_PER_CORE = 2
 SLICE = 2 << 20
 SALTS = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -72,6 +73,7 @@ def code(data: np.ndarray, bounds: np.ndarray, seed: int) -> tuple[pa.Array, np.
 
 def _coded(docs: DataFrame, text_col: str, lang_col: str, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         for batch in batches:
             langs = batch["lang"].dictionary_encode()
             for i, lang in enumerate(langs.dictionary.to_pylist()):
@@ -103,7 +105,10 @@ def _words(coded: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """Double array over phrases of one length: the child of node s by symbol c is slot base[s] + c if check there is s."""
+    """Double array over phrases of one length: the child of node s by letter c is slot base[s] + c if check there is s.
+
+    A word takes two steps, by the upper and the lower half of its number, so that a node's children lie close together.
+    """
 
     def __init__(self, langs: np.ndarray, symbols: np.ndarray):
         """``langs`` (strings) and ``symbols`` (a row of unsigned longs for each phrase)."""
@@ -113,8 +118,9 @@ class Trie:
         dense = dense.reshape(symbols.shape)
         # common symbols get small numbers, so that nodes with many children stay narrow
         rank = np.argsort(np.argsort(-np.bincount(dense.ravel(), minlength=len(self.alphabet)), kind="stable"), kind="stable")
-        self.number, dense = rank.astype(np.int32), rank[dense]
-        letters, roots = len(self.alphabet), len(self.names)
+        self.number, self.half = rank.astype(np.int32), max(1, (len(self.alphabet).bit_length() + 1) // 2)
+        dense = np.stack([rank[dense] >> self.half, rank[dense] & ((1 << self.half) - 1)], axis=2).reshape(len(symbols), -1)
+        letters, roots = 1 << self.half, len(self.names)
         lowest = roots + letters
         used = np.zeros(max(2 * lowest, 1 << 12), bool)
         used[:lowest] = True
@@ -123,7 +129,7 @@ class Trie:
         dense, lang = dense[order], lang[order]
         node = lang.astype(np.int64)  # of each phrase, so far
         hint = top = lowest
-        for depth in range(self.length):
+        for depth in range(2 * self.length):
             c = dense[:, depth]
             new = np.ones(len(c), bool)
             new[1:] = (node[1:] != node[:-1]) | (c[1:] != c[:-1])
@@ -191,9 +197,12 @@ class Trie:
         state = np.full(len(at), root, np.int32)
         for depth in range(self.length):
             step = letter[at + depth]
-            to = self.base[state] + step
-            fine = (self.check[to] == state) & (step >= 0)
-            at, state = at[fine], to[fine]
+            fine = step >= 0
+            at, state, step = at[fine], state[fine], step[fine]
+            for shift, mask in ((self.half, -1), (0, (1 << self.half) - 1)):
+                to = self.base[state] + ((step >> shift) & mask)
+                fine = self.check[to] == state
+                at, state, step = at[fine], to[fine], step[fine]
         return at, self.accept[state]
 
 
@@ -249,6 +258,7 @@ def _reached(parts: DataFrame, least: int, marks: bool = False) -> DataFrame:
     """(place, f) of the counters whose sum over all tasks is at least ``least``, or for each chunk a bit for each of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i in range(batch.num_rows):
@@ -270,22 +280,13 @@ def _reached(parts: DataFrame, least: int, marks: bool = False) -> DataFrame:
 
 
 class _Counter:
-    """Adds up many small numbers, some millions at a time."""
+    """Counts of numbers under ``size``, in place."""
 
     def __init__(self, size: int):
-        self.total, self.waiting, self.n = np.zeros(size, np.uint32), [], 0  # a task reads fewer words than that
+        self.total = np.zeros(size, np.uint32)  # a task reads fewer words than that holds
 
     def add(self, places: np.ndarray) -> None:
-        self.waiting.append(places.astype(np.int64))
-        self.n += len(places)
-        if self.n > 1 << 21:
-            self.settle()
-
-    def settle(self) -> np.ndarray:
-        if self.n:
-            self.total += np.bincount(np.concatenate(self.waiting), minlength=len(self.total)).astype(np.uint32)
-            self.waiting, self.n = [], 0
-        return self.total
+        np.add.at(self.total, places, 1)
 
 
 def _safe(trie: Trie, lone: bool, lang: str, symbols: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,13 +314,20 @@ def _safe(trie: Trie, lone: bool, lang: str, symbols: np.ndarray, places: np.nda
     return at, number, h
 
 
+def _buckets(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two counters of each phrase, one in each half of ``1 << bits``."""
+    shift = np.uint64(65 - bits)
+    return (h >> shift).astype(np.int64), ((h * _ODD) >> shift).astype(np.int64) + (1 << (bits - 1))
+
+
 def _frequent(spark: SparkSession, coded: DataFrame, before: DataFrame, total: int, k: int, least: int, shard: int) -> DataFrame:
     """(lang, key, f) of the phrases of ``k`` words that occur ``least`` times, from those of k - 1 words."""
-    texts = coded.select("lang", "symbols", "places")
+    # each task ships tables of its own, so there are a few tasks for each core and not one for each file
+    texts = coded.select("lang", "symbols", "places").coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     n = before.count()
     shards = max(1, -(-n // shard))
     tries = _tries(before, shards)
-    bits = min(BUCKET_BITS, max(16, (total // POSITIONS_PER_BUCKET).bit_length()))
+    bits = min(BUCKET_BITS, max(17, (total // POSITIONS_PER_BUCKET).bit_length()))
     lone, empty = shards == 1, spark.createDataFrame([], "lang string, key binary, f bigint")
 
     def bodies(table: DataFrame) -> Iterator[tuple[int, Broadcast]]:
@@ -331,10 +339,12 @@ def _frequent(spark: SparkSession, coded: DataFrame, before: DataFrame, total: i
 
     def buckets(shared: Broadcast) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            spare_memory()
             trie, count = _load(shared.value), _Counter(1 << bits)
             for text in _texts(batches):
-                count.add(_safe(trie, lone, *text)[2] >> np.uint64(64 - bits))
-            yield from _chunks(count.settle())
+                for place in _buckets(_safe(trie, lone, *text)[2], bits):
+                    count.add(place)
+            yield from _chunks(count.total)
 
         return run
 
@@ -351,6 +361,7 @@ def _frequent(spark: SparkSession, coded: DataFrame, before: DataFrame, total: i
 
     def new(shared: Broadcast, phrases: Broadcast) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            spare_memory()
             trie, own = _load(shared.value), np.frombuffer(phrases.value, ">u8").reshape(-1, k - 1)
             hot = np.unpackbits(np.frombuffer(marks.value, np.uint8)).view(bool)
             seen: dict[str, list] = {}
@@ -365,7 +376,8 @@ def _frequent(spark: SparkSession, coded: DataFrame, before: DataFrame, total: i
 
             for lang, symbols, places in _texts(batches):
                 at, number, h = _safe(trie, lone, lang, symbols, places)
-                fine = hot[h >> np.uint64(64 - bits)]
+                one, two = _buckets(h, bits)
+                fine = hot[one] & hot[two]
                 seen.setdefault(lang, []).append((number[fine], np.append(np.uint64(0), symbols)[places[at[fine] + k - 1]]))
                 if sum(len(x[0]) for x in seen[lang]) > 1 << 21:
                     seen[lang] = [settle(lang)]
@@ -395,10 +407,11 @@ def _frequent(spark: SparkSession, coded: DataFrame, before: DataFrame, total: i
 
     def accepted(shared: Broadcast, size: int) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            spare_memory()
             trie, count = _load(shared.value), _Counter(size)
             for text in _texts(batches):
                 count.add(trie.run(*text)[1])
-            yield from _chunks(count.settle())
+            yield from _chunks(count.total)
 
         return run
 
