@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from contrasieve.llm._scan import NO_ID, longs, slices
 from contrasieve.llm._tokens import SLICE, Encoder
 
-BLOCK, CHUNK, END_ID = 2048, 1 << 22, 2
+BLOCK, CHUNK, END_ID = 2048, 1 << 23, 2
+#: Steps prepared together when coding.
+TILE = 64
 #: Bits of the shares of one step, of the order-0 frequencies, and slots of a block's context tables.
 SHARE, BASE, SLOTS = 24, 20, 256
 _MASK48, _TOP, _LEAST = np.uint64((1 << 48) - 1), np.uint64(1 << 32), np.uint64(1 << 30)
@@ -43,59 +45,49 @@ def base_frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Predictions and their weights, one lane per block."""
+    """Predictions and their weights, one lane per block; the rows of all arrays are order 2 and order 1."""
 
     def __init__(self, lanes: int):
-        self.lane = (np.arange(lanes) * SLOTS).astype(np.int32)
-        self.row = (np.arange(lanes) * 4).astype(np.int32)
+        places = np.arange(2 * lanes, dtype=np.int32).reshape(2, lanes)
+        self.slots, self.row = places * np.int32(SLOTS), places * np.int32(4)
         # 4 * (id + 1) + how often in a row the guess was right (3 at most); 0: none yet
-        self.guess = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
-        self.right = [np.full(lanes * 4, 1 << 15, np.int32) for _ in range(2)]  # 16-bit chance by that count
-        self.one = np.zeros(lanes, np.int32)
-        self.two = np.zeros(lanes, np.int32)
-
-    def predict(self, n: int):
-        """Predicted ids (plus 1) of order 2 and 1, and where their shares end, for the first ``n`` lanes."""
-        one, two = self.one[:n], self.two[:n]
-        self.at = [self.lane[:n] + (((one * 40503 + two * 30011) >> 3) & (SLOTS - 1)), self.lane[:n] + (one & (SLOTS - 1))]
-        self.cell, self.seen, out = [], [], []
-        for order in (0, 1):
-            seen = self.guess[order].take(self.at[order])
-            cell = self.row[:n] + (seen & 3)
-            chance = self.right[order].take(cell)
-            self.seen.append(seen)
-            self.cell.append(cell)
-            out.append((seen >> 2, chance * (seen > 0)))
-        (g2, w2), (g1, w1) = out
-        w1 = w1 * (g1 != g2)
+        self.guess = np.zeros(2 * lanes * SLOTS, np.int32)
+        self.right = np.full(2 * lanes * 4, 1 << 15, np.int32)  # 16-bit chance by that count
+
+    def contexts(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Slots after the ids ``one`` and ``two`` (the one before), for the lanes along their last axis."""
+        n = one.shape[-1]
+        mixed = ((one * np.int32(40503) + two * np.int32(30011)) >> 3) & (SLOTS - 1)
+        return np.stack([self.slots[0, :n] + mixed, self.slots[1, :n] + (one & (SLOTS - 1))], axis=-2)
+
+    def predict(self, at: np.ndarray):
+        """Predicted ids (plus 1) of both orders, and where their shares end."""
+        self.at, self.seen = at, self.guess.take(at)
+        self.cell = (self.seen & 3) + self.row[:, : at.shape[1]]
+        self.chance, self.known = self.right.take(self.cell), self.seen > 0
+        self.guessed = self.seen >> 2
+        w2, w1 = self.chance * self.known
+        w1 *= self.guessed[0] != self.guessed[1]
         most = (1 << SHARE) - (1 << BASE)
         end2 = w2.astype(np.int64) * most >> 16
-        end1 = end2 + (w1 * (most - end2) >> 16)
-        return g2, g1, end2, end1
-
-    def learn(self, n: int, guesses, ids: np.ndarray) -> None:
-        new = ids.astype(np.int32) + 1
-        for order in (0, 1):
-            at, cell, seen = self.at[order], self.cell[order], self.seen[order]
-            hit = guesses[order] == new
-            chance = self.right[order].take(cell)
-            # an empty slot tells nothing: its step is 0
-            step = ((hit * np.int32(65535) - chance) >> 4) * (seen > 0)
-            self.right[order][cell] = np.minimum(np.maximum(chance + step, 64), 65000)
-            streak = np.minimum((seen & 3) + 1, 3) * hit
-            self.guess[order][at] = (new << 2) + streak
-        self.two[:n] = self.one[:n]
-        self.one[:n] = ids
-
-
-def _shares(order0, g2, g1, end2, end1, ids):
-    """Begin and width of each id's part of the 2 ** SHARE."""
-    start0, width0 = order0
-    new = ids + 1
+        return end2, end2 + (w1 * (most - end2) >> 16)
+
+    def learn(self, new: np.ndarray) -> np.ndarray:
+        """Take in the ids (plus 1) that came; returns which guesses were right."""
+        hit = self.guessed == new
+        # an empty slot tells nothing: its step is 0
+        step = ((hit * np.int32(65535) - self.chance) >> 4) * self.known
+        self.right[self.cell] = np.minimum(np.maximum(self.chance + step, 64), 65000)
+        self.guess[self.at] = (new << 2) + np.minimum((self.seen & 3) + 1, 3) * hit
+        return hit
+
+
+def _shares(start0, width0, hit, end2, end1):
+    """Begin and width of each id's part of the 2 ** SHARE, from its part of order 0 and which guesses named it."""
     rest = (1 << SHARE) - end1
-    a = start0[ids] * rest >> BASE
-    b = (start0[ids] + width0[ids]) * rest >> BASE
-    is2, is1 = (g2 == new) & (end2 > 0), (g1 == new) & (end1 > end2)
+    a = start0 * rest >> BASE
+    b = (start0 + width0) * rest >> BASE
+    is2, is1 = hit[0] & (end2 > 0), hit[1] & (end1 > end2)
     begin = np.where(is2, 0, np.where(is1, end2, end1 + a))
     return begin, np.where(is2, end2, np.where(is1, end1 - end2, b - a))
 
@@ -116,24 +108,31 @@ def encode(ids: np.ndarray, value: np.ndarray, share: np.ndarray, block: int = B
     """The words of each block of ``ids``."""
     sizes = _lengths(len(ids), block)
     lanes = len(sizes)
-    grid = np.zeros(lanes * block, np.int64)
+    if not lanes:
+        return []
+    grid = np.zeros(lanes * block, np.int32)
     grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    order0, model = _tables(value, share), Model(lanes)
+    # two rows of zeros ahead: what comes before a block
+    grid = np.concatenate([np.zeros((2, lanes), np.int32), grid.reshape(lanes, block).T])
+    (start0, width0), model = _tables(value, share), Model(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK48, np.uint64)
     words, count = np.zeros((lanes, 3 * block + 8), np.uint16), np.zeros(lanes, np.int64)
-    for t in range(block):
-        n = lanes if t < sizes[-1] else lanes - 1
-        if not n:
-            break
-        now = grid[t, :n]
-        g2, g1, end2, end1 = model.predict(n)
-        begin, width = _shares(order0, g2, g1, end2, end1, now)
-        model.learn(n, (g2, g1), now)
-        part = span[:n] >> _U(SHARE)
-        low[:n] += part * begin.view(np.uint64)
-        span[:n] = part * width.view(np.uint64)
-        _renormalise(low, span, n, words, count)
+    for first in range(0, block, TILE):
+        # contexts and order-0 parts of some steps at once: all ids are known here
+        last = min(first + TILE, block)
+        at = model.contexts(grid[first + 1 : last + 1], grid[first:last])
+        start, width = start0[grid[first + 2 : last + 2]], width0[grid[first + 2 : last + 2]]
+        for t in range(first, last):
+            n = lanes if t < sizes[-1] else lanes - 1
+            if not n:
+                break
+            end2, end1 = model.predict(at[t - first, :, :n])
+            hit = model.learn(grid[t + 2, :n] + np.int32(1))
+            begin, size = _shares(start[t - first, :n], width[t - first, :n], hit, end2, end1)
+            part = span[:n] >> _U(SHARE)
+            low[:n] += part * begin.view(np.uint64)
+            span[:n] = part * size.view(np.uint64)
+            _renormalise(low, span, n, words, count)
     for _ in range(3):
         words[np.arange(lanes), count] = (low >> _U(32)).astype(np.uint16)
         low = (low << _U(16)) & _MASK48
@@ -173,8 +172,9 @@ def decode(blocks: list[bytes], total: int, value: np.ndarray, share: np.ndarray
     data = np.frombuffer(b"".join(blocks) + bytes(8), np.uint16)
     sizes16 = np.array([len(b) >> 1 for b in blocks], np.int64)
     at = np.cumsum(sizes16) - sizes16
-    order0, model = _tables(value, share), Model(lanes)
-    slot = np.repeat(value, share).astype(np.int64)
+    (start0, width0), model = _tables(value, share), Model(lanes)
+    slot = np.repeat(value, share).astype(np.int32)
+    one, two = np.zeros((2, lanes), np.int32)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK48, np.uint64)
     code = np.zeros(lanes, np.uint64)
     for _ in range(3):
@@ -185,16 +185,17 @@ def decode(blocks: list[bytes], total: int, value: np.ndarray, share: np.ndarray
         n = lanes if t < sizes[-1] else lanes - 1
         if not n:
             break
-        g2, g1, end2, end1 = model.predict(n)
+        end2, end1 = model.predict(model.contexts(one[:n], two[:n]))
+        g2, g1 = model.guessed
         part = span[:n] >> _U(SHARE)
         target = np.minimum(((code[:n] - low[:n]) // part).astype(np.int64), (1 << SHARE) - 1)
         rest = (1 << SHARE) - end1
         place = (((np.maximum(target - end1, 0) + 1) << BASE) - 1) // rest
         now = slot[np.minimum(place, (1 << BASE) - 1)]
         now = np.where(target < end2, g2 - 1, np.where(target < end1, g1 - 1, now))
-        begin, width = _shares(order0, g2, g1, end2, end1, now)
-        model.learn(n, (g2, g1), now)
+        begin, width = _shares(start0[now], width0[now], model.learn(now + np.int32(1)), end2, end1)
         out[t, :n] = now
+        one, two = now, one[:n]
         low[:n] += part * begin.view(np.uint64)
         span[:n] = part * width.view(np.uint64)
         here = None
