@@ -136,14 +136,18 @@ def knn_graph_projected(
     grouped = near.groupBy("h").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("key")).alias("keys"))
     points = cut_lineage(grouped.withColumn("id", F.monotonically_increasing_id()))
     n = points.count()
+    if not n:
+        if report is not None:
+            report |= {"recall": 1.0, "trees": 0, "points": 0}
+        return rows.select(F.col("key").alias("src"), F.col("key").alias("dst"), F.lit(0.0).alias("sim"))
     share = min(1.0, 2 * SAMPLE / max(n, 1))
     sample = points.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) <= int(share * (1 << 20))).select("v").limit(SAMPLE).collect()
     sample = np.array([r["v"] for r in sample], dtype=np.float64).reshape(len(sample), -1)
     depth = 0 if n <= 2 * leaf else min(DEEPEST, int(np.ceil(np.log2(n / leaf))))
     queries = points.orderBy(F.xxhash64("h", F.lit(seed)), "h").limit(QUERIES).select("id", "v").collect()
-    truth = cut_lineage(_exact(points, queries, k)) if n else None
+    truth = cut_lineage(_exact(points, queries, k))
     lists, planted, found = None, 0, 0.0
-    while n:
+    while True:
         lot = 1 if depth == 0 else LOT
         trees = [plant(sample, depth, seed + planted + t) for t in range(lot)]
         fresh = _best(_tree_lists(points, trees, k, leaf), k)
@@ -160,8 +164,6 @@ def knn_graph_projected(
     if report is not None:
         report |= {"recall": min(found, 1.0), "trees": planted, "points": n}
     keys = points.select("id", "keys")
-    if lists is None:
-        return rows.select(F.col("key").alias("src"), F.col("key").alias("dst"), F.lit(0.0).alias("sim")).limit(0)
     own = points.select(F.col("id"), F.col("id").alias("other"), F.lit(1.0).alias("sim"))
     every = lists.unionByName(own).join(keys.withColumnRenamed("id", "other"), "other").select("id", "sim", F.explode("keys").alias("dst"))
     every = top_per_group(every, ["id"], [F.desc("sim"), F.col("dst")], k + 1, "dst", slices=1)

@@ -32,9 +32,10 @@ def g1(spark, d):
     )
 
 
-@query("g2_degrees", f"WITH {BOTH} SELECT src AS vertex, count(*) AS degree, {R('sum(weight)')} AS strength FROM b GROUP BY 1")
+@query("g2_degrees", f"WITH {BOTH} SELECT src AS vertex, CASE WHEN src LIKE 'A:%' THEN 'agency' ELSE 'supplier' END AS side, count(*) AS degree, {R('sum(weight)')} AS strength FROM b GROUP BY 1, 2")
 def g2(spark, d):
-    return graph.degrees(edges(spark, d)).withColumn("strength", r(F.col("strength")))
+    side = F.when(F.col("vertex").startswith("A:"), "agency").otherwise("supplier")
+    return graph.degrees(edges(spark, d)).withColumn("strength", r(F.col("strength"))).withColumn("side", side)
 
 
 #: Ranks after each round; the answer is the first multiple of 5 rounds whose ranks moved by less than the tolerance.
