@@ -1,7 +1,7 @@
 """Conversations as training windows of a token budget.
 
-Prefix sums of turn tokens choose the windows: one ends where the sum crosses a multiple of the span, at a turn's
-end. Every window starts with the system turn and with a limited history from the window before; both are masked,
+Prefix sums of turn tokens choose the windows: each runs to the last turn whose sum still lies within the budget, counted
+from the first turn it shows. Every window starts with the system turn and with a limited history of the turns before it; both are masked,
 so each assistant text is a target exactly once. All of this is DataFrame work; only token counts and the digests
 of the check that reads windows back are Python.
 
@@ -25,10 +25,10 @@ from contrasieve.session import cut_lineage
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 MAX_TOKENS, HISTORY_TURNS, HISTORY_TOKENS = 1024, 2, 128
-#: Tokens that the marks and the role of a turn cost.
-OVERHEAD = 6
 #: Turns are counted in blocks, so a very long conversation is not one task's sum.
 BLOCK = 256
+#: Windows end at every multiple of this many turns, so a very long conversation is not one task's walk either.
+SECTION = 4096
 
 
 def escape(text: Column) -> Column:
@@ -39,23 +39,28 @@ def unescape(text: str) -> str:
     return text.replace("&#10;", "\n").replace("&lt;|", "<|").replace("&amp;", "&")
 
 
+def shown_parts(role: Column, text: Column) -> tuple[Column, Column]:
+    """The marked head of a turn and its escaped text; the closing mark follows."""
+    return F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit("&#10;")), F.lit("\n")), escape(text)
+
+
 def count_tokens(turns: DataFrame, text_col: str, path: str) -> DataFrame:
-    """``turns`` with a column tokens."""
-    names = turns.columns
+    """``turns`` with a column tokens in place of the text that is counted."""
+    names = [c for c in turns.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
             for part in slices(batch, text_col):
                 _, ends = encoder.column(part[text_col])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(ends).astype(np.int64))], [*names, "tokens"])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array(np.diff(ends).astype(np.int64))], [*names, "tokens"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in turns.schema), "tokens bigint"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in turns.schema if f.name != text_col), "tokens bigint"])
     return turns.mapInArrow(run, schema)
 
 
 def _with_sums(turns: DataFrame) -> DataFrame:
-    """rank (from 0) and begin (tokens before, without a leading system turn) of every turn of its conversation."""
+    """rank (from 0) and begin (tokens before) of every turn of its conversation."""
     turns = turns.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
     inside = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     upto = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -68,44 +73,69 @@ def _with_sums(turns: DataFrame) -> DataFrame:
     return turns.select("conv", "role", "text", "tokens", (F.col("rank") + F.col("n0")).alias("rank"), (F.col("begin") + F.col("t0")).alias("begin"))
 
 
+def _spans(line: DataFrame, max_tokens: int, history_turns: int, history_tokens: int) -> DataFrame:
+    """(conv, w, start, stop, hist): turns start..stop are new in window w, the hist turns before are repeated.
+
+    ``line`` holds conv, rank, begin, tokens and the tokens of the system turn. A history that would push the first new
+    turn over the budget is shortened. Sections take the last turns of the one before along as history.
+    """
+    line = line.withColumn("section", F.floor(F.col("rank") / SECTION))
+    lead = line.where(F.col("rank") % SECTION >= SECTION - history_turns).withColumn("section", F.col("section") + 1)
+    walks = line.unionByName(lead).groupBy("conv", "section").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "begin", "tokens"))).alias("p"), F.max("system").alias("system")
+    )
+    first = F.col("section") * SECTION
+
+    def jump(x: Column, i: Column) -> Column:
+        """How far a window reaches that starts at this turn."""
+        room = F.least(F.lit(history_tokens), F.lit(max_tokens) - F.col("system") - x["tokens"])
+        fits = [F.when(x["begin"] - F.get("p", i - j)["begin"] <= room, j) for j in range(history_turns, 0, -1)]
+        hist = F.coalesce(*fits, F.lit(0))
+        reach = F.get("p", i - hist)["begin"] + max_tokens - F.col("system")
+        return F.struct(x["rank"].alias("rank"), (x["begin"] + x["tokens"]).alias("end"), reach.alias("reach"), hist.alias("hist"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opened = F.struct(x["reach"].alias("reach"), F.concat(acc["starts"], F.array(F.struct(x["rank"].alias("start"), x["hist"].alias("hist")))).alias("starts"))
+        return F.when(x["end"] > acc["reach"], opened).otherwise(acc)
+
+    none = F.array().cast("array<struct<start:bigint,hist:int>>")
+    zero = F.struct(F.lit(-1).cast("bigint").alias("reach"), none.alias("starts"))
+    walks = walks.select("conv", "section", F.element_at("p", -1)["rank"].alias("top"), F.transform("p", jump).alias("q"))
+    walks = walks.select("conv", "top", F.aggregate(F.filter("q", lambda x: x["rank"] >= first), zero, step)["starts"].alias("starts"))
+    made = walks.select("conv", "top", "starts", F.posexplode("starts").alias("at", "s"))
+    stop = F.coalesce(F.get("starts", F.col("at") + 1)["start"] - 1, F.col("top"))
+    return made.select("conv", F.col("s.start").alias("w"), "s.start", stop.alias("stop"), "s.hist")
+
+
 def windows(
     conversations: DataFrame, path: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
     max_tokens: int = MAX_TOKENS, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS,
 ) -> DataFrame:
-    """Rows conv (key), conv_id, window, repeated (turns at its start that repeat), loss (spans of code points), text.
+    """Rows conv (key), conv_id, window (rising), repeated (turns at its start that repeat), loss (spans of code points), text.
 
     Turns stand by turn number (null first), then role and text; repeated rows are turns of their own. Null text
     and null role are empty; rows of a null conversation are one conversation. A system turn counts as such only if it
-    comes first. A window exceeds the budget only by turns longer than half of what the system turn and the history
-    leave, since no turn is cut. Empty tables give no rows. Other columns are ignored.
+    comes first. Tokens are those of the turn as it is written, escaped and with its marks. A window exceeds the budget only
+    where one turn does not fit beside the system turn, since no turn is cut; it then holds these two alone. Empty
+    tables give no rows. Other columns are ignored.
     """
     id_type = conversations.schema[conv_col].dataType
     turns = conversations.select(
         F.to_json(F.array(F.col(conv_col).cast("string"))).alias("conv"), F.col(turn_col).cast("bigint").alias("turn"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    turns = count_tokens(turns, "text", path).withColumn("tokens", F.col("tokens") + OVERHEAD)
-    placed = cut_lineage(_with_sums(turns))
+    turns = turns.withColumn("whole", F.concat(*shown_parts(F.col("role"), F.col("text")), F.lit(END)))
+    placed = cut_lineage(_with_sums(count_tokens(turns, "whole", path)))
     system = placed.where("rank = 0 AND role = 'system'").select("conv", F.col("tokens").alias("system"), F.struct("role", "text").alias("first"))
-    span = F.greatest((F.lit(max_tokens - history_tokens) - F.coalesce("system", F.lit(0))) / 2, F.lit(1))
-    body = placed.join(system, "conv", "left").where("first IS NULL OR rank > 0")
-    body = body.withColumn("w", F.floor((F.col("begin") - F.coalesce("system", F.lit(0))) / span))
-    ends = body.groupBy("conv", "w").agg(F.max("rank").alias("last"), F.max(F.col("begin") + F.col("tokens")).alias("end"))
-    ends = ends.unionByName(  # a conversation of a system turn alone still has a window
-        system.join(ends, "conv", "left_anti").select("conv", F.lit(0).cast("bigint").alias("w"), F.lit(0).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("end"))
-    )
-    by = Window.partitionBy("conv").orderBy("w")
-    ends = cut_lineage(ends.withColumns({"next": F.lead("w").over(by), "first_window": F.lag("w").over(by).isNull()}))
-    body = body.join(ends, ["conv", "w"])
-    piece = ["conv", "w", "rank", "role", "text", "fresh"]
-    fresh = body.withColumn("fresh", F.lit(True)).select(piece)
-    near = (F.col("last") - F.col("rank") < history_turns) & (F.col("end") - F.col("begin") <= history_tokens) & F.col("next").isNotNull()
-    history = body.where(near).withColumns({"w": F.col("next"), "fresh": F.lit(False)}).select(piece)
-    again = ends.join(system, "conv").select("conv", "w", F.lit(0).cast("bigint").alias("rank"), "first.role", "first.text", F.col("first_window").alias("fresh"))
-    pieces = fresh.unionByName(history).unionByName(again)
-
-    head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
-    inner = escape(F.col("text"))
+    line = placed.select("conv", "rank", "begin", "tokens").join(system.select("conv", "system"), "conv", "left").where("system IS NULL OR rank > 0")
+    spans = cut_lineage(_spans(line.withColumn("system", F.coalesce("system", F.lit(0))), max_tokens, history_turns, history_tokens))
+    members = spans.select("conv", "w", "start", F.explode(F.sequence(F.col("start") - F.col("hist"), "stop")).alias("rank"))
+    body = members.join(placed.select("conv", "rank", "role", "text"), ["conv", "rank"])
+    again = spans.select("conv", "w").join(system, "conv", "right")  # a conversation of a system turn alone still has a window
+    again = again.select("conv", F.coalesce("w", F.lit(1)).alias("w"), F.lit(0).cast("bigint").alias("rank"), "first.role", "first.text", (F.coalesce("w", F.lit(1)) == 1).alias("fresh"))
+    pieces = body.withColumn("fresh", F.col("rank") >= F.col("start")).drop("start").unionByName(again)
+
+    head, inner = shown_parts(F.col("role"), F.col("text"))
     shown = pieces.select(
         "conv", "w", "rank", "fresh", F.concat(head, inner, F.lit(END)).alias("shown"),
         F.length(head).alias("head"), F.length(inner).alias("inner"), (F.col("fresh") & (F.col("role") == "assistant")).alias("target"),

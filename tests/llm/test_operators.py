@@ -271,6 +271,37 @@ def test_chat_windows_round_trip(spark):
     assert len(windows) > 2 and all(w["text"].startswith("<|im_start|>system") for w in windows)
 
 
+def test_chat_windows_fill_the_budget(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SECTION", 64)  # sections end inside the long conversation
+    r = random.Random(8)
+    rows = [(1, t, r.choice(["user", "assistant"]), prose(r.randint(5, 30), t)) for t in range(600)]
+    rows += [(2, t, "assistant", "&<|" * r.randint(1, 90)) for t in range(60)]  # text that grows when escaped
+    rows += [(3, 0, "system", prose(60, 1)), *((3, t, "us\ner", prose(r.randint(1, 80), t)) for t in range(1, 90))]
+    rows += [(4, 0, "system", prose(40, 2)), (4, 1, "user", prose(900, 3)), (4, 2, "assistant", "short"), (4, 3, "user", prose(20, 4))]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    path = tokenizer_path("byte_bpe_50k.json")
+    whole = tokenizers.Tokenizer.from_file(path)
+    made = defaultdict(list)
+    for w in chat.windows(turns, path).orderBy("conv_id", "window").collect():
+        shown = w["text"].split(chat.END)[:-1]
+        made[w["conv_id"]].append((len(whole.encode(w["text"], add_special_tokens=False).ids), shown[: w["repeated"]], shown[w["repeated"] :]))
+    for conv in (1, 2, 3):
+        sizes = [n for n, _, _ in made[conv]]
+        assert max(sizes) <= chat.MAX_TOKENS
+    full = [n for n, _, _ in made[1]]
+    assert sum(full) / len(full) > 0.85 * chat.MAX_TOKENS
+    for conv, windows in made.items():  # each turn is new once, in order; what repeats are the turns just before
+        before = []
+        lead = [f"{chat.START}{r}\n{x}" for c, t, r, x in rows if c == conv and t == 0 and r == "system"]
+        for i, (n, repeated, fresh) in enumerate(windows):
+            assert fresh and (i == 0 or repeated[: len(lead)] == lead)
+            history = repeated[len(lead) if i else 0 :]
+            assert len(history) <= chat.HISTORY_TURNS and before[len(before) - len(history) :] == history
+            before += fresh
+        assert len(before) == sum(c == conv for c, *_ in rows)
+    assert [n > chat.MAX_TOKENS for n, _, _ in made[4]] == [True, False]  # only the turn that fits nowhere exceeds
+
+
 def weighted_classes(texts, sketch, n):
     idf = weighted_minhash.inverse_frequencies(sketch, n)
     vectors = {}
