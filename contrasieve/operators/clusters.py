@@ -35,18 +35,114 @@ def membership_entropy(probabilities: Column) -> Column:
     )
 
 
-def kmeans_sweep(df: DataFrame, features: str, ks, seed: int = 42) -> DataFrame:
-    """Inertia and silhouette for every ``k``; the silhouette is linear in the rows."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-
-    judge = ClusteringEvaluator(featuresCol=features, predictionCol="_c", distanceMeasure="cosine")
-    rows = []
-    for k in ks:
-        model = KMeans(k=k, featuresCol=features, predictionCol="_c", distanceMeasure="cosine", seed=seed, maxIter=20).fit(df)
-        rows.append((int(k), float(model.summary.trainingCost), float(judge.evaluate(model.transform(df)))))
-    out = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-    return out.withColumn("best", F.col("silhouette") == out.agg(F.max("silhouette")).scalar())
+def sample_starts(data: DataFrame, vector: str, k: int, seed: int, sample: int = 4096) -> np.ndarray:
+    """k spread-out rows: each next one is drawn by squared distance to the nearest before.
+
+    They are drawn from the first ``sample`` different rows by hash, which bounds what reaches the driver.
+    """
+    rows = data.select(vector).distinct().orderBy(F.xxhash64(vector, F.lit(seed)), vector).limit(sample).collect()
+    x = np.array([r[0] for r in rows], dtype=float)
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    near = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < min(k, len(x)):
+        chosen.append(int(rng.choice(len(x), p=near / near.sum())))
+        near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
+def kmeans_sweep(
+    df: DataFrame, features: str, ks, seed: int = 42, rounds: int = 300, tolerance: float = 1e-4, starts: dict[int, np.ndarray] | None = None
+) -> DataFrame:
+    """(k, inertia, silhouette, rounds, best) of clusters by cosine distance, one row per ``k``.
+
+    One pass of the rows a round serves every ``k``: a task multiplies its rows by all centres at once and adds up vectors and
+    counts per centre, and the driver holds these sums alone. A ``k`` rests when no centre moved by more than ``tolerance``;
+    a centre without rows stays where it is. Zero and null vectors take no part. The silhouette needs one more pass, linear in the rows.
+    A ``k`` above the number of different rows gets as many centres as there are; without rows there are no results.
+    """
+    unit = F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, y: acc + y * y)))
+    rows = df.select(F.col(features).cast("array<double>").alias("v")) if dict(df.dtypes)[features].startswith("array") else _as_arrays(df, features)
+    data = cut_lineage(rows.where(F.exists("v", lambda x: x != 0)).select(unit.alias("v")))
+    schema = "k int, inertia double, silhouette double, rounds int, best boolean"
+    if data.isEmpty():
+        return df.sparkSession.createDataFrame([], schema)
+    ks = sorted(set(ks))
+    if starts is None:
+        spread = sample_starts(data, "v", max(ks), seed)
+        starts = {k: spread[:k] for k in ks}
+    centres = {k: c / np.linalg.norm(c, axis=1, keepdims=True) for k, c in starts.items()}
+    dims = next(iter(centres.values())).shape[1]
+
+    def one_pass(width: dict[int, int], measure) -> dict[int, np.ndarray]:
+        """Per k, ``width`` sums over all rows of what ``measure`` (rows -> k -> sums) gives."""
+        offset = dict(zip(width, np.cumsum([0, *width.values()])))
+        size = sum(width.values())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(size)
+            for batch in batches:
+                x = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
+                for k, part in measure(x):
+                    out[offset[k] : offset[k] + width[k]] += part
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(out)], ["slot", "part"])
+
+        parts = data.mapInArrow(run, "slot bigint, part double").groupBy("slot").agg(F.sum("part").alias("part")).toArrow()
+        out = np.zeros(size)
+        out[parts["slot"].to_numpy()] = parts["part"].to_numpy()
+        return {k: out[offset[k] : offset[k] + width[k]] for k in width}
+
+    def assign(x: np.ndarray, models: dict[int, np.ndarray]):
+        """For every k of ``models``, the nearest centre and its cosine, out of one product."""
+        near = x @ np.concatenate(list(models.values())).T
+        for k, part in zip(models, np.split(near, np.cumsum([len(c) for c in models.values()])[:-1], axis=1)):
+            yield k, part.argmax(axis=1), part.max(axis=1)
+
+    def totals(models: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+        def measure(x: np.ndarray):
+            for k, which, cosine in assign(x, models):
+                hot = np.eye(len(models[k]))[which]
+                yield k, np.concatenate([[(1 - cosine).sum()], hot.sum(axis=0), (hot.T @ x).ravel()])
+
+        flat = one_pass({k: 1 + len(c) * (1 + dims) for k, c in models.items()}, measure)
+        return {k: (v[0], v[1 : 1 + len(models[k])], v[1 + len(models[k]) :].reshape(-1, dims)) for k, v in flat.items()}
+
+    took, moving = dict.fromkeys(ks, 0), list(ks)
+    for _ in range(rounds):
+        if not moving:
+            break
+        for k, (_, n, sums) in totals({k: centres[k] for k in moving}).items():
+            norm = np.linalg.norm(sums, axis=1)
+            new = np.where(((n > 0) & (norm > 0))[:, None], sums / np.where(norm > 0, norm, 1)[:, None], centres[k])
+            took[k] += 1
+            if np.linalg.norm(new - centres[k], axis=1).max() <= tolerance:
+                moving.remove(k)
+            centres[k] = new
+    final = totals(centres)
+
+    def widths(x: np.ndarray):
+        for k, which, _ in assign(x, centres):
+            _, n, sums = final[k]
+            mean = 1 - x @ np.where(n > 0, sums.T / np.maximum(n, 1), 0)
+            mean[:, n == 0] = np.inf
+            at = np.arange(len(x)), which
+            own = mean[at] * n[which] / np.maximum(n[which] - 1, 1)
+            mean[at] = np.inf
+            other = mean.min(axis=1)
+            most = np.maximum(own, other)
+            fine = (n[which] > 1) & np.isfinite(other) & (most > 0)
+            yield k, np.array([np.where(fine, (other - own) / np.where(fine, most, 1), 0).sum(), len(x)])
+
+    judged = one_pass(dict.fromkeys(ks, 2), widths)
+    shape = {k: float(total / n) for k, (total, n) in judged.items()}
+    best = max(ks, key=lambda k: (shape[k], -k))
+    return df.sparkSession.createDataFrame([(int(k), float(final[k][0]), shape[k], took[k], k == best) for k in ks], schema)
+
+
+def _as_arrays(df: DataFrame, features: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return df.select(vector_to_array(features).alias("v"))
 
 
 def diagonal_mixture(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +32,84 @@ def presence_table(df: DataFrame, key: str, tokens: Column, n_min: int = 1, n_ma
     )
 
 
+def _slots(words: pa.Array, n: int, bits: int) -> np.ndarray:
+    """A slot of 2^bits for each n-gram of ``words``, the same in every task."""
+    coded = words.dictionary_encode()
+    hashed = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)[coded.indices.to_numpy(zero_copy_only=False)]
+    out = hashed[: len(words) - n + 1].copy()
+    for i in range(1, n):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashed[i : len(words) - n + 1 + i]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (out >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bitmap(terms: DataFrame, n: int, bits: int) -> np.ndarray:
+    """One bit per slot that an n-gram of the table has: 2^bits / 8 bytes, whatever the table's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                slot = _slots(pa.compute.split_pattern(batch["term"], " ").flatten(), n, bits)[::n]
+                yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(np.int64(1) << (slot & 63))], ["at", "bits"])
+
+    words = terms.select("term").mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(max(1 << bits >> 6, 1), np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def grown_ngrams(
+    df: DataFrame, key: str, tokens: Column, counts: Mapping[str, Column], n_max: int = 4, min_docs: int = 5, carry: Sequence[str] = (), bits: int = 24
+) -> DataFrame:
+    """(term, n_words, n_docs, *counts) of every n-gram that ``min_docs`` documents or more contain.
+
+    Level by level: a longer n-gram is counted only where both (n-1)-grams in it reached the minimum, so nearly all long
+    ones never leave their task. Those are marked in a bitmap of 2^``bits`` slots, whose size is fixed; a slot that two terms share only
+    lets more candidates through, and counts stay exact. ``counts`` are aggregates over a term's documents, which hold the
+    key and ``carry``. Tokens hold no spaces. Null token arrays, null tokens and empty tables give no terms. One row of
+    ``df`` is one document, whatever its key.
+    """
+    words_of = F.coalesce(F.filter(tokens, lambda w: w.isNotNull()), F.array().cast("array<string>"))
+    arrays = cut_lineage(df.select(key, *carry, words_of.alias("_tokens")))
+    kept = [key, *carry]
+    kinds = ", ".join(f"`{c}` {dict(arrays.dtypes)[c]}" for c in kept)
+    levels, before = [], None
+    for n in range(1, n_max + 1):
+
+        def run(batches: Iterator[pa.RecordBatch], n: int = n, before: np.ndarray | None = before) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    lists = batch["_tokens"]
+                    words = lists.flatten()
+                    if len(words) < n:
+                        continue
+                    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+                    row = np.repeat(np.arange(len(size)), size)
+                    starts = np.flatnonzero(row[: len(words) - n + 1] == row[n - 1 :])
+                    old = _slots(words, n - 1, bits)
+                    known = (before[old >> 3] >> (old & 7).astype(np.uint8)) & 1 == 1
+                    starts = starts[known[starts] & known[starts + 1]]
+                    parts = [words.take(pa.array(starts + i)) for i in range(n)]
+                    term = pa.compute.binary_join_element_wise(*parts, " ")
+                    pairs = pd.DataFrame({"row": row[starts], "term": term.dictionary_encode().indices.to_numpy(zero_copy_only=False)})
+                    once = np.flatnonzero(~pairs.duplicated().to_numpy())
+                    of = pa.array(row[starts][once])
+                    yield pa.RecordBatch.from_arrays([*(batch[c].take(of) for c in kept), term.take(pa.array(once))], [*kept, "term"])
+
+        rows = arrays.mapInArrow(run, f"{kinds}, term string") if n > 1 else presence_table(arrays, key, F.col("_tokens"), carry=carry)
+        counted = rows.groupBy("term").agg(F.count("*").alias("n_docs"), *(c.alias(name) for name, c in counts.items()))
+        levels.append(cut_lineage(counted.where(F.col("n_docs") >= min_docs).withColumn("n_words", F.lit(n))))
+        if n < n_max:
+            before = _bitmap(levels[-1], n, bits)
+            if not before.any():
+                break
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.select("term", "n_words", "n_docs", *counts)
+
+
 def document_frequency(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return presence_table(df, key, tokens).groupBy("term").agg(F.count("*").alias("n_docs"))
 

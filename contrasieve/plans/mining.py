@@ -144,16 +144,16 @@ def x6w(spark, d):
     cn AS (SELECT term, count(DISTINCT doc_id) FILTER (WHERE label <> 'geral') AS n_pos, count(DISTINCT doc_id) FILTER (WHERE label = 'geral') AS n_neg, min(doc_id) FILTER (WHERE label <> 'geral') AS example FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
     nn AS (SELECT count(*) FILTER (WHERE label <> 'geral')::DOUBLE AS a, count(*) FILTER (WHERE label = 'geral')::DOUBLE AS b FROM texts),
     s AS (SELECT term, n_pos, n_neg, example, len(string_split(term, ' ')) AS n_words, ln(((n_pos + 1) / (a + 2)) / ((n_neg + 1) / (b + 2))) AS lo FROM cn, nn)
-    SELECT term, n_pos, n_neg, CAST(n_words AS INTEGER) AS n_words, example, {R('lo * (1 + (n_words - 1) * 0.3)')} AS score FROM s WHERE lo > 0""",
+    SELECT term, n_pos, n_neg, CAST(n_words AS INTEGER) AS n_words, example, text AS example_text, {R('lo * (1 + (n_words - 1) * 0.3)')} AS score FROM s LEFT JOIN texts ON doc_id = example WHERE lo > 0""",
 )
 def x7(spark, d):
     t = texts(spark, d)
-    presence = terms.presence_table(t, "doc_id", doc_tokens(), 1, 4, carry=["label"])
-    counted = presence.groupBy("term").agg(
-        F.count_if(is_pos()).alias("n_pos"), F.count_if(~is_pos()).alias("n_neg"), F.min(F.when(is_pos(), F.col("doc_id"))).alias("example")
-    )
+    sums = {"n_pos": F.count_if(is_pos()), "n_neg": F.count_if(~is_pos()), "example": F.min(F.when(is_pos(), F.col("doc_id")))}
+    counted = terms.grown_ngrams(t, "doc_id", doc_tokens(), sums, carry=["label"])
     out = terms.domain_terms(counted, *terms.class_sizes(t, is_pos()))
-    return out.select("term", "n_pos", "n_neg", "n_words", "example", r(F.col("score")).alias("score"))
+    shown = t.select(F.col("doc_id").alias("example"), F.col("text").alias("example_text"))
+    out = out.join(shown, "example", "left")
+    return out.select("term", "n_pos", "n_neg", "n_words", "example", "example_text", r(F.col("score")).alias("score"))
 
 
 @query(
