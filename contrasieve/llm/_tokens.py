@@ -1,8 +1,9 @@
 """Token ids of whole Arrow columns by the tokenizers library.
 
-A text is cut wherever white space follows something else, and where one of ``.,;:!?`` follows an ASCII letter. Both
-public vocabularies start a new token there whatever comes next, so a piece has the same ids wherever it stands. Each distinct piece of a slice is encoded once,
-and the pieces met so far stay in a table of the Python process, of a fixed size.
+A text is cut wherever white space follows something else, and where one of ``.,;:!?#$%&*()`` follows a letter of
+ASCII or Latin-1. Both public vocabularies start a new token there whatever comes next, so a piece has the same ids
+wherever it stands. Each distinct piece of a slice is encoded once, and the pieces met so far stay in a table of the
+Python process, of a fixed size.
 
 Where a vocabulary marks the ends of words, pieces of white space and letters are encoded many in one text, which takes
 half the time: as many end marks as pieces means one word a piece, whose ids end at its mark. A text with another
@@ -31,7 +32,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _STOP = np.zeros(256, bool)
-_STOP[list(b".,;:!?")] = True
+_STOP[list(b".,;:!?#$%&*()")] = True
 _WIDE = np.zeros(256, bool)
 _WIDE[[0xE1, 0xE2, 0xE3]] = True
 
@@ -52,7 +53,9 @@ def pieces(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         wide = (at > 1) & (second == 0xC2) & ((last == 0x85) | (last == 0xA0)) | (at > 2) & _WIDE[third]
         cut[at[~wide]] = True
         stop = np.flatnonzero(_STOP[data[1:]]) + 1
-        cut[stop[_LETTER[data[stop - 1]]]] = True
+        last = data[stop - 1]
+        latin = (stop > 1) & (data[np.maximum(stop, 2) - 2] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+        cut[stop[_LETTER[last] | latin]] = True
     cut[bounds] = True
     cut[len(data)] = True
     return np.flatnonzero(cut)
