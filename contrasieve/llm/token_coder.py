@@ -29,7 +29,8 @@ BLOCK, CHUNK, END_ID = 2048, 1 << 23, 2
 TILE = 64
 #: Bits of the shares of one step, of the order-0 frequencies, and slots of a block's context tables.
 SHARE, BASE, SLOTS = 24, 20, 256
-_MASK48, _TOP, _LEAST = np.uint64((1 << 48) - 1), np.uint64(1 << 32), np.uint64(1 << 30)
+#: A span below the first may have its upper 32 bits settled; none is below the second when a step begins.
+_TOP, _LEAST, _ALL = np.uint64(1 << 32), np.uint64(1 << 30), np.uint64((1 << 64) - 1)
 _U = np.uint64
 
 
@@ -115,8 +116,8 @@ def encode(ids: np.ndarray, value: np.ndarray, share: np.ndarray, block: int = B
     # two rows of zeros ahead: what comes before a block
     grid = np.concatenate([np.zeros((2, lanes), np.int32), grid.reshape(lanes, block).T])
     (start0, width0), model = _tables(value, share), Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK48, np.uint64)
-    words, count = np.zeros((lanes, 3 * block + 8), np.uint16), np.zeros(lanes, np.int64)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _ALL, np.uint64)
+    words, count = np.zeros((lanes, block + 2), np.uint32), np.zeros(lanes, np.int64)
     for first in range(0, block, TILE):
         # contexts and order-0 parts of some steps at once: all ids are known here
         last = min(first + TILE, block)
@@ -132,35 +133,33 @@ def encode(ids: np.ndarray, value: np.ndarray, share: np.ndarray, block: int = B
             part = span[:n] >> _U(SHARE)
             low[:n] += part * begin.view(np.uint64)
             span[:n] = part * size.view(np.uint64)
-            _renormalise(low, span, n, words, count)
-    for _ in range(3):
-        words[np.arange(lanes), count] = (low >> _U(32)).astype(np.uint16)
-        low = (low << _U(16)) & _MASK48
+            go, words_out = _renormalise(low, span, n)
+            words[go, count[go]] = words_out
+            count[go] += 1
+    every = np.arange(lanes)
+    for shift in (32, 0):
+        words[every, count] = (low >> _U(shift)).astype(np.uint32)
         count += 1
     return [words[k, : count[k]].tobytes() for k in range(lanes)]
 
 
-def _due(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes whose top word is settled, and lanes whose span has become too small while it is not."""
-    settled = (low ^ (low + span)) < _TOP
-    return settled, ~settled & (span < _LEAST)
+def _renormalise(low: np.ndarray, span: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shift out the upper word of the first ``n`` lanes where it is settled or the span too small; lanes and words.
 
-
-def _renormalise(low, span, n, words, count) -> None:
-    here = None
-    while True:
-        a, b = (low[:n], span[:n]) if here is None else (low[here], span[here])
-        settled, small = _due(a, b)
-        go = np.flatnonzero(settled | small)
-        if not len(go):
-            return
-        at = go if here is None else here[go]
-        cut = small[go]
-        span[at] = np.where(cut, (~low[at] + _U(1)) & (_LEAST - _U(1)), span[at]) << _U(16)
-        words[at, count[at]] = (low[at] >> _U(32)).astype(np.uint16)
-        count[at] += 1
-        low[at] = (low[at] << _U(16)) & _MASK48
-        here = at
+    One word a step is enough: no step takes more than 24 bits of a span, so 2 ** 30 leaves 2 ** 6, and 2 ** 38 when shifted.
+    """
+    go = np.flatnonzero(span[:n] < _TOP)
+    a, b = low[go], span[go]
+    open_ = (a ^ (a + b)) >= _TOP  # the lane's range lies across a change of the upper word
+    cut = open_ & (b < _LEAST)
+    stay = open_ & ~cut
+    if stay.any():
+        keep = np.flatnonzero(~stay)
+        go, a, b, cut = go[keep], a[keep], b[keep], cut[keep]
+    # a small span that lies across the change ends there
+    span[go] = np.where(cut, (~a + _U(1)) & (_LEAST - _U(1)), b) << _U(32)
+    low[go] = a << _U(32)
+    return go, (a >> _U(32)).astype(np.uint32)
 
 
 def decode(blocks: list[bytes], total: int, value: np.ndarray, share: np.ndarray, block: int = BLOCK) -> np.ndarray:
@@ -169,16 +168,16 @@ def decode(blocks: list[bytes], total: int, value: np.ndarray, share: np.ndarray
     lanes = len(sizes)
     if not lanes:
         return np.zeros(0, np.uint32)
-    data = np.frombuffer(b"".join(blocks) + bytes(8), np.uint16)
-    sizes16 = np.array([len(b) >> 1 for b in blocks], np.int64)
-    at = np.cumsum(sizes16) - sizes16
+    data = np.frombuffer(b"".join(blocks) + bytes(8), np.uint32)
+    counts = np.array([len(b) >> 2 for b in blocks], np.int64)
+    at = np.cumsum(counts) - counts
     (start0, width0), model = _tables(value, share), Model(lanes)
     slot = np.repeat(value, share).astype(np.int32)
     one, two = np.zeros((2, lanes), np.int32)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK48, np.uint64)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _ALL, np.uint64)
     code = np.zeros(lanes, np.uint64)
-    for _ in range(3):
-        code = (code << _U(16)) | data[at]
+    for _ in range(2):
+        code = (code << _U(32)) | data[at]
         at += 1
     out = np.zeros((block, lanes), np.uint32)
     for t in range(block):
@@ -198,20 +197,10 @@ def decode(blocks: list[bytes], total: int, value: np.ndarray, share: np.ndarray
         one, two = now, one[:n]
         low[:n] += part * begin.view(np.uint64)
         span[:n] = part * width.view(np.uint64)
-        here = None
-        while True:
-            a, b = (low[:n], span[:n]) if here is None else (low[here], span[here])
-            settled, small = _due(a, b)
-            go = np.flatnonzero(settled | small)
-            if not len(go):
-                break
-            lane = go if here is None else here[go]
-            cut = small[go]
-            span[lane] = np.where(cut, (~low[lane] + _U(1)) & (_LEAST - _U(1)), span[lane]) << _U(16)
-            code[lane] = ((code[lane] << _U(16)) & _MASK48) | data[np.minimum(at[lane], len(data) - 1)]
-            at[lane] += 1
-            low[lane] = (low[lane] << _U(16)) & _MASK48
-            here = lane
+        go, _ = _renormalise(low, span, n)
+        place = at[go]
+        code[go] = (code[go] << _U(32)) | data[np.minimum(place, len(data) - 1)]
+        at[go] = place + 1
     return np.ascontiguousarray(out.T).reshape(-1)[_kept(sizes, block)]
 
 
@@ -225,12 +214,12 @@ _HEAD = "<4sI"
 
 def _base_bytes(value: np.ndarray, share: np.ndarray) -> bytes:
     steps = np.diff(value, prepend=value[:1] * 0).astype(np.uint32)
-    return struct.pack(_HEAD, b"CMR1", len(value)) + zlib.compress(steps.tobytes() + share.tobytes(), 6)
+    return struct.pack(_HEAD, b"CMR2", len(value)) + zlib.compress(steps.tobytes() + share.tobytes(), 6)
 
 
 def _base_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     mark, n = struct.unpack_from(_HEAD, data)
-    if mark != b"CMR1":
+    if mark != b"CMR2":
         raise ValueError("not a chunk of this format")
     both = np.frombuffer(zlib.decompress(data[struct.calcsize(_HEAD) :]), np.uint32)
     return np.cumsum(both[:n], dtype=np.uint64).astype(np.uint32), both[n:]
