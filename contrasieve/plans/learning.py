@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contrasieve.functions import text as tx
-from contrasieve.operators import features, learn, metrics, neighbours, pairs, rules, sampling
+from contrasieve.operators import features, learn, metrics, sampling
 from contrasieve.plans.joins import SCORED, scored
 from contrasieve.session import cut_lineage
 from contrasieve.plans.registry import query, table
@@ -247,16 +247,6 @@ def m14(spark, d):
     return learn.mean_of_best(learn.calibrate_folds(cut_lineage(best)), quality, "vec_id", score="calibrated")
 
 
-@query(
-    "m15_vote_consensus",
-    f"""WITH {SCORED} SELECT id, (p >= 0.5)::INT + ({SCORE('id', 'a')} >= 0.5)::INT + ({SCORE('id', 'b')} >= 0.5)::INT AS votes FROM scored
-    WHERE label = 'geral' AND (p >= 0.5)::INT + ({SCORE('id', 'a')} >= 0.5)::INT + ({SCORE('id', 'b')} >= 0.5)::INT >= 2""",
-)
-def m15(spark, d):
-    votes = rules.count_flags([F.col("p") >= 0.5, score(F.col("id"), "a") >= 0.5, score(F.col("id"), "b") >= 0.5])
-    return scored(spark, d).filter(is_geral()).select("id", votes.alias("votes")).filter("votes >= 2")
-
-
 PU = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, label IN (0, 1, 2) AS pos FROM embeddings),
   m AS (SELECT i, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e WHERE pos) GROUP BY 1), c AS (SELECT list(m ORDER BY i) AS c FROM m),
   s AS (SELECT vec_id, label, pos, round(list_dot_product(v, c) / sqrt(list_dot_product(v, v) * list_dot_product(c, c)), 9) AS sim FROM e, c),
@@ -285,27 +275,6 @@ def m18(spark, d):
     return pu(spark, d).select("vec_id", learn.weak_labels(F.col("y") == 1, F.col("candidate")).alias("weak"))
 
 
-@query(
-    "m19_suspicion",
-    f"""WITH {PU}, g AS (SELECT vec_id, sim, {SCORE('vec_id')} AS p, rank() OVER (ORDER BY sim) AS k, count(*) OVER (PARTITION BY sim) AS c, count(*) OVER () AS n FROM pu WHERE NOT pos)
-    SELECT vec_id, {R('p * (0.5 + 0.5 * (k + (c - 1) / 2.0) / n)')} AS suspicion FROM g""",
-)
-def m19(spark, d):
-    g = pu(spark, d).filter("y = 0").select("vec_id", "sim", score(F.col("vec_id")).alias("p"))
-    return learn.suspicion(g, "p", "sim").select("vec_id", r(F.col("suspicion")).alias("suspicion"))
-
-
-@query(
-    "m20_ranking",
-    f"""WITH {TEXTS}, x AS (SELECT doc_id, source, left(lower(text), 80) AS k, {SCORE('doc_id')} AS p FROM texts WHERE label = 'geral')
-    SELECT doc_id, {R('p')} AS p FROM (SELECT * FROM x WHERE p >= 0.4 QUALIFY row_number() OVER (PARTITION BY k, source ORDER BY p DESC, doc_id) = 1) ORDER BY p DESC, doc_id LIMIT 5000""",
-)
-def m20(spark, d):
-    x = texts(spark, d).filter(is_geral()).select("doc_id", "source", F.substring(F.lower("text"), 1, 80).alias("k"), score(F.col("doc_id")).alias("p"))
-    best = pairs.keep_best(x.filter("p >= 0.4"), ["k", "source"], "p", "doc_id")
-    return pairs.ranked(best, ["p"], "doc_id").limit(5000).select("doc_id", r(F.col("p")).alias("p"))
-
-
 @query(
     "m21_active_sample",
     f"""WITH {SCORED}, g AS (SELECT id, p FROM scored WHERE label = 'geral'), u AS (SELECT 'uncertainty' AS strategy, id, round(-greatest(p, 1 - p), 9) AS s FROM g UNION ALL SELECT 'margin', id, round(-abs(2 * p - 1), 9) FROM g

@@ -8,7 +8,6 @@ from contrasieve.functions import clean as cl
 from contrasieve.functions import text as tx
 from contrasieve.operators import joins, metrics, neighbours, pairs, rules
 from contrasieve.plans.aggregates import CODE, coded
-from contrasieve.plans.joins import SCORED, scored
 from contrasieve.plans.registry import query, table
 from contrasieve.plans.standin import (
     CORPUS_FAMILIES, CORPUS_OBVIOUS, FACT, FACT_AGENCY, R, SCORE, TEXTS, fact, fact_agency, r, score, texts,
@@ -159,24 +158,6 @@ def r7(spark, d):
     return c.select("*", *[(F.col("n_signals") >= k).alias(f"robust{k}") for k in (2, 3, 4)])
 
 
-@query(
-    "r8_four_signals",
-    f"""WITH {TEXTS}, {TRIAGED}, x AS (SELECT t.doc_id, d.source, left(lower(d.text), 80) AS k, {SCORE('t.doc_id')} AS p, {SCORE('t.doc_id', 'v')} AS vote, t.mk_score >= 3 AS clus, t.pattern IS NOT NULL AS obv
-      FROM tri t JOIN documents d ON t.doc_id = d.doc_id WHERE t.label = 'geral'),
-    n AS (SELECT *, (p >= 0.6)::INT + (vote >= 0.5)::INT + clus::INT + obv::INT AS n_signals FROM x)
-    SELECT doc_id, n_signals, {R('p')} AS p FROM n QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY n_signals DESC, p DESC, doc_id) = 1""",
-)
-def r8(spark, d):
-    t = triaged(spark, d).filter(is_geral()).withColumn("p", score(F.col("doc_id"))).withColumn("vote", score(F.col("doc_id"), "v"))
-    n = rules.count_flags([F.col("p") >= 0.6, F.col("vote") >= 0.5, F.col("mk_score") >= 3, F.col("pattern").isNotNull()])
-    keys = table(spark, d, "documents").select("doc_id", "source", F.substring(F.lower("text"), 1, 80).alias("k"))
-    ranked = t.withColumn("n_signals", n).join(keys, "doc_id")
-    from contrasieve.sources.tables import keep_first
-
-    best = keep_first(ranked.select("doc_id", "source", "k", "n_signals", "p"), ["source", "k"], [-F.col("n_signals"), -F.col("p"), F.col("doc_id")])
-    return best.select("doc_id", "n_signals", r(F.col("p")).alias("p"))
-
-
 @query(
     "r9_confidence_bands",
     f"""WITH {CODE}, {CONSOLIDATED} SELECT CASE WHEN n_signals <= 0 THEN 'sem_sinal' WHEN n_signals <= 1 THEN 'fraco_1' WHEN n_signals <= 2 THEN 'moderado_2' ELSE 'forte_3+' END AS band, count(*) AS n
@@ -266,19 +247,6 @@ def r14(spark, d):
     return m.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "r15_high_precision",
-    f"WITH {SCORED} SELECT id, {R('p')} AS p, (p >= 0.75)::INT + ({SCORE('id', 'a')} >= 0.5)::INT + ({SCORE('id', 'b')} >= 0.5)::INT AS votes FROM scored "
-    f"WHERE label = 'geral' AND p >= 0.75 AND (p >= 0.75)::INT + ({SCORE('id', 'a')} >= 0.5)::INT + ({SCORE('id', 'b')} >= 0.5)::INT >= 2",
-)
-def r15(spark, d):
-    g = scored(spark, d).filter(is_geral()).select("id", "p")
-    votes = rules.count_flags([F.col("p") >= 0.75, score(F.col("id"), "a") >= 0.5, score(F.col("id"), "b") >= 0.5])
-    consensus = g.withColumn("votes", votes).filter("votes >= 2").select("id", "votes")
-    out = pairs.intersect_suspects(g.filter("p >= 0.75"), consensus, "id")
-    return out.withColumn("p", r(F.col("p")))
-
-
 @query(
     "r16_evidence_sheet",
     f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, {SCORE('vec_id')} AS p FROM embeddings), seeds AS (SELECT * FROM v ORDER BY p DESC, vec_id LIMIT 15),

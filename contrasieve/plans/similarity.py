@@ -144,19 +144,6 @@ def k12(spark, d):
     return outliers.novelty(v, "vec_id", "embedding", "general")
 
 
-@query(
-    "k13_detector_ensemble",
-    f"""WITH x AS (SELECT o_orderkey, o_totalprice AS a, {SCORE('o_orderkey', 'b')} AS b, {SCORE('o_orderkey', 'c')} AS c FROM orders),
-    n AS (SELECT o_orderkey, (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) AS a, (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) AS b, (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) AS c,
-      row_number() OVER (ORDER BY a DESC, o_orderkey) AS ra, row_number() OVER (ORDER BY b DESC, o_orderkey) AS rb, row_number() OVER (ORDER BY c DESC, o_orderkey) AS rc FROM x)
-    SELECT o_orderkey, {R('(a + b + c) / 3')} AS mean_score, {R('greatest(a, b, c)')} AS max_score, CAST((ra <= 1000)::INT + (rb <= 1000)::INT + (rc <= 1000)::INT AS BIGINT) AS votes, (ra <= 1000)::INT + (rb <= 1000)::INT + (rc <= 1000)::INT >= 2 AS consensus FROM n""",
-)
-def k13(spark, d):
-    x = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("a"), score(F.col("o_orderkey"), "b").alias("b"), score(F.col("o_orderkey"), "c").alias("c"))
-    out = outliers.detector_ensemble(x, "o_orderkey", ["a", "b", "c"], 1000)
-    return out.withColumn("mean_score", r(F.col("mean_score"))).withColumn("max_score", r(F.col("max_score")))
-
-
 #: Shares after each round; the answer is the first multiple of 5 rounds whose shares moved by less than the tolerance.
 SPREAD_SQL = f"""WITH RECURSIVE {KNN(7)}, g AS MATERIALIZED (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, sim AS w FROM knn UNION ALL SELECT dst, src, sim FROM knn) GROUP BY 1, 2),
   lab AS MATERIALIZED (SELECT vec_id AS v, label FROM embeddings WHERE {SCORE('vec_id', 'h')} >= 0.3),

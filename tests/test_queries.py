@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "t3_tokens", "t11_markers", "s9_accumulate", "f16_quartile_bands", "j1_attach_signals", "j11_co_occurrence", "a2_crosstab",
     "a14_pair_aggregate", "w4_percentile_rank", "x2_tfidf", "m10_threshold_sweep", "m16_pu_centroid", "k1_knn_graph", "g3_page_rank",
-    "ts2_decompose", "r1_triage", "r10_procedure_verdict", "st4_case_state",
+    "ts2_decompose", "r1_triage", "r8_four_signals", "k13_detector_ensemble", "r10_procedure_verdict", "st4_case_state",
 ]
 ORACLES = entry_module.oracle_sql()
 NAMES = sorted(ORACLES) if os.environ.get("CONTRASIEVE_ALL") else SAMPLE
