@@ -2,9 +2,10 @@
 
 Vectors are put on the unit sphere and equal ones are merged, so a group of copies is compared
 once. A stock that is small (counted first) is sent to every task. A larger one is split into
-cells around pivots: each query searches its own cell, then only the cells that the triangle
-inequality cannot rule out. Inside a task one block of queries meets one block of stock in a
-matrix product, and only the best ``k`` per query leave it.
+cells around pivots, and cells are put together on shelves of at most ``BLOCK_CELLS`` numbers: each query
+searches its own shelf, then only the shelves with a cell that the triangle inequality cannot rule out, so a
+vector travels once per shelf and not once per cell. Inside a task one block of queries meets one block of
+stock in matrix products of bounded size, and only the best ``k`` per query leave it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,11 @@ from contrasieve.functions import vector as vx
 from contrasieve.operators.sampling import top_per_group
 from contrasieve.session import cut_lineage
 
-BLOCK = 2048
-BROADCAST_CELLS = 8_000_000
+BLOCK_CELLS = 4_000_000
+LEAST_BLOCK = 1024
+SHARES = 6
+PRODUCT = 2_000_000
+BROADCAST_CELLS = 2_000_000
 MAX_PIVOTS = 1024
 SLACK = 1e-6
 DIGITS = 9
@@ -38,26 +43,48 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, stock: np.ndarray, keys: list, k: int) -> pd.DataFrame:
+def _cells(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(column), -1)
+
+
+def _least(sims: np.ndarray, k: int) -> np.ndarray:
+    """A bound per row that at least ``k`` of its entries reach: the ``k``-th largest of the maxima of apart groups."""
+    n = sims.shape[1]
+    wide = max(1, min(64, n // (4 * k)))
+    tops = sims[:, : n // wide * wide].reshape(len(sims), wide, -1).max(axis=1) if wide > 1 else sims
+    at = max(0, tops.shape[1] - k)
+    return np.partition(tops, at, axis=1)[:, at]
+
+
+def _best(query_ids: pa.Array, queries: np.ndarray, stock: np.ndarray, keys: pa.ListArray, k: int) -> pa.Table:
     """Top ``k`` (h, dst, sim) of every query against a block; ties by key."""
-    step = max(1, 4_000_000 // max(1, len(stock)))
-    copies = np.array([len(x) for x in keys])
-    flat = np.concatenate([np.asarray(x) for x in keys])
+    step = max(1, PRODUCT // max(1, len(stock)))
+    copies = keys.value_lengths().to_numpy(zero_copy_only=False)
+    flat = keys.flatten()
     offsets = np.concatenate([[0], np.cumsum(copies)])
-    parts = []
+    empty = pa.array([], pa.int64())
+    parts = [pa.table({"q": empty, "dst": flat.take(empty), "sim": pa.array([], pa.float64())})]
     for lo in range(0, len(queries), step):
-        sims = np.round(queries[lo : lo + step] @ stock.T, DIGITS)
-        kth = np.partition(sims, max(0, sims.shape[1] - k), axis=1)[:, max(0, sims.shape[1] - k)]
-        row, col = np.nonzero(sims >= kth[:, None])
+        sims = queries[lo : lo + step] @ stock.T
+        row, col = np.nonzero(sims >= _least(sims, k)[:, None] - 2 * 10.0**-DIGITS)
+        sim = np.round(sims[row, col], DIGITS)
+        order = np.lexsort((-sim, row))
+        row, col, sim = row[order], col[order], sim[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kth = np.full(len(sims), -2.0)
+        kth[row[place == k - 1]] = sim[place == k - 1]
+        near = sim >= kth[row]
+        row, col, sim = row[near], col[near], sim[near]
         n = copies[col]
-        first = np.repeat(offsets[col], n)
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out = pd.DataFrame(
-            {"h": np.repeat(query_ids[lo + row], n), "dst": flat[first + inside], "sim": np.repeat(sims[row, col], n)}
-        )
-        out = out.sort_values(["h", "sim", "dst"], ascending=[True, False, True])
-        parts.append(out[out.groupby("h").cumcount() < k])
-    return pd.concat(parts, ignore_index=True)
+        dst = flat.take(pa.array(np.repeat(offsets[col], n) + inside))
+        found = pa.table({"q": np.repeat(lo + row, n), "dst": dst, "sim": np.repeat(sim, n)})
+        found = found.sort_by([("q", "ascending"), ("sim", "descending"), ("dst", "ascending")])
+        q = found["q"].to_numpy()
+        parts.append(found.take(pa.array(np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) < k))))
+    out = pa.concat_tables(parts)
+    return pa.table({"h": query_ids.take(out["q"]), "dst": out["dst"], "sim": out["sim"]})
 
 
 def knn_search(
@@ -78,7 +105,8 @@ def knn_search(
     elif size.n * size.dim <= broadcast_cells:
         lists = _search_broadcast(asked, points, k, kind)
     else:
-        lists = _search_cells(asked, points, k, kind, n_pivots or int(min(MAX_PIVOTS, max(2, round(size.n**0.5)))))
+        pivots = n_pivots or int(min(MAX_PIVOTS, max(2, round(size.n**0.5))))
+        lists = _search_cells(asked, points, k, kind, pivots, _block_rows(size.n, size.dim))
     return queries.select(F.col("key").alias("src"), "h").join(lists, "h").select("src", "dst", "sim")
 
 
@@ -109,48 +137,82 @@ def similarity_groups(df: DataFrame, key: str, vector: str, threshold: float, br
     kind = dict(points.dtypes)["key"]
     size = points.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     if size.n * (size.dim or 1) <= broadcast_cells:
-        stock = points.select("key", "v").collect()
-        shared = df.sparkSession.sparkContext.broadcast(
-            ([r["key"] for r in stock], np.array([r["v"] for r in stock], dtype=np.float64))
-        )
+        stock = points.select("key", "v").toArrow()
+        shared = df.sparkSession.sparkContext.broadcast((stock["key"].combine_chunks(), _cells(stock["v"]) if size.n else None))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, matrix = shared.value
             for batch in batches:
-                if len(batch):
-                    yield _forest(list(batch["key"]), _matrix(batch["v"]), keys, matrix, threshold)
+                if batch.num_rows:
+                    table = pa.Table.from_batches([batch])
+                    yield from _forest(batch["key"], _cells(table["v"]), keys, matrix, threshold).to_batches()
 
-        links = points.repartition("h").select("key", "v").mapInPandas(run, f"src {kind}, dst {kind}")
+        links = points.repartition("h").select("key", "v").mapInArrow(run, f"src {kind}, dst {kind}")
     else:
-        links = _links_by_cell(points, threshold, kind, n_pivots or int(min(MAX_PIVOTS, max(2, round(size.n**0.5)))))
+        pivots = n_pivots or int(min(MAX_PIVOTS, max(2, round(size.n**0.5))))
+        links = _links_by_cell(points, threshold, kind, pivots, size.n, _block_rows(size.n, size.dim))
+    links = links.filter("src <> dst")
     found = points.select("h", F.col("key").alias("vertex")).join(connected_components(links), "vertex", "left")
     groups = found.select("h", F.coalesce("component", "vertex").alias("component"))
     return rows.select(F.col("key").alias("vertex"), "h").join(groups, "h").select("vertex", "component")
 
 
-def _forest(a_keys: list, a: np.ndarray, b_keys: list, b: np.ndarray, threshold: float) -> pd.DataFrame:
-    """Spanning forest of the links between two blocks."""
-    parent: dict = {}
+def _forest(a_keys: pa.Array, a: np.ndarray, b_keys: pa.Array, b: np.ndarray, threshold: float) -> pa.Table:
+    """(src, dst): spanning forest of the links between two blocks, a row at a time."""
+    group = np.arange(len(b))  # groups of stock rows that the rows so far tie together
+    src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, PRODUCT // max(1, len(b)))
+    for lo in range(0, len(a), step):
+        linked = np.round(a[lo : lo + step] @ b.T, DIGITS) >= threshold
+        for i in np.flatnonzero(linked.any(axis=1)):
+            near = np.flatnonzero(linked[i])
+            met, first = np.unique(group[near], return_index=True)
+            src.append(np.full(len(met), lo + i))
+            dst.append(near[first])
+            if len(met) > 1:
+                joined = np.zeros(len(b), bool)
+                joined[met] = True
+                group[joined[group]] = met[0]
+    return pa.table({"src": a_keys.take(pa.array(np.concatenate(src))), "dst": b_keys.take(pa.array(np.concatenate(dst)))})
 
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    out = []
-    step = max(1, 4_000_000 // max(1, len(b)))
-    for lo in range(0, len(a), step):
-        row, col = np.nonzero(np.round(a[lo : lo + step] @ b.T, DIGITS) >= threshold)
-        for i, j in zip(row + lo, col):
-            x, y = find(a_keys[i]), find(b_keys[j])
-            if x != y:
-                parent[x] = y
-                out.append((a_keys[i], b_keys[j]))
-    return pd.DataFrame(out, columns=["src", "dst"])
+def _block_rows(n: int, dim: int) -> int:
+    """Rows of a block: a sixth of the table, but never more than ``BLOCK_CELLS`` numbers."""
+    return int(max(1, min(BLOCK_CELLS // max(1, dim), max(LEAST_BLOCK, -(-n // SHARES)))))
+
+
+def _shelves(sizes: np.ndarray, rows: int) -> np.ndarray:
+    """Shelf of every cell: cells in a row share one while they hold at most ``rows`` points together."""
+    shelf, full, at = np.zeros(len(sizes), np.int32), 0, 0
+    for cell, n in enumerate(sizes):
+        if full and full + n > rows:
+            at, full = at + 1, 0
+        shelf[cell], full = at, full + n
+    return shelf
+
 
+def _measured(stock: DataFrame, n_cells: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Radius (-1: empty) and shelf of every cell."""
+    radius, sizes = np.full(n_cells, -1.0), np.zeros(n_cells, np.int64)
+    for row in stock.groupBy("cell").agg(F.max("dist").alias("r"), F.count("*").alias("n")).collect():
+        radius[row.cell], sizes[row.cell] = row.r, row.n
+    return radius, _shelves(sizes, rows)
 
-def _links_by_cell(points: DataFrame, threshold: float, kind: str, n_pivots: int) -> DataFrame:
+
+def _on_shelf(shelf: np.ndarray):
+    return F.get(F.array(*[F.lit(int(s)) for s in shelf]), F.col("cell"))
+
+
+def _visits(batch: pd.DataFrame, open_cells: np.ndarray, shelf: np.ndarray, columns: list) -> Iterator[pd.DataFrame]:
+    """The rows of a batch once per shelf with an open cell, one shelf at a time."""
+    starts = np.searchsorted(shelf, np.arange(shelf[-1] + 1))
+    wanted = np.logical_or.reduceat(open_cells, starts, axis=1)
+    for at in range(wanted.shape[1]):
+        if wanted[:, at].any():
+            yield batch.loc[wanted[:, at], columns].assign(target=np.int32(at))
+
+
+def _links_by_cell(points: DataFrame, threshold: float, kind: str, n_pivots: int, n: int, rows: int) -> DataFrame:
     spark = points.sparkSession
     pivots = np.array([row.v for row in points.orderBy("h").limit(n_pivots).select("v").collect()])
     shared = spark.sparkContext.broadcast(pivots)
@@ -164,31 +226,27 @@ def _links_by_cell(points: DataFrame, threshold: float, kind: str, n_pivots: int
                 yield batch.assign(cell=cell.astype("int32"), dist=far[np.arange(len(cell)), cell])
 
     stock = cut_lineage(points.mapInPandas(assign, f"key {kind}, h string, v array<double>, cell int, dist double"))
-    radius = np.full(len(pivots), -1.0)
-    for row in stock.groupBy("cell").agg(F.max("dist").alias("r")).collect():
-        radius[row.cell] = row.r
-    bounds = spark.sparkContext.broadcast(radius)
+    radius, shelf = _measured(stock, len(pivots), rows)
+    bounds = spark.sparkContext.broadcast((radius, shelf))
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r, shelf = bounds.value
         for batch in batches:
             if len(batch):
                 far = np.sqrt(np.maximum(0.0, 2 - 2 * (_matrix(batch["v"]) @ shared.value.T)))
-                row, cell = np.nonzero((far - bounds.value[None, :] <= reach) & (bounds.value >= 0)[None, :])
-                yield pd.DataFrame({
-                    "key": batch["key"].to_numpy()[row], "h": batch["h"].to_numpy()[row],
-                    "v": batch["v"].to_numpy()[row], "target": cell.astype("int32"),
-                })
+                yield from _visits(batch, (far - r[None, :] <= reach) & (r >= 0)[None, :], shelf, ["key", "h", "v"])
 
-    asked = cut_lineage(stock.mapInPandas(visits, f"key {kind}, h string, v array<double>, target int"))
-    left, right = _pair_blocks(asked, stock, ["key", "v"], ["key", "v"])
+    asked = stock.mapInPandas(visits, f"key {kind}, h string, v array<double>, target int")
+    kept = stock.withColumn("target", _on_shelf(shelf))
+    left, right = _pair_blocks(asked, kept, ["key", "v"], ["key", "v"], rows, -(-n // rows))
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"src": [], "dst": []})
-        return _forest(list(a["key"]), _matrix(a["v"]), list(b["key"]), _matrix(b["v"]), threshold)
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not (a.num_rows and b.num_rows):
+            return pa.table({"src": a["key"].slice(0, 0), "dst": b["key"].slice(0, 0)})
+        return _forest(a["key"].combine_chunks(), _cells(a["v"]), b["key"].combine_chunks(), _cells(b["v"]), threshold)
 
     by = ["target", "q", "s"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, f"src {kind}, dst {kind}")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"src {kind}, dst {kind}")
 
 
 def top_similar(corpus: DataFrame, query: list[float], key: str, vector: str, k: int) -> DataFrame:
@@ -198,22 +256,21 @@ def top_similar(corpus: DataFrame, query: list[float], key: str, vector: str, k:
 
 
 def _search_broadcast(asked: DataFrame, points: DataFrame, k: int, kind: str) -> DataFrame:
-    rows = points.select("v", "keys").collect()
-    shared = asked.sparkSession.sparkContext.broadcast(
-        (np.array([r.v for r in rows], dtype=np.float64), [list(r["keys"]) for r in rows])
-    )
+    rows = points.select("v", "keys").toArrow()
+    shared = asked.sparkSession.sparkContext.broadcast((_cells(rows["v"]), rows["keys"].combine_chunks()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, keys = shared.value
         for batch in batches:
-            if len(batch):
-                yield _best(batch["h"].to_numpy(), _matrix(batch["v"]), matrix, keys, k)
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                yield from _best(batch["h"], _cells(table["v"]), matrix, keys, k).to_batches()
 
     spread = asked.repartition("h")
-    return spread.mapInPandas(run, f"h string, dst {kind}, sim double")
+    return spread.mapInArrow(run, f"h string, dst {kind}, sim double")
 
 
-def _search_cells(asked: DataFrame, points: DataFrame, k: int, kind: str, n_pivots: int) -> DataFrame:
+def _search_cells(asked: DataFrame, points: DataFrame, k: int, kind: str, n_pivots: int, rows: int) -> DataFrame:
     spark = asked.sparkSession
     pivots = np.array([row.v for row in points.orderBy("h").limit(n_pivots).select("v").collect()])
     shared = spark.sparkContext.broadcast(pivots)
@@ -232,17 +289,17 @@ def _search_cells(asked: DataFrame, points: DataFrame, k: int, kind: str, n_pivo
 
     stock = cut_lineage(placed(points))
     seekers = cut_lineage(placed(asked))
-    radius = np.full(len(pivots), -1.0)
-    for row in stock.groupBy("cell").agg(F.max("dist").alias("r")).collect():
-        radius[row.cell] = row.r
+    radius, shelf = _measured(stock, len(pivots), rows)
+    kept = stock.withColumn("target", _on_shelf(shelf))
 
-    own = seekers.select("h", "v", F.col("cell").alias("target"))
-    first = cut_lineage(_search_blocks(own, stock, k, kind))
+    own = seekers.select("h", "v", _on_shelf(shelf).alias("target"))
+    most = max((r["n"] for r in own.groupBy("target").agg(F.count("*").alias("n")).collect()), default=1)
+    first = cut_lineage(_search_blocks(own, kept, k, kind, rows, -(-most // rows)))
     reach = first.groupBy("h").agg(F.when(F.count("*") >= k, F.min("sim")).alias("worst"))
-    bounds = spark.sparkContext.broadcast(radius)
+    bounds = spark.sparkContext.broadcast((radius, shelf))
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, r = shared.value, bounds.value
+        p, (r, shelf) = shared.value, bounds.value
         for batch in batches:
             if not len(batch):
                 continue
@@ -250,46 +307,42 @@ def _search_cells(asked: DataFrame, points: DataFrame, k: int, kind: str, n_pivo
             worst = batch["worst"].fillna(-1.0).to_numpy(dtype=float)
             limit = np.sqrt(np.maximum(0.0, 2 - 2 * worst)) + SLACK
             open_cells = (far - r[None, :] <= limit[:, None]) & (r >= 0)[None, :]
-            open_cells[np.arange(len(batch)), batch["cell"].to_numpy()] = False
-            row, cell = np.nonzero(open_cells)
-            yield pd.DataFrame({"h": batch["h"].to_numpy()[row], "v": batch["v"].to_numpy()[row], "target": cell.astype("int32")})
+            open_cells &= shelf[None, :] != shelf[batch["cell"].to_numpy()][:, None]
+            yield from _visits(batch, open_cells, shelf, ["h", "v"])
 
     wide = seekers.join(reach, "h", "left").select("h", "v", "cell", "worst")
-    more = cut_lineage(wide.mapInPandas(visits, "h string, v array<double>, target int"))
-    second = _search_blocks(more, stock, k, kind)
+    more = wide.mapInPandas(visits, "h string, v array<double>, target int")
+    second = _search_blocks(more, kept, k, kind, rows, -(-max(1, seekers.count()) // rows))
     return top_per_group(first.unionByName(second), ["h"], [F.desc("sim"), F.col("dst")], k, "dst", slices=1)
 
 
-def _pair_blocks(visits: DataFrame, stock: DataFrame, left_columns: list, right_columns: list) -> tuple[DataFrame, DataFrame]:
-    """Both sides of every (cell, query block, stock block); hot cells are cut on both sides."""
-
-    def blocks(df: DataFrame, cell: str, name: str) -> DataFrame:
-        n = F.ceil(F.count("*") / F.lit(BLOCK)).cast("int")
-        return df.groupBy(F.col(cell).alias("target")).agg(n.alias(name))
-
-    plan = blocks(visits, "target", "n_q").join(blocks(stock, "cell", "n_s"), "target")
-    plan = F.broadcast(plan)  # one row per pivot, at most MAX_PIVOTS
-    slot = F.pmod(F.xxhash64("h"), F.col("n_q")).cast("int")
+def _pair_blocks(
+    visits: DataFrame, stock: DataFrame, left_columns: list, right_columns: list, rows: int, n_q: int
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of every (shelf, query block, stock block): queries in ``n_q`` blocks, shelves of hot cells in as many as they need."""
+    plan = stock.groupBy("target").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("n_s"))
+    plan = F.broadcast(plan)  # one row per shelf, at most MAX_PIVOTS
+    slot = F.pmod(F.xxhash64("h"), F.lit(n_q)).cast("int")
     shelf = F.pmod(F.xxhash64("h"), F.col("n_s")).cast("int")
     left = visits.join(plan, "target").select(
         "target", slot.alias("q"), F.explode(F.sequence(F.lit(0), F.col("n_s") - 1)).alias("s"), *left_columns
     )
-    right = stock.withColumnRenamed("cell", "target").join(plan, "target").select(
-        "target", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("q"), shelf.alias("s"), *right_columns
+    right = stock.join(plan, "target").select(
+        "target", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"), shelf.alias("s"), *right_columns
     )
     return left, right
 
 
-def _search_blocks(visits: DataFrame, stock: DataFrame, k: int, kind: str) -> DataFrame:
-    """Search each visit's target cell and keep the best ``k`` per query."""
-    left, right = _pair_blocks(visits, stock, ["h", "v"], ["v", "keys"])
+def _search_blocks(visits: DataFrame, stock: DataFrame, k: int, kind: str, rows: int, n_q: int) -> DataFrame:
+    """Search each visit's target shelf and keep the best ``k`` per query."""
+    left, right = _pair_blocks(visits, stock, ["h", "v"], ["v", "keys"], rows, n_q)
 
-    def run(asked: pd.DataFrame, shelf_rows: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or shelf_rows.empty:
-            return pd.DataFrame({"h": [], "dst": [], "sim": []})
-        keys = [list(x) for x in shelf_rows["keys"]]
-        return _best(asked["h"].to_numpy(), _matrix(asked["v"]), _matrix(shelf_rows["v"]), keys, k)
+    def run(asked: pa.Table, kept: pa.Table) -> pa.Table:
+        if not (asked.num_rows and kept.num_rows):
+            none = kept["keys"].combine_chunks().flatten().slice(0, 0)
+            return pa.table({"h": asked["h"].slice(0, 0), "dst": none, "sim": pa.array([], pa.float64())})
+        return _best(asked["h"].combine_chunks(), _cells(asked["v"]), _cells(kept["v"]), kept["keys"].combine_chunks(), k)
 
     by = ["target", "q", "s"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, f"h string, dst {kind}, sim double")
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"h string, dst {kind}, sim double")
     return top_per_group(found, ["h"], [F.desc("sim"), F.col("dst")], k, "dst", slices=1)
