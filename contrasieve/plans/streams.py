@@ -22,7 +22,8 @@ def work(spark):
 
 
 def stream_of(spark, d, name):
-    return st.read_landed(spark, d, table(spark, d, name).schema, f"{name}.parquet")
+    """The table as a stream, be it one file or a folder of part files; a pattern as path serves both."""
+    return st.read_landed(spark, f"{d}/{name}[.]parquet", table(spark, d, name).schema, "*.parquet")
 
 
 @query("st1_ingest", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 20")

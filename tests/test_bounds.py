@@ -48,3 +48,25 @@ def test_groups_over_shelves_are_those_of_all_pairs(spark, monkeypatch):
         want = np.array([want[linked[i]].min() for i in range(len(m))])
     got = {r.vertex: r.component for r in neighbours.similarity_groups(points_df(spark, m), "id", "v", 0.95, broadcast_cells=0).collect()}
     assert [got[i] for i in range(len(m))] == want.tolist()
+
+
+def test_a_stream_reads_a_table_of_one_file_or_of_part_files(spark, tmp_path):
+    from contrasieve.plans import streams
+    from contrasieve.streaming import contracts as st
+
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(10)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "single").mkdir()
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "single" / "documents.parquet")
+    for name in ("many", "single"):
+        st.run(streams.stream_of(spark, str(tmp_path / name), "documents"), str(tmp_path / f"out_{name}"), str(tmp_path / f"at_{name}"))
+        assert spark.read.parquet(str(tmp_path / f"out_{name}")).count() == 10
+
+
+def test_red_flags_takes_every_contract_of_small_suppliers():
+    from contrasieve import plans
+    from contrasieve.plans.registry import ORACLES
+
+    plans.load()
+    assert "URGENT" not in ORACLES["g8_red_flags"] and "qty" not in ORACLES["g8_red_flags"].split("dg AS")[1]
