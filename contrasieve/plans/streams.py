@@ -65,14 +65,14 @@ def st2w(spark, d):
 @query("st3_score_on_arrival")
 def st3(spark, d):
     sink, progress, _ = work(spark)
-    known = texts(spark, d).filter("label <> 'geral'").select("text", (F.col("label") == "engenharia").cast("double").alias("label"))
+    known = texts(spark, d).filter("label <> 'geral'").na.fill("", ["text"]).select("text", (F.col("label") == "engenharia").cast("double").alias("label"))
     stages = [
         RegexTokenizer(inputCol="text", outputCol="words", pattern="[^a-zà-ÿ]+"),
         HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 18, binary=True),
         LogisticRegression(maxIter=20, regParam=0.05),
     ]
     model = Pipeline(stages=stages).fit(known)
-    st.run(st.score_stream(stream_of(spark, d, "documents"), model, "doc_id"), sink, progress)
+    st.run(st.score_stream(stream_of(spark, d, "documents").na.fill("", ["text"]), model, "doc_id"), sink, progress)
     return spark.read.parquet(sink)
 
 
