@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from contrasieve.config import vocab
 from contrasieve.operators.totals import exact_quantiles
 from contrasieve.sources.tables import keep_first
+from contrasieve.session import cut_lineage
 
 
 def keep_best(df: DataFrame, keys: Sequence[str], score: str, key: str) -> DataFrame:
@@ -37,7 +38,8 @@ def outlier_flags(
     """z score inside the group, |z| >= limit, and value above Q3 + factor * IQR."""
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
     q = exact_quantiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75})
-    out = df.join(stats.join(q, list(keys)), list(keys))
+    # One row per group, written so that the planner knows how few they are: dealing the rows by group would fill one task per label.
+    out = df.join(cut_lineage(stats.join(q, list(keys))), list(keys))
     z = (F.col(value) - F.col("_m")) / F.greatest(F.col("_s"), F.lit(1e-9))
     return (
         out.withColumn("z", z)

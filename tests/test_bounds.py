@@ -70,3 +70,19 @@ def test_red_flags_takes_every_contract_of_small_suppliers():
 
     plans.load()
     assert "URGENT" not in ORACLES["g8_red_flags"] and "qty" not in ORACLES["g8_red_flags"].split("dg AS")[1]
+
+
+def test_outlier_flags_do_not_deal_rows_by_label(spark):
+    from pyspark.sql import functions as F
+
+    from contrasieve.operators import pairs
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60000")
+    try:
+        df = spark.range(20_000).select("id", (F.col("id") % 3).alias("label"), (F.col("id") * 7 % 1000).cast("double").alias("value"))
+        out = pairs.outlier_flags(df, ["label"], "value")
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 20_000 and out.filter("z_flag IS NULL").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
