@@ -15,6 +15,9 @@ from contrasieve.functions import text as tx
 from contrasieve.operators.sampling import top_per_group
 from contrasieve.session import cut_lineage
 
+#: Documents whose n-grams a task counts at a time.
+TFIDF_ROWS = 512
+
 
 def term_table(df: DataFrame, key: str, tokens: Column, n_min: int = 1, n_max: int = 1, carry: Sequence[str] = ()) -> DataFrame:
     """(key, *carry, term) rows, one per occurrence of an n-gram."""
@@ -131,6 +134,47 @@ def zipf(terms: DataFrame, keys: Sequence[str], top: int = 200) -> DataFrame:
     return curve.withColumn("slope", slope)
 
 
+def _gram_counts(lists: pa.ListArray, n_max: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per n: (words, codes, row, gram, tf) with one entry per distinct n-gram of a row of token lists.
+
+    ``words`` are the distinct words; row i of ``codes`` has the places in it that make n-gram i. N-grams stay inside one token list.
+    """
+    inner = lists.flatten()
+    coded = inner.flatten().dictionary_encode()
+    words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    per_list, per_row = (x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for x in (inner, lists))
+    of_list = np.repeat(np.arange(len(per_list)), per_list)
+    of_row = np.repeat(np.arange(len(per_row)), per_row)[of_list]
+    gram, codes = code, np.arange(len(words))[:, None]
+    for n in range(1, n_max + 1):
+        if n > 1:
+            starts = np.flatnonzero(of_list[: len(code) - n + 1] == of_list[n - 1 :]) if len(code) >= n else np.zeros(0, np.int64)
+            pairs = np.full(len(code), -1, np.int64)
+            pairs[starts] = gram[starts] * len(words) + code[starts + n - 1]
+            found, at = np.unique(pairs[starts], return_inverse=True)
+            codes = np.column_stack([codes[found // max(1, len(words))], found % max(1, len(words))])
+            gram = np.full(len(code), -1, np.int64)
+            gram[starts] = at
+        here = np.flatnonzero(gram >= 0)
+        both, tf = np.unique(of_row[here] * max(1, len(codes)) + gram[here], return_counts=True)
+        yield words, codes, both // max(1, len(codes)), both % max(1, len(codes)), tf
+
+
+def _merged(df: DataFrame, key: str, tokens: Column, carry: Sequence[str]) -> DataFrame:
+    """(key, _lists, _rows): the token lists of all rows of a key and what each of these rows carries.
+
+    Rows are brought together only if a key repeats; a table without such keys is not shuffled.
+    """
+    words = F.coalesce(F.filter(tokens, lambda w: w.isNotNull()), F.array().cast("array<string>"))
+    shown = F.struct(F.lit(1).alias("_one"), *[F.when(F.col(key).isNotNull(), F.col(c)).alias(c) for c in carry])
+    rows = df.select(key, F.array(words).alias("_lists"), F.array(shown).alias("_rows"))
+    if not df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").isEmpty():
+        rows = rows.groupBy(key).agg(F.flatten(F.collect_list("_lists")).alias("_lists"), F.flatten(F.collect_list("_rows")).alias("_rows"))
+        once = F.col(key).isNull() if carry else F.lit(True)
+        rows = rows.withColumn("_rows", F.when(once, F.slice("_rows", 1, 1)).otherwise(F.col("_rows")))
+    return cut_lineage(rows)
+
+
 def tfidf(
     df: DataFrame,
     key: str,
@@ -140,27 +184,70 @@ def tfidf(
     max_df: float = 1.0,
     max_terms: int = 30_000,
     sublinear: bool = True,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(key, term, weight): smooth idf, sub-linear tf, unit rows.
+    """(key, *carry, term, weight): smooth idf, sub-linear tf, unit rows.
 
     The vocabulary keeps the most frequent terms of the corpus; it is bounded by
-    ``max_terms``, which is what makes broadcasting it safe.
+    ``max_terms``, which is what makes broadcasting it safe. Rows of one key are one document. Tasks count terms
+    per document, so only sums per term are shuffled. With ``carry`` each row of ``df`` gets the weights of its
+    document, and null keys get one set of weights with nulls. Tokens hold no spaces.
     """
     n_docs = df.agg(F.count("*")).scalar()
-    # Counted once: both the vocabulary and the weights read this table.
-    tf = cut_lineage(term_table(df, key, tokens, 1, n_max).groupBy(key, "term").agg(F.count("*").alias("tf")))
+    docs = _merged(df, key, tokens, carry)
+    kinds = dict(docs.dtypes) | {c: dict(df.dtypes)[c] for c in carry}
+
+    def named(words: pa.Array, codes: np.ndarray) -> pa.Array:
+        parts = [words.take(pa.array(codes[:, j])) for j in range(codes.shape[1])]
+        return pa.compute.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TFIDF_ROWS):
+                for words, codes, _, gram, tf in _gram_counts(whole["_lists"].slice(at, TFIDF_ROWS), n_max):
+                    df_total = np.bincount(gram, minlength=len(codes)), np.bincount(gram, tf, len(codes)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([named(words, codes), *map(pa.array, df_total)], ["term", "df", "total"])
+
     vocabulary = (
-        tf.groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+        docs.select("_lists")
+        .mapInArrow(counted, "term string, df bigint, total bigint")
+        .groupBy("term")
+        .agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
         .filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
         .orderBy(F.desc("total"), "term")
         .limit(max_terms)
         .select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+        .toArrow()
     )
-    weight = (1 + F.log("tf") if sublinear else F.col("tf")) * F.col("idf")
-    raw = tf.join(F.broadcast(vocabulary), "term").select(key, "term", weight.alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
-    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
+    shared = df.sparkSession.sparkContext.broadcast((vocabulary["term"].combine_chunks(), vocabulary["idf"].to_numpy()))
+    kept = [key, *carry]
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, TFIDF_ROWS):
+                batch = whole.slice(at, TFIDF_ROWS)
+                parts = []
+                for words, codes, row, gram, tf in _gram_counts(batch["_lists"], n_max):
+                    place = pa.compute.index_in(named(words, codes), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)[gram]
+                    known = place >= 0
+                    parts.append((row[known], place[known], tf[known]))
+                row, place, tf = (np.concatenate(x) for x in zip(*parts))
+                w = (1 + np.log(tf) if sublinear else tf) * idf[place]
+                norm = np.sqrt(np.bincount(row, w * w, batch.num_rows))
+                of = pa.array(row)
+                cells = [*(batch[c].take(of) for c in kept), terms.take(pa.array(place)), pa.array(w / norm[row])]
+                yield pa.RecordBatch.from_arrays(cells, [*kept, "term", "weight"])
+
+    rows = docs.select(key, "_lists", F.explode("_rows").alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in carry], "_lists")
+    return rows.mapInArrow(weighted, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", term string, weight double")
+
+
+def _labelled(weights: DataFrame, labels: DataFrame, key: str, label: str, how: str = "inner") -> DataFrame:
+    """Weights with the label of each row of their key; those that carry it already are not joined again."""
+    if label in weights.columns:
+        return weights.filter(F.col(key).isNotNull()) if how == "inner" else weights
+    return weights.join(labels.select(key, label), key, how)
 
 
 def chi_square(weights: DataFrame, labels: DataFrame, key: str, label: str, top: int = 10_000) -> DataFrame:
@@ -168,7 +255,7 @@ def chi_square(weights: DataFrame, labels: DataFrame, key: str, label: str, top:
     share = labels.groupBy(label).agg(F.count("*").alias("_n")).withColumn(
         "_p", F.col("_n") / labels.agg(F.count("*")).scalar()
     )
-    sums = weights.join(labels.select(key, label), key).groupBy("term", label).agg(F.sum("weight").alias("o"))
+    sums = cut_lineage(_labelled(weights, labels, key, label).groupBy("term", label).agg(F.sum("weight").alias("o")))
     totals = sums.groupBy("term").agg(F.sum("o").alias("t"))
     # Classes a term never meets have o = 0 and add their whole expectation, t * p.
     joined = sums.join(totals, "term").join(share.select(label, "_p"), label)
@@ -228,10 +315,10 @@ def domain_terms(counts: DataFrame, n_pos: Column, n_neg: Column, min_freq: int
 
 def class_share_ratio(weights: DataFrame, labels: DataFrame, key: str, label: str, a: str, b: str) -> DataFrame:
     """Log ratio of a term's share of TF-IDF mass in two classes, smoothed by one half."""
-    sums = weights.join(labels.filter(F.col(label).isin(a, b)).select(key, label), key, "left").groupBy("term").agg(
+    sums = cut_lineage(_labelled(weights, labels.filter(F.col(label).isin(a, b)), key, label, "left").groupBy("term").agg(
         F.sum(F.when(F.col(label) == a, F.col("weight")).otherwise(0.0)).alias("sa"),
         F.sum(F.when(F.col(label) == b, F.col("weight")).otherwise(0.0)).alias("sb"),
-    )
+    ))
     mass = sums.agg(F.struct(F.sum("sa").alias("a"), F.sum("sb").alias("b"), F.count("*").alias("n"))).scalar()
     share = lambda c, m: (F.col(c) + 0.5) / (m + 0.5 * mass["n"])
     return sums.select("term", F.log(share("sa", mass["a"]) / share("sb", mass["b"])).alias("log_ratio"))
@@ -239,7 +326,7 @@ def class_share_ratio(weights: DataFrame, labels: DataFrame, key: str, label: st
 
 def top_terms(weights: DataFrame, groups: DataFrame, key: str, group: str, k: int = 8) -> DataFrame:
     """Terms with the largest TF-IDF mass in each class or cluster."""
-    sums = weights.join(groups.select(key, group), key).groupBy(group, "term").agg(F.sum("weight").alias("mass"))
+    sums = _labelled(weights, groups, key, group).groupBy(group, "term").agg(F.sum("weight").alias("mass"))
     return top_per_group(sums, [group], [F.desc(F.round("mass", 9)), F.col("term")], k, "term")
 
 

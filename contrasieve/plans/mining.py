@@ -52,8 +52,8 @@ TFIDF = WORDS + f""", occ AS (SELECT doc_id, unnest(k) AS term FROM tk UNION ALL
   wt AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
 
 
-def weights(spark, d):
-    return terms.tfidf(texts(spark, d), "doc_id", doc_tokens())
+def weights(spark, d, carry=()):
+    return terms.tfidf(texts(spark, d), "doc_id", doc_tokens(), carry=carry)
 
 
 @query("x2_tfidf", f"WITH {TFIDF} SELECT doc_id, term, {R('weight')} AS weight FROM wt")
@@ -80,7 +80,7 @@ def x3(spark, d):
     SELECT term, {R('chi2')} AS chi2 FROM (SELECT * FROM x ORDER BY chi2 DESC, term LIMIT 10000)""",
 )
 def x4(spark, d):
-    out = terms.chi_square(weights(spark, d), texts(spark, d).select("doc_id", "label"), "doc_id", "label")
+    out = terms.chi_square(weights(spark, d, ["label"]), texts(spark, d).select("doc_id", "label"), "doc_id", "label")
     return out.withColumn("chi2", r(F.col("chi2")))
 
 
@@ -163,7 +163,7 @@ def x7(spark, d):
     SELECT term, {R('ln(((sa + 0.5) / (ma + 0.5 * n)) / ((sb + 0.5) / (mb + 0.5 * n)))')} AS log_ratio FROM s, m""",
 )
 def x8(spark, d):
-    out = terms.class_share_ratio(weights(spark, d), texts(spark, d), "doc_id", "label", "engenharia", "obras")
+    out = terms.class_share_ratio(weights(spark, d, ["label"]), texts(spark, d), "doc_id", "label", "engenharia", "obras")
     return out.withColumn("log_ratio", r(F.col("log_ratio")))
 
 
@@ -173,7 +173,7 @@ def x8(spark, d):
     SELECT label, term, {R('mass')} AS mass FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(mass, 9) DESC, term) <= 8""",
 )
 def x9(spark, d):
-    return terms.top_terms(weights(spark, d), texts(spark, d), "doc_id", "label").withColumn("mass", r(F.col("mass")))
+    return terms.top_terms(weights(spark, d, ["label"]), texts(spark, d), "doc_id", "label").withColumn("mass", r(F.col("mass")))
 
 
 @query(
