@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from contrasieve.operators.sampling import top_per_group
 from contrasieve.session import cut_lineage, discard
 
+#: Numbers of column factors that are sent to every task; more are joined.
+BROADCAST_CELLS = 2_000_000
+
 
 def lda_topics(
     df: DataFrame, key: str, tokens: Column, positive: Column, k: int = 8, vocab_size: int = 5000, min_df: float = 5.0,
@@ -52,12 +56,13 @@ def _gram(factors: DataFrame, k: int) -> list[list[float]]:
 
 def non_negative_factors(
     weights: DataFrame, row: str, column: str, weight: str, k: int, rounds: int = 200, tolerance: float = 1e-3, seed: int = 42,
-    check_every: int = 10, trace: list[float] | None = None,
+    check_every: int = 10, trace: list[float] | None = None, broadcast_cells: int = BROADCAST_CELLS,
 ) -> tuple[DataFrame, DataFrame]:
     """(row, f) and (column, f) with non-negative f of length ``k`` whose products come close to the weights.
 
     Multiplicative updates of the Frobenius loss; pairs that are absent are zeros. Only the weights
-    that are there are joined; the rest enters through k x k matrices of sums. The error is looked at every
+    that are there are read; the rest enters through k x k matrices of sums. Column factors of at most
+    ``broadcast_cells`` numbers go to the tasks, others are joined. The error is looked at every
     ``check_every`` rounds, and they end when it has fallen by less than ``tolerance`` of the first one. Keys may have any
     type. ``trace`` collects the error of each round.
     """
@@ -68,6 +73,8 @@ def non_negative_factors(
     h = cut_lineage(_seeded(a.select(column).distinct(), column, k, scale, seed + 1))
     if not total["q"]:
         return w, h
+    if h.count() * k <= broadcast_cells:
+        return _factors_by_row(a, w, h, row, column, total["q"], k, rounds, tolerance, check_every, trace)
 
     def pulled(own: str, other: str, factors: DataFrame) -> DataFrame:
         sums = [F.sum(F.col("x") * F.get("f", F.lit(j))).alias(f"n{j}") for j in range(k)]
@@ -111,6 +118,75 @@ def non_negative_factors(
     return w, h
 
 
+def _factors_by_row(
+    a: DataFrame, w: DataFrame, h: DataFrame, row: str, column: str, q: float, k: int, rounds: int, tolerance: float, check_every: int, trace: list[float] | None
+) -> tuple[DataFrame, DataFrame]:
+    """The updates of :func:`non_negative_factors` in one pass over the rows a round.
+
+    A row's weights stay together on disk, dealt by row. A task makes new row factors from the column factors, adds up
+    what its rows pull at each column, and only these sums and the small row factors are written.
+    """
+    spark = a.sparkSession
+    start = h.toArrow()
+    names, cols = start[column].combine_chunks(), start["f"].combine_chunks().flatten().to_numpy().reshape(-1, k)
+    met = np.array([x is not None for x in names.to_pylist()])
+    places = spark.createDataFrame(pa.table({column: names, "_c": pa.array(np.arange(len(names)), pa.int32())}))
+    parts = spark.sparkContext.defaultParallelism
+    cells = a.filter(F.col(row).isNotNull()).join(F.broadcast(places), column).groupBy(row).agg(F.collect_list(F.struct("_c", "x")).alias("cells"))
+    held = cells.select(row, F.col("cells._c").alias("c"), F.col("cells.x").alias("x")).repartition(parts, row).persist(StorageLevel.DISK_ONLY)
+    kind = dict(a.dtypes)[row]
+    errors: list[float] = []
+    first = last = None
+    for i in range(1, rounds + 1):
+        shared = spark.sparkContext.broadcast((cols, cols[met].T @ cols[met] if i > 1 else cols.T @ cols))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, gram = shared.value
+            pull, square = np.zeros_like(own), np.zeros((k, k))
+            listed = lambda f: pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, k), pa.int32()), pa.array(f.ravel()))
+            keys = None
+            for batch in batches:
+                keys = batch[row]
+                c, x = (batch[n].flatten().to_numpy(zero_copy_only=False) for n in ("c", "x"))
+                of = np.repeat(np.arange(batch.num_rows), batch["c"].value_lengths().to_numpy(zero_copy_only=False))
+                f = batch["f"].flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                n = np.column_stack([np.bincount(of, x * own[c, j], batch.num_rows) for j in range(k)])
+                new = f * n / np.maximum(f @ gram, 1e-12)
+                for j in range(k):
+                    pull[:, j] += np.bincount(c, x * new[of, j], len(own))
+                square += new.T @ new
+                yield pa.RecordBatch.from_arrays([keys, listed(new), pa.nulls(len(new), pa.int32())], [row, "f", "c"])
+            if keys is not None:
+                sums = np.concatenate([pull, square])
+                at = pa.array(np.arange(len(sums)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(sums), keys.type), listed(sums), at], [row, "f", "c"])
+
+        both = held.join(w.hint("shuffle_hash"), row).select(row, "c", "x", "f")
+        written = cut_lineage(both.mapInArrow(run, f"`{row}` {kind}, f array<double>, c int"))
+        discard(w)
+        w = written.filter("c IS NULL").select(row, "f")
+        w.__dict__["_cut_at"] = written.__dict__["_cut_at"]
+        sums = written.filter("c IS NOT NULL").groupBy("c").agg(*[F.sum(F.get("f", F.lit(j))).alias(f"n{j}") for j in range(k)]).orderBy("c").toArrow()
+        pulls = np.column_stack([sums[f"n{j}"].to_numpy() for j in range(k)])
+        pulls, gram_w = pulls[: len(cols)], pulls[len(cols) :]
+        met &= (pulls > 0).any(axis=1) if i == 1 else True
+        if trace is not None or i % check_every == 0:
+            before = cols[met].T @ cols[met] if i > 1 else cols.T @ cols
+            errors.append(max(q - 2 * float((cols * pulls)[met].sum()) + float((gram_w * before).sum()), 0.0) ** 0.5)
+        cols = cols * pulls / np.maximum(cols @ gram_w, 1e-12)
+        shared.unpersist()
+        if i % check_every == 0:
+            if last is not None and last - errors[-1] < tolerance * first:
+                break
+            first, last = first or errors[-1], errors[-1]
+    held.unpersist()
+    if trace is not None:
+        trace += errors
+    f = cols[met]
+    table = pa.table({column: names.filter(pa.array(met)), "f": pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, k), pa.int32()), pa.array(f.ravel()))})
+    return w, spark.createDataFrame(table)
+
+
 def nmf_topics(weights: DataFrame, key: str, k: int = 8, rounds: int = 200, top: int = 10, seed: int = 42) -> DataFrame:
     """Top terms of each factor of a non-negative factorisation of the (document, term) weights."""
     _, terms = non_negative_factors(weights, key, "term", "weight", k, rounds, seed=seed)
