@@ -17,6 +17,8 @@ from contrasieve.session import cut_lineage
 
 #: Documents whose n-grams a task counts at a time.
 TFIDF_ROWS = 512
+#: Pairs of group and n-gram that are counted in an array; more are sorted.
+COUNTED_CELLS = 4_000_000
 
 
 def term_table(df: DataFrame, key: str, tokens: Column, n_min: int = 1, n_max: int = 1, carry: Sequence[str] = ()) -> DataFrame:
@@ -134,10 +136,11 @@ def zipf(terms: DataFrame, keys: Sequence[str], top: int = 200) -> DataFrame:
     return curve.withColumn("slope", slope)
 
 
-def _gram_counts(lists: pa.ListArray, n_max: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _gram_counts(lists: pa.ListArray, n_max: int, marked: np.ndarray | None = None, bits: int = 24, group: np.ndarray | None = None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per n: (words, codes, row, gram, tf) with one entry per distinct n-gram of a row of token lists.
 
-    ``words`` are the distinct words; row i of ``codes`` has the places in it that make n-gram i. N-grams stay inside one token list.
+    ``words`` are the distinct words; row i of ``codes`` has the places in it that make n-gram i. N-grams stay inside one token list. Longer
+    ones with a word that the bitmap ``marked`` lacks are left out. With ``group`` rows of one group count together.
     """
     inner = lists.flatten()
     coded = inner.flatten().dictionary_encode()
@@ -145,10 +148,14 @@ def _gram_counts(lists: pa.ListArray, n_max: int) -> Iterator[tuple[pa.Array, np
     per_list, per_row = (x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for x in (inner, lists))
     of_list = np.repeat(np.arange(len(per_list)), per_list)
     of_row = np.repeat(np.arange(len(per_row)), per_row)[of_list]
+    of_row = of_row if group is None else group[of_row]
     gram, codes = code, np.arange(len(words))[:, None]
+    slot = _slots(words, 1, bits) if marked is not None else None
+    known = np.ones(len(words), bool) if marked is None else (marked[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
     for n in range(1, n_max + 1):
         if n > 1:
             starts = np.flatnonzero(of_list[: len(code) - n + 1] == of_list[n - 1 :]) if len(code) >= n else np.zeros(0, np.int64)
+            starts = starts[known[code[starts + n - 1]] & (gram[starts] >= 0) & (n > 2 or known[code[starts]])]
             pairs = np.full(len(code), -1, np.int64)
             pairs[starts] = gram[starts] * len(words) + code[starts + n - 1]
             found, at = np.unique(pairs[starts], return_inverse=True)
@@ -156,10 +163,61 @@ def _gram_counts(lists: pa.ListArray, n_max: int) -> Iterator[tuple[pa.Array, np
             gram = np.full(len(code), -1, np.int64)
             gram[starts] = at
         here = np.flatnonzero(gram >= 0)
-        both, tf = np.unique(of_row[here] * max(1, len(codes)) + gram[here], return_counts=True)
+        both = of_row[here] * max(1, len(codes)) + gram[here]
+        if len(both) and both.max() < COUNTED_CELLS:
+            tf = np.bincount(both)
+            both = np.flatnonzero(tf)
+            tf = tf[both]
+        else:
+            both, tf = np.unique(both, return_counts=True)
         yield words, codes, both // max(1, len(codes)), both % max(1, len(codes)), tf
 
 
+def _named(words: pa.Array, codes: np.ndarray) -> pa.Array:
+    parts = [words.take(pa.array(codes[:, j])) for j in range(codes.shape[1])]
+    return pa.compute.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
+
+
+def gram_counts(lists: DataFrame, n: int, keys: Sequence[str], marked: np.ndarray | None = None) -> DataFrame:
+    """(*keys, term, n): n-grams of the token lists ``_lists`` with their number per key; those of ``marked`` words only, if given."""
+    kinds = dict(lists.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TFIDF_ROWS):
+                batch = whole.slice(at, TFIDF_ROWS)
+                group = batch.select(keys).to_pandas().groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+                first = np.unique(group, return_index=True)[1]
+                *_, (words, codes, own, gram, total) = _gram_counts(batch["_lists"], n, marked, group=group)
+                cells = [*(batch[k].take(pa.array(first[own])) for k in keys), _named(words, codes[gram]), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(cells, [*keys, "term", "n"])
+
+    counted = lists.mapInArrow(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + "term string, n bigint")
+    return counted.groupBy(*keys, "term").agg(F.sum("n").alias("n"))
+
+
+def top_words_and_pairs(df: DataFrame, tokens: Column, keys: Sequence[str], top: int, lead: int = 64) -> DataFrame:
+    """(*keys, n_words, term, n): the most frequent words and pairs of neighbours per key, ties by term.
+
+    A pair is no more frequent than its words. Pairs of the ``lead`` most frequent words are counted first: the last of
+    their best ``top`` is a floor that every pair of the answer reaches. Then only pairs whose words both reach the floor of some key
+    are counted; words are marked in a bitmap of fixed size, and counts stay exact. Tokens hold no spaces.
+    """
+    words = F.coalesce(F.filter(tokens, lambda w: w.isNotNull()), F.array().cast("array<string>"))
+    lists = cut_lineage(df.select(*keys, F.array(words).alias("_lists")))
+    singles = cut_lineage(gram_counts(lists, 1, keys))
+
+    def best(counts: DataFrame, n: int) -> DataFrame:
+        return top_per_group(counts, keys, [F.desc("n"), F.col("term")], n, "term")
+
+    leaders = best(singles, lead).select("term").distinct()
+    floor = best(gram_counts(lists, 2, keys, _bitmap(leaders, 1, 24)), top).groupBy(*keys).agg(F.when(F.count("*") >= top, F.min("n")).alias("floor"))
+    able = singles.join(F.broadcast(floor), list(keys), "left").filter(F.col("n") >= F.coalesce("floor", F.lit(0)))
+    pairs = gram_counts(lists, 2, keys, _bitmap(able.select("term").distinct(), 1, 24))
+    columns = [*keys, "n_words", "term", "n"]
+    return best(singles, top).withColumn("n_words", F.lit(1)).select(columns).unionByName(best(pairs, top).withColumn("n_words", F.lit(2)).select(columns))
+
+
 def _merged(df: DataFrame, key: str, tokens: Column, carry: Sequence[str]) -> DataFrame:
     """(key, _lists, _rows): the token lists of all rows of a key and what each of these rows carries.
 
@@ -197,16 +255,12 @@ def tfidf(
     docs = _merged(df, key, tokens, carry)
     kinds = dict(docs.dtypes) | {c: dict(df.dtypes)[c] for c in carry}
 
-    def named(words: pa.Array, codes: np.ndarray) -> pa.Array:
-        parts = [words.take(pa.array(codes[:, j])) for j in range(codes.shape[1])]
-        return pa.compute.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
-
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, TFIDF_ROWS):
                 for words, codes, _, gram, tf in _gram_counts(whole["_lists"].slice(at, TFIDF_ROWS), n_max):
                     df_total = np.bincount(gram, minlength=len(codes)), np.bincount(gram, tf, len(codes)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([named(words, codes), *map(pa.array, df_total)], ["term", "df", "total"])
+                    yield pa.RecordBatch.from_arrays([_named(words, codes), *map(pa.array, df_total)], ["term", "df", "total"])
 
     vocabulary = (
         docs.select("_lists")
@@ -229,7 +283,7 @@ def tfidf(
                 batch = whole.slice(at, TFIDF_ROWS)
                 parts = []
                 for words, codes, row, gram, tf in _gram_counts(batch["_lists"], n_max):
-                    place = pa.compute.index_in(named(words, codes), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)[gram]
+                    place = pa.compute.index_in(_named(words, codes), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)[gram]
                     known = place >= 0
                     parts.append((row[known], place[known], tf[known]))
                 row, place, tf = (np.concatenate(x) for x in zip(*parts))

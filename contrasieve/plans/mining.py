@@ -29,9 +29,8 @@ BIGRAMS = "unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i+
 )
 def x1(spark, d):
     t = texts(spark, d)
-    one = terms.term_table(t, "doc_id", doc_tokens(), carry=["label"]).withColumn("kind", F.lit("word"))
-    two = terms.term_table(t, "doc_id", doc_tokens(), 2, 2, carry=["label"]).withColumn("kind", F.lit("bigram"))
-    return terms.frequencies(one.unionByName(two), ["label", "kind"], 25)
+    found = terms.top_words_and_pairs(t, doc_tokens(), ["label"], 25)
+    return found.select("label", F.when(F.col("n_words") == 1, "word").otherwise("bigram").alias("kind"), "term", "n")
 
 
 @query(

@@ -53,3 +53,21 @@ def test_weights_equal_brute_force_and_shuffle_no_terms(spark, twice):
         joined = plain.join(labels, "k", how).select("k", "label", "term", F.round("weight", 9))
         ready = terms._labelled(carried, labels, "k", "label", how).select("k", "label", "term", F.round("weight", 9))
         assert sorted(map(str, joined.collect())) == sorted(map(str, ready.collect()))
+
+
+@pytest.mark.parametrize("lead", [1, 64])
+def test_top_words_and_pairs_equal_brute_force_and_send_few_pairs(spark, lead):
+    rows = some_rows(True)
+    df = spark.createDataFrame(rows, "k long, label string, words array<string>")
+    want = set()
+    for label in "ab":
+        for n in (1, 2):
+            counts = Counter(" ".join(w[i : i + n]) for _, x, w in rows if x == label for i in range(len(w or []) - n + 1))
+            want |= {(label, n, t, c) for t, c in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:5]}
+    got = terms.top_words_and_pairs(df, F.col("words"), ["label"], 5, lead)
+    assert {tuple(x) for x in got.select("label", "n_words", "term", "n").collect()} == want
+    assert terms.top_words_and_pairs(df.where("false"), F.col("words"), ["label"], 5, lead).isEmpty()
+    lists = df.select("label", F.array(F.coalesce("words", F.array().cast("array<string>"))).alias("_lists"))
+    marked = terms._bitmap(spark.createDataFrame([("w1",), ("w2",)], "term string"), 1, 24)
+    pairs = terms.gram_counts(lists, 2, ["label"], marked)
+    assert {x["term"] for x in pairs.collect()} <= {"w1 w1", "w1 w2", "w2 w1", "w2 w2"}
