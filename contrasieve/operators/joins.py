@@ -12,6 +12,9 @@ from contrasieve.functions import clean as cl
 from contrasieve.sources.tables import keep_first
 from contrasieve.session import cut_lineage
 
+#: Meetings of two members that a task of :func:`co_occurrence` adds up.
+TASK_PAIRS = 4_000_000
+
 
 def attach_signals(base: DataFrame, key: str, signals: Sequence[tuple[DataFrame | None, Mapping[str, Column]]]) -> DataFrame:
     """Left-join signal tables one after another.
@@ -127,8 +130,9 @@ def co_occurrence(edges: DataFrame, member: str, group: str, min_shared: int = 2
 
     Groups are ordered from rare to common. A member's ``min_shared - 1`` most common groups are left out when
     candidates are made: two members that share ``min_shared`` groups still meet in a rarer one. What is left of a common
-    group is cut into blocks of about ``block`` members that meet two by two, so no join key holds more than
-    two blocks. The groups left out are added back to the counts by equi-joins on the candidates.
+    group is cut into blocks of about ``block`` members that meet two by two, so no row holds more than
+    two blocks. Groups are dealt by their first members, so pairs that meet in many of them are mostly added up inside
+    one task. The groups left out are added back to the counts by equi-joins on the candidates.
     """
     e = cut_lineage(edges.select(member, group).distinct().dropna())
     size = e.groupBy(group).agg(F.count("*").alias("_size"))
@@ -137,12 +141,20 @@ def co_occurrence(edges: DataFrame, member: str, group: str, min_shared: int = 2
     late, prefix = ranked.filter(F.col("_at") < min_shared), ranked.filter(F.col("_at") >= min_shared)
 
     blocks = prefix.groupBy(group).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_n"))
-    dealt = prefix.select(member, group).join(blocks, group).withColumn("_own", F.pmod(F.xxhash64(member), F.col("_n")).cast("int"))
-    last = F.col("_n") - 1
-    left = dealt.select(F.col(member).alias("x"), group, F.col("_own").alias("i"), F.explode(F.sequence("_own", last)).alias("j"))
-    right = dealt.select(F.col(member).alias("y"), group, F.explode(F.sequence(F.lit(0), "_own")).alias("i"), F.col("_own").alias("j"))
-    met = left.join(right, [group, "i", "j"]).filter((F.col("i") < F.col("j")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y")))
-    shared = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("weight"))
+    own = F.pmod(F.xxhash64(member), F.col("_n")).cast("int")
+    dealt = prefix.select(member, group).join(blocks, group).groupBy(group, own.alias("_own")).agg(F.array_sort(F.collect_list(member)).alias("xs"))
+    dealt = cut_lineage(dealt)
+    single = dealt.select(group, "xs", F.lit(None).cast(dealt.schema["xs"].dataType).alias("ys"))
+    two = dealt.select(group, F.col("_own").alias("_i"), "xs").join(dealt.select(group, F.col("_own").alias("_j"), F.col("xs").alias("ys")), group)
+    met = single.unionByName(two.filter(F.col("_i") < F.col("_j")).select(group, "xs", "ys"))
+    n_pairs = F.size("xs").cast("long") * F.when(F.col("ys").isNull(), (F.size("xs") - 1) / 2).otherwise(F.size("ys"))
+    tasks = int((met.agg(F.sum(n_pairs)).first()[0] or 0) // TASK_PAIRS) + edges.sparkSession.sparkContext.defaultParallelism
+    # Groups that begin with the same members come to one task, which adds up their pairs before anything is shuffled.
+    near = met.repartitionByRange(tasks, F.slice("xs", 1, 3), F.xxhash64(group), F.get("ys", F.lit(0)))
+    one = near.select("xs", "ys", F.posexplode("xs").alias("_at", "x"))
+    later = F.when(F.col("ys").isNull(), F.slice("xs", F.col("_at") + 2, F.size("xs"))).otherwise(F.col("ys"))
+    pair = one.select("x", F.explode(later).alias("y"))
+    shared = pair.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("weight"))
     if min_shared > 1:
         shared = cut_lineage(shared)
         # of b's late groups those that a has at all, of a's late groups those that b has early
