@@ -9,9 +9,10 @@ from contrasieve.operators import joins, pairs, profile, rules, sampling, totals
 from contrasieve.plans.joins import EVIDENCE, SCORED, reference_codes, registry, scored
 from contrasieve.plans.registry import query, table
 from contrasieve.plans.standin import (
-    CORPUS_TERMS, FACT, FACT_AGENCY, FACT_GEO, R, SCORE, TEXTS, fact, fact_agency, fact_geo, r, score, texts,
+    CORPUS_TERMS, FACT, FACT_AGENCY, FACT_GEO, R, SCORE, TEXTS, fact, fact_agency, fact_geo, places, r, score, texts,
 )
 from contrasieve.plans.text import CLEAN_SQL, FOLD_SQL, MARKERS_SQL, TOKENS_SQL, _term_sum, markers
+from contrasieve.session import cut_lineage
 
 def is_pos():
     return F.col("label").isin("engenharia", "obras")
@@ -349,15 +350,25 @@ def a23(spark, d):
     count(DISTINCT agency) AS n_agencies, count(DISTINCT supplier) AS n_suppliers FROM scored""",
 )
 def a24(spark, d):
-    s = scored(spark, d)
-    top = s.groupBy("state").count().orderBy(F.desc("count"), "state").limit(1).select("state").scalar()
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    out = s.agg(
-        F.count("*").alias("n"), F.count_if(is_geral()).alias("n_geral"), day(F.min("date")).alias("first_day"), day(F.max("date")).alias("last_day"),
-        F.count_if(F.col("p") > 0.5).alias("n_clf"), F.count_if(F.col("discount") > 0.08).alias("n_discount"),
-        F.countDistinct("agency").alias("n_agencies"), F.countDistinct("supplier").alias("n_suppliers"),
+    contracts = fact(spark, d).withColumn("p", score(F.col("id")))
+    # Contracts are added up per purchase before that meets its agency and place.
+    per = contracts.groupBy("purchase").agg(
+        F.count("*").alias("n"), F.count_if(is_geral()).alias("n_geral"), F.min("date").alias("lo"), F.max("date").alias("hi"),
+        F.count_if(F.col("p") > 0.5).alias("n_clf"), F.count_if(F.col("discount") > 0.08).alias("n_discount"), F.collect_set("supplier").alias("suppliers"),
+    )
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("purchase"), F.col("o_custkey").alias("agency"))
+    s = cut_lineage(per.join(orders.join(places(spark, d).select("agency", "state"), "agency"), "purchase").drop("purchase"))
+    sums = [F.sum(c).alias(c) for c in ("n", "n_geral", "n_clf", "n_discount")]
+    spans = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    top = s.groupBy("state").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "state").limit(1).select("state").scalar()
+    n_suppliers = s.select(F.explode("suppliers").alias("supplier")).agg(F.countDistinct("supplier")).scalar()
+    out = s.agg(*sums, *spans, F.countDistinct("agency").alias("n_agencies"))
+    n = {c: F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n", "n_geral", "n_clf", "n_discount")}
+    return out.select(
+        n["n"], n["n_geral"], day(F.col("lo")).alias("first_day"), day(F.col("hi")).alias("last_day"), n["n_clf"], n["n_discount"],
+        "n_agencies", n_suppliers.alias("n_suppliers"), top.alias("top_state"),
     )
-    return out.withColumn("top_state", top)
 
 
 A25_SQL = f"""WITH b AS (SELECT conv_id, turn, role, text, len(regexp_extract_all(strip_accents(lower(text)), '\\bthe\\b')) AS c1,

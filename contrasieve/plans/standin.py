@@ -68,8 +68,9 @@ FACT_AGENCY = FACT + """, facta AS (
   FROM fact f JOIN orders ON purchase = o_orderkey)"""
 
 
-def fact_geo(spark: SparkSession, d: str) -> DataFrame:
-    places = (
+def places(spark: SparkSession, d: str) -> DataFrame:
+    """Agencies with municipality, state, sphere and name."""
+    return (
         table(spark, d, "customer")
         .join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -81,7 +82,10 @@ def fact_geo(spark: SparkSession, d: str) -> DataFrame:
             F.col("c_name").alias("agency_name"),
         )
     )
-    return fact_agency(spark, d).join(places, "agency")
+
+
+def fact_geo(spark: SparkSession, d: str) -> DataFrame:
+    return fact_agency(spark, d).join(places(spark, d), "agency")
 
 
 FACT_GEO = FACT_AGENCY + """, factg AS (
