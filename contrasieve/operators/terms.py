@@ -19,6 +19,8 @@ from contrasieve.session import cut_lineage
 TFIDF_ROWS = 512
 #: Pairs of group and n-gram that are counted in an array; more are sorted.
 COUNTED_CELLS = 4_000_000
+#: Slots of a sketch that travel as one row.
+SKETCH_PART = 1 << 16
 
 
 def term_table(df: DataFrame, key: str, tokens: Column, n_min: int = 1, n_max: int = 1, carry: Sequence[str] = ()) -> DataFrame:
@@ -63,6 +65,32 @@ def _bitmap(terms: DataFrame, n: int, bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _reached(counted: DataFrame, bits: int, least: int) -> np.ndarray:
+    """One bit per slot whose counts, summed over the rows (part, counts), reach ``least``: 2^``bits`` / 8 bytes."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.zeros(1, np.int64)
+        for chunk in table["counts"].chunks:
+            for counts in chunk:
+                total = total + np.frombuffer(counts.as_buffer(), _counter(least))
+        return pa.table({"part": table["part"].slice(0, 1), "bits": pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())})
+
+    found = counted.groupBy("part").applyInArrow(merge, "part int, bits binary").toArrow()
+    slots = min(1 << bits, SKETCH_PART)
+    out = np.zeros((max(1, (1 << bits) // slots), -(-slots // 8)), np.uint8)
+    for part, marks in zip(found["part"].to_pylist(), found["bits"].to_pylist()):
+        out[part] = np.frombuffer(marks, np.uint8)
+    return out.ravel()
+
+
+def _counter(least: int) -> np.dtype:
+    return np.min_scalar_type(max(1, least))
+
+
+def _has(marked: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (marked[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
 def grown_ngrams(
     df: DataFrame, key: str, tokens: Column, counts: Mapping[str, Column], n_max: int = 4, min_docs: int = 5, carry: Sequence[str] = (), bits: int = 24
 ) -> DataFrame:
@@ -70,18 +98,19 @@ def grown_ngrams(
 
     Level by level: a longer n-gram is counted only where both (n-1)-grams in it reached the minimum, so nearly all long
     ones never leave their task. Those are marked in a bitmap of 2^``bits`` slots, whose size is fixed; a slot that two terms share only
-    lets more candidates through, and counts stay exact. ``counts`` are aggregates over a term's documents, which hold the
+    lets more candidates through, and counts stay exact. Before n-grams travel as strings, each task adds up the documents per slot of
+    2^(``bits`` + 2), and only n-grams of slots that reach ``min_docs`` over all tasks leave theirs. ``counts`` are aggregates over a term's documents, which hold the
     key and ``carry``. Tokens hold no spaces. Null token arrays, null tokens and empty tables give no terms. One row of
     ``df`` is one document, whatever its key.
     """
     words_of = F.coalesce(F.filter(tokens, lambda w: w.isNotNull()), F.array().cast("array<string>"))
-    arrays = cut_lineage(df.select(key, *carry, words_of.alias("_tokens")))
+    arrays = cut_lineage(df.select(key, *carry, words_of.alias("_tokens")), compression="zstd")
     kept = [key, *carry]
     kinds = ", ".join(f"`{c}` {dict(arrays.dtypes)[c]}" for c in kept)
-    levels, before = [], None
+    levels, before, wide = [], None, bits + 2
     for n in range(1, n_max + 1):
 
-        def run(batches: Iterator[pa.RecordBatch], n: int = n, before: np.ndarray | None = before) -> Iterator[pa.RecordBatch]:
+        def candidates(batches: Iterator[pa.RecordBatch], n: int = n, before: np.ndarray | None = before) -> Iterator[tuple]:
             for whole in batches:
                 for at in range(0, whole.num_rows, 512):
                     batch = whole.slice(at, 512)
@@ -92,9 +121,28 @@ def grown_ngrams(
                     size = lists.value_lengths().to_numpy(zero_copy_only=False)
                     row = np.repeat(np.arange(len(size)), size)
                     starts = np.flatnonzero(row[: len(words) - n + 1] == row[n - 1 :])
-                    old = _slots(words, n - 1, bits)
-                    known = (before[old >> 3] >> (old & 7).astype(np.uint8)) & 1 == 1
+                    known = _has(before, _slots(words, n - 1, bits))
                     starts = starts[known[starts] & known[starts + 1]]
+                    yield batch, words, row, starts, _slots(words, n, wide)[starts]
+
+        def sketch(batches: Iterator[pa.RecordBatch], candidates=candidates) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(1 << wide, _counter(min_docs))
+            for _, _, row, starts, slot in candidates(batches):
+                once = np.unique((row[starts] << wide) + slot) & ((1 << wide) - 1)
+                met, docs = np.unique(once, return_counts=True)
+                seen[met] = np.minimum(seen[met].astype(np.int64) + docs, min_docs)
+            for part, counts in enumerate(seen.reshape(-1, min(1 << wide, SKETCH_PART))):
+                if counts.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["part", "counts"])
+
+        if n == 1:
+            rows = presence_table(arrays, key, F.col("_tokens"), carry=carry)
+        else:
+            enough = _reached(arrays.mapInArrow(sketch, "part int, counts binary"), wide, min_docs)
+
+            def run(batches: Iterator[pa.RecordBatch], n: int = n, candidates=candidates, enough: np.ndarray = enough) -> Iterator[pa.RecordBatch]:
+                for batch, words, row, starts, slot in candidates(batches):
+                    starts = starts[_has(enough, slot)]
                     parts = [words.take(pa.array(starts + i)) for i in range(n)]
                     term = pa.compute.binary_join_element_wise(*parts, " ")
                     pairs = pd.DataFrame({"row": row[starts], "term": term.dictionary_encode().indices.to_numpy(zero_copy_only=False)})
@@ -102,7 +150,7 @@ def grown_ngrams(
                     of = pa.array(row[starts][once])
                     yield pa.RecordBatch.from_arrays([*(batch[c].take(of) for c in kept), term.take(pa.array(once))], [*kept, "term"])
 
-        rows = arrays.mapInArrow(run, f"{kinds}, term string") if n > 1 else presence_table(arrays, key, F.col("_tokens"), carry=carry)
+            rows = arrays.mapInArrow(run, f"{kinds}, term string")
         counted = rows.groupBy("term").agg(F.count("*").alias("n_docs"), *(c.alias(name) for name, c in counts.items()))
         levels.append(cut_lineage(counted.where(F.col("n_docs") >= min_docs).withColumn("n_words", F.lit(n))))
         if n < n_max:
