@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,24 @@ from contrasieve.session import cut_lineage, discard
 BROADCAST_CELLS = 2_000_000
 
 
+def vocabulary(lists: DataFrame, tokens: str, size: int, min_df: float, max_df: float) -> list[str]:
+    """The ``size`` most frequent words, ties by word, of those in ``min_df`` to ``max_df`` rows (below 1: share of the rows).
+
+    Each task adds up its words; token lists are neither cached nor brought together.
+    """
+    n = lists.count()
+    least, most = (x if x >= 1 else x * n for x in (min_df, max_df))
+    if most < least:
+        raise ValueError(f"max_df gives {most} rows, fewer than the {least} of min_df")
+    found = F.transform(tokens, lambda w: F.struct(w.alias("word"), F.lit(1).alias("n"), F.lit(0).alias("rows")))
+    rows = F.transform(F.array_distinct(tokens), lambda w: F.struct(w.alias("word"), F.lit(0).alias("n"), F.lit(1).alias("rows")))
+    counts = lists.select(F.inline(F.concat(found, rows))).groupBy("word").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    best = counts.filter(F.col("rows").between(least, most)).orderBy(F.desc("n"), "word").limit(size).collect()
+    if not best:
+        raise ValueError("no word is left; lower min_df")
+    return [r["word"] for r in best]
+
+
 def lda_topics(
     df: DataFrame, key: str, tokens: Column, positive: Column, k: int = 8, vocab_size: int = 5000, min_df: float = 5.0,
     max_df: float = 0.85, rounds: int = 20, top: int = 10, seed: int = 42,
@@ -28,12 +46,12 @@ def lda_topics(
 
     Each of the ``rounds`` of the online optimiser draws as many documents as there are.
     """
-    words = df.select(key, positive.alias("_pos"), tokens.alias("_tokens"))
-    counter = CountVectorizer(inputCol="_tokens", outputCol="features", vocabSize=vocab_size, minDF=min_df, maxDF=max_df).fit(words)
-    counts = cut_lineage(counter.transform(words).select("_pos", "features"))  # read once per round
+    lists = cut_lineage(df.select(positive.alias("_pos"), tokens.alias("_tokens")), compression="zstd")
+    counter = CountVectorizerModel.from_vocabulary(vocabulary(lists, "_tokens", vocab_size, min_df, max_df), "_tokens", "features")
+    counts = cut_lineage(counter.transform(lists).select("_pos", "features"))  # read once per round
     model = LDA(k=k, maxIter=rounds, optimizer="online", subsamplingRate=1.0, seed=seed).fit(counts)
-    vocabulary = F.array(*[F.lit(w) for w in counter.vocabulary])  # at most vocab_size words
-    named = model.describeTopics(top).withColumn("_v", vocabulary).select(
+    words = F.array(*[F.lit(w) for w in counter.vocabulary])  # at most vocab_size words
+    named = model.describeTopics(top).withColumn("_v", words).select(
         "topic", F.array_join(F.transform("termIndices", lambda i: F.get("_v", i)), " ").alias("words")
     )
     dist = vector_to_array("topicDistribution")
