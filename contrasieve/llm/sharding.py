@@ -1,11 +1,12 @@
 """Shards of near-equal bytes that keep linked documents together: balanced label propagation.
 
-Documents are linked through hubs (by default: one hub per text, so equal texts are linked). A group that fits a
-shard starts whole on one, and groups change places, alone or one for another, until no shard over its share can give
-in a way that makes shards more even. Members of groups bigger than a shard start in one row, cut by what
-room is left; then in each round every hub adds up its bytes per shard, and members that are not in the shard with
+Documents are linked through hubs (by default: one hub per text, so equal texts are linked). Linked documents start on
+shards by hash. In each round every hub adds up its bytes per shard, and members that are not in the shard with
 most of them ask to move there. Asks are added up in hash slices, and the slices whose sum stays within the room of
-the target go, until none may. Unlinked documents fill what is left, in slices and then one by one, so sizes are even.
+the target go. A group that fits a shard is put whole where the rounds left most of it; if that fills a shard over its
+share, groups change places, alone or one for another, until no such shard can give in a way that makes shards more
+even. Members of groups bigger than a shard start in one row, cut by what room is left, and go through rounds of
+their own, until none may move. Unlinked documents fill what is left, in slices and then one by one, so sizes are even.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from contrasieve.session import cut_lineage
 
 #: Slices in which moves are admitted and places are counted; a slice is never one task's only work.
 SLICES = 1024
+#: Rounds over groups that fit a shard end when no more than this share of the bytes that ask may go.
+LEAST_MOVED = 0.01
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,24 +87,21 @@ def level_units(size: np.ndarray, shard: np.ndarray, shards: int, capacity: floa
 
 
 def place_groups(hubs: DataFrame, shards: int, total: int) -> tuple[DataFrame, list[int]]:
-    """Shard of each group (hub, bytes) that fits one, whole: (hub, shard), and the bytes so placed on each.
+    """Shard of each group (hub, bytes, home) that fits one, whole: (hub, shard), and the bytes so placed on each.
 
-    Groups of more than a quarter of a shard are fewer than four times the shards and are placed one by one, the
-    largest first. The others start by hash and are exchanged in hash slices, a table of shards times ``SLICES``.
+    All start at home and stay there unless a shard is over its share. Groups of more than a quarter of a shard are fewer
+    than four times the shards and are exchanged one by one, the others in hash slices, a table of shards times ``SLICES``.
     """
     spark = hubs.sparkSession
     capacity = total / shards
     is_large = F.col("bytes") * (4 * shards) > total
-    large = sorted((r["bytes"], r["hub"]) for r in hubs.where(is_large).collect())[::-1]
-    small = hubs.where(~is_large).select("hub", "bytes", F.pmod(F.xxhash64(F.lit("home"), "hub"), F.lit(shards)).cast("int").alias("home"), F.pmod(F.xxhash64("hub"), F.lit(SLICES)).cast("int").alias("part"))
+    large = sorted((r["bytes"], r["hub"], r["home"]) for r in hubs.where(is_large).collect())[::-1]
+    small = hubs.where(~is_large).select("hub", "bytes", "home", F.pmod(F.xxhash64("hub"), F.lit(SLICES)).cast("int").alias("part"))
     sums = small.groupBy("home", "part").agg(F.sum("bytes").alias("bytes")).orderBy("home", "part").collect()
-    load, start = [0] * shards, []
-    for size, _ in large:
-        start.append(min(range(shards), key=lambda s: (load[s], s)))
-        load[start[-1]] += size
+    start = [x[2] for x in large]
     size = np.array([x[0] for x in large] + [r["bytes"] for r in sums], np.int64)
     found = level_units(size, np.array(start + [r["home"] for r in sums], np.int64), shards, capacity)
-    names = spark.createDataFrame([(h, s) for (_, h), s in zip(large, found.tolist())], "hub string, shard int")
+    names = spark.createDataFrame([(h, s) for (_, h, _), s in zip(large, found.tolist())], "hub string, shard int")
     slices = spark.createDataFrame([(r["home"], r["part"], s) for r, s in zip(sums, found[len(large) :].tolist())], "home int, part int, shard int")
     placed = small.join(F.broadcast(slices), ["home", "part"]).select("hub", "shard").unionByName(names)
     return placed, [int(size[found == s].sum()) for s in range(shards)]
@@ -124,13 +124,14 @@ def in_a_row(spread: DataFrame, taken: list[int], capacity: float) -> DataFrame:
 def _admitted(asks: DataFrame, room: DataFrame) -> DataFrame:
     """Which slices of which (from, to) asks go: running sums per target within its room, the least first."""
     order = Window.partitionBy("to").orderBy("bytes", "slice", "shard").rowsBetween(Window.unboundedPreceding, 0)
-    return asks.withColumn("sum", F.sum("bytes").over(order)).join(F.broadcast(room), "to").where("sum <= room").select("shard", "to", "slice")
+    return asks.withColumn("sum", F.sum("bytes").over(order)).join(F.broadcast(room), "to").where("sum <= room").select("shard", "to", "slice", "bytes")
 
 
-def propagate(linked: DataFrame, taken: list[int], capacity: float) -> DataFrame:
-    """Shard of each member of a group bigger than a shard (id, row, size, crc, hub, slice, shard): rounds until nobody may move.
+def propagate(linked: DataFrame, taken: list[int], capacity: float, least: float = 0.0, few: bool = False) -> DataFrame:
+    """Shard of each linked document (id, row, size, crc, hub, slice, shard): rounds until nobody may move.
 
-    ``taken`` has the bytes of whole groups per shard. A move adds to the shard that has most of its group, so rounds end.
+    ``taken`` has the bytes already placed on each shard. A move adds to the shard that has most of its group, so rounds end;
+    they end too when no more than the share ``least`` of the bytes that ask may go. The labels of ``few`` groups are sent to the tasks.
     """
     spark = linked.sparkSession
     rooms = spark.createDataFrame([(s, capacity - x) for s, x in enumerate(taken)], "to int, free double")
@@ -140,12 +141,13 @@ def propagate(linked: DataFrame, taken: list[int], capacity: float) -> DataFrame
         best = by_hub.groupBy("hub").agg(F.max_by("shard", F.struct(F.col("bytes"), -F.col("shard"))).alias("to"))
         load = by_hub.groupBy(F.col("shard").alias("to")).agg(F.sum("bytes").alias("load"))
         room = rooms.join(load, "to", "left").select("to", (F.col("free") - F.coalesce("load", F.lit(0))).alias("room"))
-        wants = cut_lineage(state.join(F.broadcast(best), "hub").select("id", "row", "size", "crc", "hub", "slice", "shard", "to"))
-        moving = wants.where("shard <> to").groupBy("shard", "to", "slice").agg(F.sum("size").alias("bytes"))
+        wants = cut_lineage(state.join(F.broadcast(best) if few else best, "hub").select("id", "row", "size", "crc", "hub", "slice", "shard", "to"))
+        moving = cut_lineage(wants.where("shard <> to").groupBy("shard", "to", "slice").agg(F.sum("size").alias("bytes")))
         go = cut_lineage(_admitted(moving, room).withColumn("go", F.lit(True)))
-        if go.isEmpty():
+        asked, gone = (x.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] for x in (moving, go))
+        if gone <= least * asked:
             return state
-        state = cut_lineage(wants.join(F.broadcast(go), ["shard", "to", "slice"], "left").select("id", "row", "size", "crc", "hub", "slice", F.when(F.col("go"), F.col("to")).otherwise(F.col("shard")).alias("shard")))
+        state = cut_lineage(wants.join(F.broadcast(go.drop("bytes")), ["shard", "to", "slice"], "left").select("id", "row", "size", "crc", "hub", "slice", F.when(F.col("go"), F.col("to")).otherwise(F.col("shard")).alias("shard")))
 
 
 def fill(single: DataFrame, linked: DataFrame, shards: int) -> DataFrame:
@@ -204,12 +206,16 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     hubs = sizes.where("n > 1").select("hub", "bytes")
     single = rows.join(hubs.select("hub"), "hub", "left_anti").drop("hub")
     fits = F.col("bytes") * shards <= total
-    groups, taken = place_groups(hubs.where(fits), shards, total)
     columns = ["id", "row", "size", "crc", "hub", "slice", "shard"]
+    start = rows.join(hubs.where(fits).select("hub"), "hub").withColumn("shard", F.pmod(F.xxhash64("id", "row"), F.lit(shards)).cast("int"))
+    settled = propagate(start.select(columns), [0] * shards, capacity, LEAST_MOVED)
+    parts = settled.groupBy("hub", "shard").agg(F.sum("size").alias("bytes"))
+    homes = parts.groupBy("hub").agg(F.sum("bytes").alias("bytes"), F.max_by("shard", F.struct(F.col("bytes"), -F.col("shard"))).alias("home"))
+    groups, taken = place_groups(cut_lineage(homes), shards, total)
     placed = rows.join(cut_lineage(groups), "hub").select(columns)
     if big := [r["hub"] for r in hubs.where(~fits).select("hub").collect()]:  # fewer than shards
         spread = cut_lineage(rows.where(F.col("hub").isin(big)))
-        placed = placed.unionByName(propagate(in_a_row(spread, taken, capacity).select(columns), taken, capacity))
+        placed = placed.unionByName(propagate(in_a_row(spread, taken, capacity).select(columns), taken, capacity, few=True))
     placed = cut_lineage(placed)
     filled = cut_lineage(fill(cut_lineage(single), placed, shards).select("id", "row", "size", "slice", "crc", "shard"))
     out = cut_lineage(filled.unionByName(placed.select("id", "row", "size", "slice", "crc", "shard")))
