@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +40,47 @@ def unit_rows(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select("key", F.md5(text).alias("h"), "v")
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
-
-
 def _cells(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1)
 
 
+def _far(batch: pa.RecordBatch, pivots: np.ndarray) -> np.ndarray:
+    """Distance of every vector to every pivot; the product is changed in place."""
+    if pc.count_distinct(batch["v"].value_lengths()).as_py() > 1:
+        raise ValueError("vectors differ in length")
+    far = _cells(pa.chunked_array([batch["v"]])) @ pivots.T
+    far *= -2
+    far += 2
+    np.maximum(far, 0.0, out=far)
+    return np.sqrt(far, out=far)
+
+
+def _slices(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose products with ``width`` pivots hold at most ``PRODUCT`` numbers."""
+    step = max(1, PRODUCT // max(1, width))
+    for lo in range(0, batch.num_rows, step):
+        yield batch.slice(lo, step)
+
+
+def _with(batch: pa.RecordBatch, **columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns.values())], names=[*batch.schema.names, *columns])
+
+
+def _placed(df: DataFrame, shared) -> DataFrame:
+    """Adds cell, the nearest of the broadcast pivots, and dist, how far it is."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, len(shared.value)):
+                far = _far(part, shared.value)
+                cell = far.argmin(axis=1)
+                yield _with(part, cell=cell.astype(np.int32), dist=far[np.arange(len(cell)), cell])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    return df.mapInArrow(assign, f"{schema}, cell int, dist double")
+
+
 def _least(sims: np.ndarray, k: int) -> np.ndarray:
     """A bound per row that at least ``k`` of its entries reach: the ``k``-th largest of the maxima of apart groups."""
     n = sims.shape[1]
@@ -212,31 +245,32 @@ def _visits(batch: pd.DataFrame, open_cells: np.ndarray, shelf: np.ndarray, colu
             yield batch.loc[wanted[:, at], columns].assign(target=np.int32(at))
 
 
+def _sent(batch: pa.RecordBatch, open_cells: np.ndarray, shelf: np.ndarray, columns: list) -> Iterator[pa.RecordBatch]:
+    """As :func:`_visits` in Arrow: only row numbers pass through a frame, no vectors."""
+    kept = batch.select(columns)
+    for rows in _visits(pd.DataFrame({"row": np.arange(batch.num_rows)}), open_cells, shelf, ["row"]):
+        yield _with(kept.take(pa.array(rows["row"])), target=rows["target"].to_numpy(np.int32))
+
+
 def _links_by_cell(points: DataFrame, threshold: float, kind: str, n_pivots: int, n: int, rows: int) -> DataFrame:
     spark = points.sparkSession
     pivots = np.array([row.v for row in points.orderBy("h").limit(n_pivots).select("v").collect()])
     shared = spark.sparkContext.broadcast(pivots)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                far = np.sqrt(np.maximum(0.0, 2 - 2 * (_matrix(batch["v"]) @ shared.value.T)))
-                cell = far.argmin(axis=1)
-                yield batch.assign(cell=cell.astype("int32"), dist=far[np.arange(len(cell)), cell])
-
-    stock = cut_lineage(points.mapInPandas(assign, f"key {kind}, h string, v array<double>, cell int, dist double"))
+    stock = cut_lineage(_placed(points, shared))
     radius, shelf = _measured(stock, len(pivots), rows)
     bounds = spark.sparkContext.broadcast((radius, shelf))
 
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, shelf = bounds.value
         for batch in batches:
-            if len(batch):
-                far = np.sqrt(np.maximum(0.0, 2 - 2 * (_matrix(batch["v"]) @ shared.value.T)))
-                yield from _visits(batch, (far - r[None, :] <= reach) & (r >= 0)[None, :], shelf, ["key", "h", "v"])
+            for part in _slices(batch, len(r)):
+                far = _far(part, shared.value)
+                far -= r
+                yield from _sent(part, (far <= reach) & (r >= 0), shelf, ["key", "h", "v"])
 
-    asked = stock.mapInPandas(visits, f"key {kind}, h string, v array<double>, target int")
+    asked = stock.mapInArrow(visits, f"key {kind}, h string, v array<double>, target int")
     kept = stock.withColumn("target", _on_shelf(shelf))
     left, right = _pair_blocks(asked, kept, ["key", "v"], ["key", "v"], rows, -(-n // rows))
 
@@ -275,20 +309,8 @@ def _search_cells(asked: DataFrame, points: DataFrame, k: int, kind: str, n_pivo
     pivots = np.array([row.v for row in points.orderBy("h").limit(n_pivots).select("v").collect()])
     shared = spark.sparkContext.broadcast(pivots)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                sims = _matrix(batch["v"]) @ shared.value.T
-                cell = sims.argmax(axis=1)
-                near = sims[np.arange(len(cell)), cell]
-                yield batch.assign(cell=cell.astype("int32"), dist=np.sqrt(np.maximum(0.0, 2 - 2 * near)))
-
-    def placed(df: DataFrame) -> DataFrame:
-        schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-        return df.mapInPandas(assign, f"{schema}, cell int, dist double")
-
-    stock = cut_lineage(placed(points))
-    seekers = cut_lineage(placed(asked))
+    stock = cut_lineage(_placed(points, shared))
+    seekers = cut_lineage(_placed(asked, shared))
     radius, shelf = _measured(stock, len(pivots), rows)
     kept = stock.withColumn("target", _on_shelf(shelf))
 
@@ -298,20 +320,20 @@ def _search_cells(asked: DataFrame, points: DataFrame, k: int, kind: str, n_pivo
     reach = first.groupBy("h").agg(F.when(F.count("*") >= k, F.min("sim")).alias("worst"))
     bounds = spark.sparkContext.broadcast((radius, shelf))
 
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, (r, shelf) = shared.value, bounds.value
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, shelf = bounds.value
         for batch in batches:
-            if not len(batch):
-                continue
-            far = np.sqrt(np.maximum(0.0, 2 - 2 * (_matrix(batch["v"]) @ p.T)))
-            worst = batch["worst"].fillna(-1.0).to_numpy(dtype=float)
-            limit = np.sqrt(np.maximum(0.0, 2 - 2 * worst)) + SLACK
-            open_cells = (far - r[None, :] <= limit[:, None]) & (r >= 0)[None, :]
-            open_cells &= shelf[None, :] != shelf[batch["cell"].to_numpy()][:, None]
-            yield from _visits(batch, open_cells, shelf, ["h", "v"])
+            for part in _slices(batch, len(r)):
+                far = _far(part, shared.value)
+                far -= r
+                worst = part["worst"].to_numpy(zero_copy_only=False)
+                limit = np.sqrt(np.maximum(0.0, 2 - 2 * np.where(np.isnan(worst), -1.0, worst))) + SLACK
+                open_cells = (far <= limit[:, None]) & (r >= 0)
+                open_cells &= shelf != shelf[part["cell"].to_numpy()][:, None]
+                yield from _sent(part, open_cells, shelf, ["h", "v"])
 
     wide = seekers.join(reach, "h", "left").select("h", "v", "cell", "worst")
-    more = wide.mapInPandas(visits, "h string, v array<double>, target int")
+    more = wide.mapInArrow(visits, "h string, v array<double>, target int")
     second = _search_blocks(more, kept, k, kind, rows, -(-max(1, seekers.count()) // rows))
     return top_per_group(first.unionByName(second), ["h"], [F.desc("sim"), F.col("dst")], k, "dst", slices=1)
 
