@@ -12,7 +12,8 @@ radii; inside, node pairs fall by the same bound against the worst k-th score of
 strictly smaller bounds are pruned, so ties are kept and fall to the smaller id.
 
 Bounds: a task holds one block and one query block at a time; the driver holds the sample, at most ``CELLS`` pivots,
-and a number, centre and radius per cell.
+and a number, centre and radius per cell. A query block is copied for every block it is sent to, so these copies are
+dealt to the tasks of the blocks and never pass the driver; nothing joins them, as a join would repeat the block, too.
 
 Cases: a null vector, or one with a null, NaN or infinite entry, takes no part. Shorter vectors end in zeros. Rows that
 share an id are different rows: each is a candidate for the others, and each is a query if the id is divisible. A null
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from contrasieve.llm import _vectors as vec
 from contrasieve.llm._keys import KEY, own_keys
 from contrasieve.llm._scan import NO_ID
-from contrasieve.session import cut_lineage
+from contrasieve.session import cut_lineage, discard
 
 SCALE = 256
 EVERY = 50
@@ -278,8 +279,6 @@ def _block(table: pa.Table, dims: int) -> dict:
         out["ids"] = lists.flatten().to_numpy(zero_copy_only=False)
         out["first"] = np.asarray(lists.offsets)[:-1] - np.asarray(lists.offsets)[0]
         out["n_ids"] = np.diff(np.asarray(lists.offsets))
-    else:
-        out["keys"] = table["key"].to_pylist()
     return out
 
 
@@ -294,21 +293,23 @@ def _blocks(rows: DataFrame, dims: int) -> DataFrame:
 
 def _found(queries: dict, lists: Lists) -> pa.RecordBatch:
     row, col = np.nonzero(np.arange(lists.score.shape[1])[None, :] < lists.count[:, None])
-    order = queries["tree"]["order"][row]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([queries["keys"][i] for i in order.tolist()], pa.binary()), pa.array(lists.score[row, col]), pa.array(lists.id[row, col])],
-        ["key", "score", "id"],
-    )
+    keys = vec.pack(queries["points"]).take(pa.array(queries["tree"]["order"][row]))
+    return pa.RecordBatch.from_arrays([keys, pa.array(lists.score[row, col]), pa.array(lists.id[row, col])], ["key", "score", "id"])
 
 
 def _meet(k: int) -> Callable:
+    """Of rows (cell, part, block, queries) a block comes before the queries that were sent to it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, block = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 name = (batch["cell"][i].as_py(), batch["part"][i].as_py())
-                if name != last:
+                if batch["block"][i].is_valid:
                     block, last = pickle.loads(batch["block"][i].as_py()), name
+                    continue
+                if name != last:
+                    continue  # a part without points
                 queries = pickle.loads(batch["queries"][i].as_py())
                 n = len(queries["points"])
                 lists = Lists(n, k)
@@ -342,6 +343,7 @@ def top_k(
         return spark.createDataFrame([], schema)
 
     classes = cut_lineage(_classes(points, k + 1))
+    discard(points)
     n = classes.count()
     pivots = _pivots(classes, n, dims)
 
@@ -359,12 +361,14 @@ def top_k(
                 yield pa.RecordBatch.from_arrays([batch["cell"], pa.array(gap)], ["cell", "gap"])
 
     located = cut_lineage(classes.mapInArrow(place, "cell int, key binary, ids array<bigint>"))
+    discard(classes)
     located_asks = cut_lineage(asking.select("key").distinct().mapInArrow(place, "cell int, key binary"))
     summary = located.select("cell", "key").mapInArrow(by_cell, "cell int, gap double").groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("r"))
     cells = {r["cell"]: (r["n"], r["r"]) for r in summary.collect()}
     sizes = {c: n for c, (n, _) in cells.items()}
     ask_sizes = {r["cell"]: r["n"] for r in located_asks.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     blocks = cut_lineage(_blocks(_dealt(located, sizes, BLOCK), dims))
+    discard(located)
     queries = _blocks(_dealt(located_asks, ask_sizes, QUERY_BLOCK), dims).withColumnRenamed("block", "queries").select("queries")
 
     names = np.array(sorted(cells))
@@ -391,7 +395,9 @@ def top_k(
                     )
 
     def pairs(asked: DataFrame) -> DataFrame:
-        return asked.mapInArrow(sent, "cell int, part int, queries binary").join(blocks, ["cell", "part"])
+        copies = asked.mapInArrow(sent, "cell int, part int, queries binary")
+        rows = blocks.unionByName(copies, allowMissingColumns=True)
+        return rows.repartition(min(2 * int(parts.sum()), 4096), "cell", "part").sortWithinPartitions("cell", "part", F.col("block").isNull())
 
     opened = cut_lineage(pairs(queries).mapInArrow(_meet(k + 1), "queries binary, keys array<binary>, scores array<bigint>, ids array<bigint>"))
     first = opened.select(F.inline(F.arrays_zip("keys", "scores", "ids"))).toDF("key", "score", "id")

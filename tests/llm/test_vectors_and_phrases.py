@@ -165,6 +165,21 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block, query_block, leaf):
     assert found(cover_trees.top_k(vectors(spark, rows))) == best(rows)
 
 
+def test_top_k_sends_no_copies_of_queries_through_the_driver(spark, monkeypatch):
+    for name, value in (("BLOCK", 32), ("QUERY_BLOCK", 4)):
+        monkeypatch.setattr(cover_trees, name, value)
+    rows = [(i, e) for i, e in enumerate(some(600, 6, 6))]
+    out = cover_trees.top_k(vectors(spark, rows))
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    deep = [len(line) - len(line.lstrip(" :|+-")) for line in plan]
+    assert any("sent(" in line for line in plan)
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(plan)) if deep[j] <= deep[i]), len(plan))
+            assert not any("sent(" in x for x in plan[i:end])
+    assert found(out) == best(rows)
+
+
 def test_top_k_of_odd_rows_and_repeated_ids(spark):
     rows = [(i, e) for i, e in enumerate(some(120, 6, 6))] + ODD
     assert found(cover_trees.top_k(vectors(spark, rows))) == best(rows)
